@@ -6,20 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioquery.llm import (
-    bitpack,
-    bpe,
-    compress_quality,
-    jaccard_join,
-    langid,
-    licenses,
-    mixing,
-    outliers,
-    secrets,
-    topk,
-)
-
-_MODULES = (licenses, mixing, outliers, topk, compress_quality, secrets, jaccard_join, bpe, bitpack, langid)
+from folioquery.llm import langid
+
+_MODULES = (langid,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
