@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioquery.llm import bpe, langid
+from folioquery.llm import bpe, langid, mixing
 
-_MODULES = (bpe, langid)
+_MODULES = (mixing, bpe, langid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
