@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioquery.llm import bpe, langid, mixing
+from folioquery.llm import bpe, langid, mixing, secrets
 
-_MODULES = (mixing, bpe, langid)
+_MODULES = (mixing, secrets, bpe, langid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
