@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioquery.llm import bpe, langid, mixing, secrets
+from folioquery.llm import bpe, langid, licenses, mixing, secrets
 
-_MODULES = (mixing, secrets, bpe, langid)
+_MODULES = (licenses, mixing, secrets, bpe, langid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
