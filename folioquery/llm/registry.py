@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioquery.llm import bitpack, bpe, langid, licenses, mixing, secrets
+from folioquery.llm import bitpack, bpe, compress_quality, langid, licenses, mixing, secrets
 
-_MODULES = (licenses, mixing, secrets, bpe, bitpack, langid)
+_MODULES = (licenses, mixing, compress_quality, secrets, bpe, bitpack, langid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
