@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioquery.llm import bitpack, bpe, compress_quality, langid, licenses, mixing, secrets, topk
+from folioquery.llm import bitpack, bpe, compress_quality, langid, licenses, mixing, outliers, secrets, topk
 
-_MODULES = (licenses, mixing, topk, compress_quality, secrets, bpe, bitpack, langid)
+_MODULES = (licenses, mixing, outliers, topk, compress_quality, secrets, bpe, bitpack, langid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
