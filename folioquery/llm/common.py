@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +53,18 @@ def join_checked(wide: DataFrame, narrow: DataFrame, on, how: str = "inner", lim
     return wide.join(narrow.hint("merge"), on, how)
 
 
-def crc_of_id(doc_id: int) -> int:
-    """crc32 of the id written as text, as the SQL function crc32 gives it."""
-    return zlib.crc32(str(doc_id).encode())
+def text_slices(batches, column: str = "text", most: int = 4 << 20):
+    """The rows of Arrow batches in batches of about most bytes of text, so that Python objects are
+    made of a little at a time; a longer text stands alone."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size)
+        start = 0
+        while start < len(size):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def id_fold(doc_id: Column | str, folds: int) -> Column:
