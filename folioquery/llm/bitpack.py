@@ -20,8 +20,8 @@ doc_id cut at approximate quantiles, and a segment closes after ``SEGMENT_IDS``
 Encoding uses the tokenizers library, without special tokens being added. A text of characters
 whose classes all libraries share is split by the tokenizer's own pattern and the library encodes
 each distinct match once; ids do not depend on what surrounds a match. Any other text, and any that
-holds an added token's string, goes to the library whole, in portions cut before a blank that
-follows a non-blank, where no match or token can lie across.
+holds an added token's string, goes through the library's whole pipeline, in portions cut before a
+blank that follows a non-blank, where no match or token can lie across.
 
 Defined cases: a null text is empty; every document gets the end id; null ids come first; rows of
 one id are ordered by their number of ids and then by the ids' bytes; an empty table gives an empty dataset; columns other than
@@ -35,7 +35,6 @@ import re
 import struct
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -44,8 +43,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import join_checked, materialize, new_path, table
-from folioquery.llm.pieces import LONG, by_volume, is_plain, split_portions
+from folioquery.llm.common import join_checked, materialize, new_path, table, text_slices
+from folioquery.llm.pieces import LONG, PieceCache, by_volume, is_plain, split_portions
 
 QUERY = "op9_token_bitpack"
 ORACLE_SQL = None
@@ -53,10 +52,15 @@ ORACLE_SQL = None
 END_ID = 0
 BLOCK = 4096
 SEGMENT_IDS = 1 << 20
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 _HEAD = struct.Struct("<4sHHIQQ")
 _CUT = re.compile(r"(?<=\S)(?=\s)")
 
+# Byte-level alphabet: printable Latin-1 characters stand for their own byte, the others for the
+# remaining bytes in order from U+0100 on.
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _OWN)}
+
 
 def bits_for(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
@@ -163,7 +167,7 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.cache = PieceCache(self._pieces, CACHE_PIECES)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -178,15 +182,13 @@ class LibraryEncoder:
             at = to
         return b"".join(out)
 
-    def _pieces(self, portions: list[list[str]]) -> list[bytes]:
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        new = list(set(chain.from_iterable(portions)).difference(self.cache))
-        if new:
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.cache[p] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, p)) for p in portions]
+    def _pieces(self, pieces: list[str]):
+        """Each distinct match with its ids, by the library's model alone: a match needs no
+        splitting, only its bytes in the model's alphabet."""
+        tokenize = self.tokenizer.model.tokenize
+        for p in pieces:
+            found = tokenize(p.encode().decode("latin-1").translate(_ALPHABET))
+            yield p, b"".join([t.id.to_bytes(4, "little") for t in found])
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -200,9 +202,9 @@ class LibraryEncoder:
         for group in by_volume([texts[i] for i in by_piece]):
             where = [by_piece[k] for k in group]
             if len(where) == 1:
-                out[where[0]] = b"".join(self._pieces([p])[0] for p in split_portions(texts[where[0]]))
+                out[where[0]] = b"".join(self.cache.ids_of([p])[0] for p in split_portions(texts[where[0]], True))
             else:
-                for i, ids in zip(where, self._pieces([next(split_portions(texts[i]), []) for i in where])):
+                for i, ids in zip(where, self.cache.ids_of([next(split_portions(texts[i], True), []) for i in where])):
                     out[i] = ids
         return out
 
@@ -224,7 +226,7 @@ def write_packed(docs: DataFrame, out: str, path: str | None = None, end_id: int
         encoder = load(path or public_tokenizers.path("byte_bpe_50k.json"))
         kind = _shuffled(encoder.size)
         end = end_id.to_bytes(4, "little")
-        for b in batches:
+        for b in text_slices(batches):
             doc_ids = b.column("doc_id").to_pylist()
             ids = [np.frombuffer(x + end, "<u4") for x in encoder.encode_many([t or "" for t in b.column("text").to_pylist()])]
             shard = [0 if d is None else int(np.searchsorted(cuts, d, "right")) for d in doc_ids]

@@ -9,7 +9,7 @@ a whole is that token.
 
 The trees of many distinct matches of like length are kept as rows of one numpy array, so one step
 does a merge in each of them. A worker keeps the ids of up to ``CACHE_PIECES`` distinct matches
-between batches (then it starts afresh), because words repeat; matches of a very long text are
+in each of two generations between batches, because words repeat; matches of a very long text are
 taken in portions, so memory does not grow with a text.
 
 Defined cases: a null text encodes as the empty text (no ids, the digests of no bytes); repeated
@@ -21,20 +21,19 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from folioquery.llm.common import table
-from folioquery.llm.pieces import by_volume, split_portions
+from folioquery.llm.common import table, text_slices
+from folioquery.llm.pieces import PieceCache, by_volume, split_portions
 
 QUERY = "op8_byte_bpe"
 ORACLE_SQL = None
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 _NONE = np.int64(1) << 62
 #: Leaves of the trees that are worked on together.
 _LEAVES = 1 << 19
@@ -63,7 +62,7 @@ class ByteBPE:
                     pairs[left * self.size + right] = rank
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
-        self.cache: dict[str, bytes] = {}
+        self.cache = PieceCache(self.encode_pieces, CACHE_PIECES)
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids; -1 where they do not merge."""
@@ -128,42 +127,31 @@ class ByteBPE:
         out = ids.astype("<u4")
         return [out[i][alive[i]].tobytes() for i in range(n)]
 
-    def encode_pieces(self, pieces: list[str]) -> None:
-        """Put the ids of each of the distinct matches into the cache."""
+    def encode_pieces(self, pieces: list[str]):
+        """Each of the distinct matches with its ids."""
         by_width: dict[int, list[tuple[str, bytes]]] = {}
         for p in pieces:
             b = p.encode("utf-8", "replace")
             whole = self.ranks.get(b)
             if whole is not None:
-                self.cache[p] = whole.to_bytes(4, "little")
+                yield p, whole.to_bytes(4, "little")
             else:
                 by_width.setdefault(1 << (len(b) - 1).bit_length(), []).append((p, b))
         for width, found in by_width.items():
             step = max(1, _LEAVES // width)
             for i in range(0, len(found), step):
                 part = found[i : i + step]
-                for (p, _), ids in zip(part, self.merge_rows([b for _, b in part], width)):
-                    self.cache[p] = ids
-
-    def ids_of(self, portions: list[list[str]]) -> list[bytes]:
-        """Ids of each list of matches, as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        new = set(chain.from_iterable(portions)).difference(self.cache)
-        if new:
-            self.encode_pieces(list(new))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, p)) for p in portions]
+                yield from zip((p for p, _ in part), self.merge_rows([b for _, b in part], width))
 
     def encode_many(self, texts: list[str]):
         """For each text, the portions of its ids, as (index, bytes), in order."""
         for group in by_volume(texts):
             if len(group) == 1:
                 for portion in split_portions(texts[group[0]]):
-                    yield group[0], self.ids_of([portion])[0]
+                    yield group[0], self.cache.ids_of([portion])[0]
             else:
                 portions = [next(split_portions(texts[i]), []) for i in group]
-                yield from zip(group, self.ids_of(portions))
+                yield from zip(group, self.cache.ids_of(portions))
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(ids for _, ids in self.encode_many([text])), "<u4")
@@ -185,7 +173,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
 
     def run(batches):
         bpe = load(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-        for b in batches:
+        for b in text_slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             n = [0] * len(texts)
             of_ids = [hashlib.sha256() for _ in texts]

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import id_fold, table
+from folioquery.llm.common import id_fold, table, text_slices
 
 QUERY = "op5_quality_classifier"
 ORACLE_SQL = None
@@ -165,7 +165,7 @@ def score(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id
 
     def run(batches):
         differ = Differ(model.good, model.bad) if model.curve else None
-        for b in batches:
+        for b in text_slices(batches, "_text"):
             found = score_texts(b.column("_text").to_pylist(), model, differ)
             yield pa.RecordBatch.from_arrays(
                 [b.column(c) for c in names] + [pa.array(found), pa.array((found >= PREDICT_FROM).astype(np.int32))],

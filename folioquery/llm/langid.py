@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import id_fold, table
+from folioquery.llm.common import id_fold, table, text_slices
 
 QUERY = "op10_language_id"
 ORACLE_SQL = None
@@ -204,7 +204,7 @@ def predict(docs: DataFrame, model: LangModel, keep: tuple[str, ...] = ("doc_id"
     names = list(keep)
 
     def run(batches):
-        for b in batches:
+        for b in text_slices(batches, "_text"):
             label, score, reject = predict_texts(b.column("_text").to_pylist(), model)
             yield pa.RecordBatch.from_arrays(
                 [b.column(c) for c in names] + [pa.array(label, pa.string()), pa.array(score), pa.array(reject)],
@@ -219,7 +219,7 @@ def keep_identified(docs: DataFrame, model: LangModel) -> DataFrame:
     """The rows of docs that the model does not reject, unchanged."""
 
     def run(batches):
-        for b in batches:
+        for b in text_slices(batches):
             reject = predict_texts(b.column("text").to_pylist(), model)[2]
             yield b.filter(pa.array(~reject))
 

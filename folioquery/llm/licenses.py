@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import table
+from folioquery.llm.common import table, text_slices
 
 QUERY = "op1_license_scan"
 ORACLE_SQL = None
@@ -282,7 +282,7 @@ def count_words(docs: DataFrame) -> Index:
 
     def run(batches):
         n, seen = 0, Counter()
-        for b in batches:
+        for b in text_slices(batches):
             for t in b.column("text").to_pylist():
                 n += 1
                 own: set[bytes] = set()
@@ -302,7 +302,7 @@ def find_licenses(docs: DataFrame, index: Index | None = None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in text_slices(batches):
             rows = [scan(t, index) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), *(pa.array([r[name] for r in rows], t) for name, t in _FIELDS)],

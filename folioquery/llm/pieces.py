@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import public_tokenizers
 import regex
@@ -28,9 +28,9 @@ def is_plain(text: str) -> bool:
     return _ODD.search(text) is None
 
 
-def split_portions(text: str) -> Iterator[list[str]]:
-    """The matches of the pattern in order, in lists of bounded length."""
-    pattern = _PLAIN if is_plain(text) else _FULL
+def split_portions(text: str, plain: bool | None = None) -> Iterator[list[str]]:
+    """The matches of the pattern in order, in lists of bounded length. plain: is_plain(text)."""
+    pattern = _PLAIN if (is_plain(text) if plain is None else plain) else _FULL
     if len(text) <= LONG:
         yield pattern.findall(text)
         return
@@ -49,3 +49,26 @@ def by_volume(texts: list[str], most: int = LONG) -> Iterator[range]:
         total += len(t)
     if start < len(texts):
         yield range(start, len(texts))
+
+
+class PieceCache:
+    """Ids of distinct matches, kept while they are in use: of two generations the older one goes
+    when the younger is full, and what is met again moves to the younger."""
+
+    def __init__(self, encode: Callable[[list[str]], Iterator[tuple[str, bytes]]], most: int):
+        self.encode, self.most = encode, most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids_of(self, portions: list[list[str]]) -> list[bytes]:
+        """Ids of each list of matches, one after the other."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = set(chain.from_iterable(portions)).difference(young)
+        known = new.intersection(old)
+        young.update((p, old[p]) for p in known)
+        if len(new) > len(known):
+            young.update(self.encode(list(new - known)))
+        get = young.__getitem__
+        return [b"".join(map(get, p)) for p in portions]

@@ -27,7 +27,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from folioquery.llm.common import table
+from folioquery.llm.common import table, text_slices
 
 QUERY = "op6_secret_scan"
 ORACLE_SQL = None
@@ -176,7 +176,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     fields = [("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value_start", pa.int64()), ("value_end", pa.int64()), ("score", pa.float64())]
 
     def run(batches):
-        for b in batches:
+        for b in text_slices(batches):
             found = [[s._asdict() for s in scan(t)] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.list_(pa.struct(fields)))], ["doc_id", "spans"])
 
@@ -188,7 +188,7 @@ def redact(docs: DataFrame) -> DataFrame:
     counted = "n_chars" in docs.columns
 
     def run(batches):
-        for b in batches:
+        for b in text_slices(batches):
             texts = b.column("text").to_pylist()
             masked = [t if not (found := scan(t)) else mask(t, found) for t in texts]
             b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(masked, b.schema.field("text").type))
@@ -206,7 +206,7 @@ def digests(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in text_slices(batches):
             rows = [scan(t) for t in b.column("text").to_pylist()]
             base = [[s for s in r if s.kind != "literal"] for r in rows]
             yield pa.RecordBatch.from_arrays(
