@@ -35,8 +35,9 @@ def hashed_embedding(text: Column | str, dim: int = 64) -> Column:
 
     tokens = T.tokens(text)
     bucket = F.transform(tokens, lambda t: F.conv(F.left(F.md5(t.cast("binary")), F.lit(8)), 16, 10).cast("long") % dim)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(bucket, lambda b: b == i)).cast("double"))
-    return normalized(counts)
+    places = F.sequence(F.lit(0), F.lit(dim - 1))
+    counts = T.let(bucket, lambda b: F.transform(places, lambda i: (F.size(b) - F.size(F.array_remove(b, i.cast("long")))).cast("double")))
+    return T.let(counts, normalized)
 
 
 def model_embedding(load: Callable[[], EncodeBatch]):

@@ -30,10 +30,18 @@ class Index:
             df.persist()
         return self
 
+    def write(self, path: str) -> "Index":
+        """The index as Parquet tables below path, read back; for corpora that are asked often."""
+        for name in ("chunks", "vectors", "tokens"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        spark = self.chunks.sparkSession
+        return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("chunks", "vectors", "tokens")), self.page_count, self.chunk_count)
+
 
 def build_index(pages: DataFrame, embed=hashed_embedding, chunks: Column | None = None) -> Index:
-    """Chunks, normalised vectors and the inverted index of pages (source, page, text)."""
-    numbered = chunking.number_chunks(chunking.chunk_pages(pages, chunks))
+    """Chunks, normalised vectors and the inverted index of pages (source, page, text). The chunks
+    are persisted, as every part of the index is made from them; Index.write() keeps them for good."""
+    numbered = chunking.number_chunks(chunking.chunk_pages(pages, chunks).persist()).persist()
     vectors = numbered.select("chunk_id", normalized(embed("text")).alias("vector"))
     return Index(numbered, vectors, retrieval.token_table(numbered, "chunk_id", "text"))
 
