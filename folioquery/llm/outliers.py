@@ -53,10 +53,10 @@ _SPACES = " \t\n\x0b\x0c\r"
 
 #: The statistics, as expressions over the counts, and their least spread.
 VECTOR = {
-    "ln(word_chars / n_words)": 0.06,  # mean length of a word
-    "n_symbols / n_words": 0.05,
+    "ln(greatest(word_chars, 1) / greatest(n_words, 1))": 0.06,  # mean length of a word
+    "n_symbols / greatest(n_words, 1)": 0.05,
     "ln(1 + n_dup_lines)": 0.4,
-    "n_repeat_words / n_words": 0.12,
+    "n_repeat_words / greatest(n_words, 1)": 0.12,
 }
 _D = len(VECTOR)
 _PAIRS = [(i, j) for i in range(_D) for j in range(i + 1)]
