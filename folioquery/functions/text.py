@@ -114,7 +114,7 @@ def truncate(text: Column | str, most: int = 26) -> Column:
 
 
 def suggestions(filename: Column | str) -> Column:
-    """Four starter questions about a document."""
+    """Four starter questions about a document; the wording is fixed."""
     return F.array(
         F.concat(F.lit("What is the main topic of "), document_name(filename), F.lit("?")),
         F.lit("Summarize the key concepts in this document."),
