@@ -2,7 +2,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from folioquery.functions.text import REFUSAL_TEXT
 from folioquery.functions.vectors import inner_product, norm, normalized

@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from folioquery.functions import text as T
 
 WHITE = [chr(c) for c in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
