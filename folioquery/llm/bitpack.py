@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import join_checked, materialize, new_path, table, text_slices
+from folioquery.llm.common import join_checked, map_batches, materialize, new_path, table, text_slices
 from folioquery.llm.pieces import LONG, PieceCache, by_volume, is_plain, split_portions
 
 QUERY = "op9_token_bitpack"
@@ -52,7 +52,7 @@ ORACLE_SQL = None
 END_ID = 0
 BLOCK = 4096
 SEGMENT_IDS = 1 << 20
-CACHE_PIECES = 150_000
+CACHE_PIECES = 100_000
 _HEAD = struct.Struct("<4sHHIQQ")
 _CUT = re.compile(r"(?<=\S)(?=\s)")
 
@@ -259,9 +259,9 @@ def write_packed(docs: DataFrame, out: str, path: str | None = None, end_id: int
         if held[0]:
             yield close()
 
-    encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, shard int, n long, ids binary")
+    encoded = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, "doc_id long, shard int, n long, ids binary")
     ordered = encoded.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n", "ids")
-    ordered.mapInArrow(write, "shard int, segment int, n_docs long, n_ids long, payload binary").write.parquet(out)
+    map_batches(ordered, write, "shard int, segment int, n_docs long, n_ids long, payload binary").write.option("parquet.block.size", 16 << 20).parquet(out)
 
 
 def starts(segments: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def read_packed(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return rows.select("payload", "start").mapInArrow(run, schema)
+    return map_batches(rows.select("payload", "start"), run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

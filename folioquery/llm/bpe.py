@@ -27,13 +27,13 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from folioquery.llm.common import table, text_slices
+from folioquery.llm.common import map_batches, table, text_slices
 from folioquery.llm.pieces import PieceCache, by_volume, split_portions
 
 QUERY = "op8_byte_bpe"
 ORACLE_SQL = None
 
-CACHE_PIECES = 150_000
+CACHE_PIECES = 100_000
 _NONE = np.int64(1) << 62
 #: Leaves of the trees that are worked on together.
 _LEAVES = 1 << 19
@@ -197,7 +197,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema + (", ids binary" if with_ids else ""))
+    return map_batches(docs.select("doc_id", "text"), run, schema + (", ids binary" if with_ids else ""))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 #: Rows up to which the narrow side of a join (ids or counts, tens of bytes a row) is broadcast.
 BROADCAST_ROWS = 500_000
 
-#: Columns of the documents table.
-DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 8 << 20
 
 _own_dirs: dict[str, str] = {}
 
@@ -67,6 +67,16 @@ def text_slices(batches, column: str = "text", most: int = 4 << 20):
             start = stop
 
 
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of at most BATCH_BYTES, a longer row alone. The size
+    is a setting of the session and read when the plan runs, so it is lowered there and stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def id_fold(doc_id: Column | str, folds: int) -> Column:
     """crc32(doc_id as text) mod folds; null for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

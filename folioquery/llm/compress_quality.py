@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import id_fold, table, text_slices
+from folioquery.llm.common import id_fold, map_batches, table, text_slices
 
 QUERY = "op5_quality_classifier"
 ORACLE_SQL = None
@@ -173,7 +173,7 @@ def score(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id
             )
 
     rows = docs.select(*keep, F.col("text").alias("_text"))
-    return rows.mapInArrow(run, f"{schema}, score double, predicted int")
+    return map_batches(rows, run, f"{schema}, score double, predicted int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import join_checked, materialize, table, text_slices
+from folioquery.llm.common import join_checked, map_batches, materialize, table, text_slices
 from folioquery.llm.components import connected_components
 from folioquery.llm.licenses import words_of
 
@@ -255,7 +255,7 @@ def describe(docs: DataFrame) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return materialize(rows.mapInArrow(run, "doc_id long, text_hash long, key binary, n long, sig binary"), "join-rows")
+    return materialize(map_batches(rows, run, "doc_id long, text_hash long, key binary, n long, sig binary"), "join-rows")
 
 
 def _bands(sets: DataFrame, with_sig: bool) -> DataFrame:
@@ -276,7 +276,7 @@ def _bands(sets: DataFrame, with_sig: bool) -> DataFrame:
                     columns.append(part.column("sig").take(where))
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "key", "sig"][: len(columns)])
 
-    return sets.select("key", "sig").mapInArrow(run, "bucket long, key binary" + (", sig binary" if with_sig else ""))
+    return map_batches(sets.select("key", "sig"), run, "bucket long, key binary" + (", sig binary" if with_sig else ""))
 
 
 def candidate_edges(sets: DataFrame) -> DataFrame:
@@ -301,7 +301,7 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return _in_cells(members, "bucket").mapInArrow(run, "a binary, b binary").distinct()
+    return map_batches(_in_cells(members, "bucket"), run, "a binary, b binary").distinct()
 
 
 def verified(docs: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
@@ -329,7 +329,7 @@ def verified(docs: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
             names = ["root", "key", "copies", "n_blocks", "block"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), shingles], [*names, "shingles"]).filter(good)
 
-    members = found.mapInArrow(read, "root binary, key binary, copies long, n_blocks int, block int, shingles binary")
+    members = map_batches(found, read, "root binary, key binary, copies long, n_blocks int, block int, shingles binary")
 
     def run(batches):
         kind = pa.schema([("key", pa.binary()), ("other", pa.binary()), ("links", pa.int64())])
@@ -356,7 +356,7 @@ def verified(docs: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), kind)], schema=kind)
 
-    return materialize(_in_cells(members, "root").mapInArrow(run, "key binary, other binary, links long"), "join-links")
+    return materialize(map_batches(_in_cells(members, "root"), run, "key binary, other binary, links long"), "join-links")
 
 
 def classes(docs: DataFrame, rows: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import id_fold, table, text_slices
+from folioquery.llm.common import id_fold, map_batches, table, text_slices
 
 QUERY = "op10_language_id"
 ORACLE_SQL = None
@@ -212,7 +212,7 @@ def predict(docs: DataFrame, model: LangModel, keep: tuple[str, ...] = ("doc_id"
             )
 
     rows = docs.select(*keep, F.col("text").alias("_text"))
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return map_batches(rows, run, f"{schema}, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: LangModel) -> DataFrame:
@@ -223,7 +223,7 @@ def keep_identified(docs: DataFrame, model: LangModel) -> DataFrame:
             reject = predict_texts(b.column("text").to_pylist(), model)[2]
             yield b.filter(pa.array(~reject))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import table, text_slices
+from folioquery.llm.common import map_batches, table, text_slices
 
 QUERY = "op1_license_scan"
 ORACLE_SQL = None
@@ -291,7 +291,7 @@ def count_words(docs: DataFrame) -> Index:
                 seen.update(own)
         yield pa.RecordBatch.from_pydict({"word": [None, *(w.decode() for w in seen)], "n": [n, *seen.values()]})
 
-    sums = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    sums = map_batches(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = {r["word"]: r["n"] for r in sums}  # at most one row for each word of the templates
     return Index({w.encode(): n for w, n in counts.items() if w is not None}, counts.get(None, 0))
 
@@ -310,7 +310,7 @@ def find_licenses(docs: DataFrame, index: Index | None = None) -> DataFrame:
             )
 
     schema = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_batches(docs.select("doc_id", "text"), run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from folioquery.llm.common import table, text_slices
+from folioquery.llm.common import map_batches, table, text_slices
 
 QUERY = "op6_secret_scan"
 ORACLE_SQL = None
@@ -180,7 +180,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             found = [[s._asdict() for s in scan(t)] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.list_(pa.struct(fields)))], ["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:long,end:long,value_start:long,value_end:long,score:double>>")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, spans array<struct<kind:string,start:long,end:long,value_start:long,value_end:long,score:double>>")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 b = b.set_column(at, "n_chars", pa.array(n, b.schema.field(at).type))
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def digests(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import materialize, table
+from folioquery.llm.common import map_batches, materialize, table
 
 QUERY = "op4_topk_search"
 
@@ -183,7 +183,7 @@ def _search(mixed: DataFrame, k: int) -> DataFrame:
                     )
 
     ordered = mixed.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "is_query")
-    return ordered.mapInArrow(run, "query_id long, vec_id long, score long")
+    return map_batches(ordered, run, "query_id long, vec_id long, score long")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
