@@ -35,6 +35,7 @@ import re
 import struct
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -204,7 +205,7 @@ class LibraryEncoder:
             if len(where) == 1:
                 out[where[0]] = b"".join(self.cache.ids_of([p])[0] for p in split_portions(texts[where[0]], True))
             else:
-                for i, ids in zip(where, self.cache.ids_of([next(split_portions(texts[i], True), []) for i in where])):
+                for i, ids in zip(where, self.cache.ids_of([list(chain.from_iterable(split_portions(texts[i], True))) for i in where])):
                     out[i] = ids
         return out
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -150,7 +151,7 @@ class ByteBPE:
                 for portion in split_portions(texts[group[0]]):
                     yield group[0], self.cache.ids_of([portion])[0]
             else:
-                portions = [next(split_portions(texts[i]), []) for i in group]
+                portions = [list(chain.from_iterable(split_portions(texts[i]))) for i in group]
                 yield from zip(group, self.cache.ids_of(portions))
 
     def encode(self, text: str) -> np.ndarray:

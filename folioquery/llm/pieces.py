@@ -43,7 +43,7 @@ def by_volume(texts: list[str], most: int = LONG) -> Iterator[range]:
     """Consecutive ranges of texts of about most characters; a longer text stands alone."""
     start, total = 0, 0
     for i, t in enumerate(texts):
-        if total and total + len(t) > most:
+        if i > start and total + len(t) > most:
             yield range(start, i)
             start, total = i, 0
         total += len(t)

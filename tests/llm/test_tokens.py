@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from folioquery.llm import bitpack, bpe
+from folioquery.llm import bitpack, bpe, pieces
 
 RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 BPE = bpe.ByteBPE(RANKS)
@@ -43,6 +43,30 @@ def test_long_texts_go_in_portions(monkeypatch):
     assert BPE.encode(text).tolist() == want == LIBRARY.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("around", [["", "long"], ["long", "", "long"], ["long", "", "x", "long", ""]])
+def test_long_texts_beside_empty_ones_are_whole(monkeypatch, around):
+    monkeypatch.setattr("folioquery.llm.pieces.PORTION", 37)
+    monkeypatch.setattr(pieces.by_volume, "__defaults__", (1000,))
+    monkeypatch.setattr("folioquery.llm.pieces.LONG", 1000)
+    texts = ["some words and more, " * 500 if t == "long" else t for t in around]
+    assert all(len(g) == 1 for g in pieces.by_volume(texts) if any(len(texts[i]) > 1000 for i in g))
+    own = [b""] * len(texts)
+    for i, ids in BPE.encode_many(texts):
+        own[i] += ids
+    library = bitpack.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json")).encode_many(texts)
+    for t, a, b in zip(texts, own, library):
+        assert np.frombuffer(a, "<u4").tolist() == LIBRARY.encode_ordinary(t)
+        assert np.frombuffer(b, "<u4").tolist() == TOKENIZER.encode(t, add_special_tokens=False).ids
+
+
+def test_documents_beside_null_ones_are_whole(spark):
+    text = "a b " * 300_000
+    docs = spark.createDataFrame([(1, None), (2, text), (3, None), (4, text)], "doc_id long, text string").coalesce(1)
+    rows = {r["doc_id"]: r for r in bpe.encode_documents(docs, with_ids=False).collect()}
+    assert {rows[i]["decoded_sha256"] for i in (2, 4)} == {hashlib.sha256(text.encode()).hexdigest()}
+    assert rows[1]["n_tokens"] == rows[3]["n_tokens"] == 0
+
+
 def test_bpe_query(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = bpe.query(spark, sf_dir).collect()
