@@ -2,9 +2,11 @@
 
 Three fixed kinds of match (``assign``, ``access``, ``hex``) are the base. Beyond them, source and
 configuration syntax is lexed into name-literal pairs: an operator (``=``, ``:``, ``:=``, ``=>``)
-between a name (bare, quoted, a key in brackets, an option) and a literal (quoted, several quoted
-ones joined by ``+``, or bare). Names bound to quoted literals are constants; where a later pair
-binds a sensitive name to a constant, the constant's literal is what is scored. A literal's score
+between a name (bare, quoted, a key in brackets, an option, an array, or declared with a type behind
+a colon) and a literal (quoted, several quoted ones joined by ``+``, or bare). Names bound to quoted
+literals, or to bare ones with digits, are constants; where a pair binds a sensitive name to a
+constant, the constant's literal is what is scored: the last one before the pair, or else the first
+one after it. A literal's score
 is the weight of the most telling word of its target's name times its strength (length, variety of
 characters, entropy; placeholders have none); from ``REPORT_FROM`` on it is reported as ``literal``.
 
@@ -48,7 +50,15 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _OPERATOR = re.compile(r"(?<![=!<>:])(?::=|=>|=(?![=~])|:(?![:/]))")
-_NAME = re.compile(r"""(?:^|[^A-Za-z0-9_.$-])-{0,2}([A-Za-z_$][A-Za-z0-9_.$-]*)["'`]?[ \t]*\]?[ \t]*$""")
+_NAME = re.compile(r"""(?:^|[^A-Za-z0-9_.$-])-{0,2}([A-Za-z_$][A-Za-z0-9_.$-]*)(?:["'`]?[ \t]*\]?|\[[0-9]*\])[ \t]*$""")
+#: A name with a type behind a colon, up to the operator.
+_TYPED = re.compile(
+    r"""(?:^|[^A-Za-z0-9_.$-])([A-Za-z_$][A-Za-z0-9_.$-]*)["'`]?[ \t]*[?!]?[ \t]*:[ \t]*[&*]?(?:'[a-z]+[ \t]+)?"""
+    r"""[A-Za-z_][A-Za-z0-9_.]*(?:\[[^=\n]*\]|<[^=\n]*>)?(?:[ \t]*\|[ \t]*[A-Za-z_][A-Za-z0-9_.]*)*\??[ \t]*$"""
+)
+_TYPES = frozenset("any bool boolean byte bytes char double final float int integer long none null object str string text undefined unicode".split())
+#: Behind a bare value: the value was a type.
+_ASSIGNED = re.compile(r"[^=\n,;(){}\"']{0,40}(?<![=!<>])=(?![=~>])")
 _QUOTED = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)')""")
 _JOIN = re.compile(r"[ \t]*\+")
 _BARE = re.compile(r"""[ \t]*([^\s"'`,;(){}\[\]<>]+)""")
@@ -106,11 +116,15 @@ def base_spans(text: str) -> list[Span]:
 
 
 def pairs(text: str):
-    """(name, literal, start, end, is_quoted) of each name-literal pair, in order."""
+    """(names, literal, start, end, is_quoted) of each pair, in order. names: the word before the
+    operator and, of a typed declaration, first the name that is declared (a plain type is none)."""
     for op in _OPERATOR.finditer(text):
         at = op.start()
-        name = _NAME.search(text[max(0, at - NAME_REACH) : at])
-        if not name:
+        before = text[max(0, at - NAME_REACH) : at]
+        names = [m.group(1)] if (m := _NAME.search(before)) else []
+        if op.group() == "=" and ":" in before and (m := _TYPED.search(before)):
+            names = [m.group(1)] + [x for x in names if x.lower() not in _TYPES]
+        if not names:
             continue
         quoted = _QUOTED.match(text, op.end())
         if quoted:
@@ -119,29 +133,68 @@ def pairs(text: str):
             while (plus := _JOIN.match(text, pos)) and (more := _QUOTED.match(text, plus.end())):
                 group = 1 if more.group(1) is not None else 2
                 value, end, pos = value + more.group(group), more.end(group), more.end()
-            yield name.group(1), value, start, end, True
+            yield names, value, start, end, True
         elif bare := _BARE.match(text, op.end()):
             value = bare.group(1).rstrip(".:!?")
+            if op.group() == ":" and value.lower() in _TYPES and _ASSIGNED.match(text, bare.end()):
+                continue
             if value:
-                yield name.group(1), value, bare.start(1), bare.start(1) + len(value), False
+                yield names, value, bare.start(1), bare.start(1) + len(value), False
 
 
 def lexed_spans(text: str) -> list[Span]:
-    found, constants = [], {}
     if ":" not in text and "=" not in text:
-        return found
-    for name, value, start, end, is_quoted in pairs(text):
+        return []
+    every = list(pairs(text))
+    bound = {name for names, *_ in every for name in names}
+    #: of each pair its literal, once that is known; of each name the last literal so far and the first at all
+    literals: list[tuple[str, int, int] | None] = [None] * len(every)
+    last: dict[str, tuple[str, int, int]] = {}
+    first: dict[str, tuple[str, int, int]] = {}
+    waiting: dict[str, list[int]] = {}
+    for k, (names, value, start, end, is_quoted) in enumerate(every):
         if is_quoted:
-            constants[name] = (value, start, end)
-        elif value in constants:
-            value, start, end = constants[value]
-            constants[name] = (value, start, end)
-        elif _IDENTIFIER.match(value) and not any(c.isdigit() for c in value):
-            continue  # a reference to something unknown, or a word of prose
-        score = name_weight(name) * strength(value)
-        if score >= REPORT_FROM:
-            found.append(Span("literal", start, end, start, end, round(score, 6)))
-    return found
+            literals[k] = (value, start, end)
+        elif value in last:
+            literals[k] = last[value]
+        elif _IDENTIFIER.match(value) and (value in bound or not any(c.isdigit() for c in value)):
+            waiting.setdefault(value, []).append(k)  # defined later, unknown, or a word of prose
+            continue
+        else:
+            literals[k] = (value, start, end)
+        if is_quoted or literals[k][1] != start or any(c.isdigit() for c in value):
+            for name in names:
+                last[name] = literals[k]
+                first.setdefault(name, literals[k])
+
+    def settle(ready: list[str]) -> None:
+        """Pass the literals of names on to the pairs that wait for them, and so on."""
+        while ready:
+            name = ready.pop()
+            for k in waiting.pop(name, ()):
+                literals[k] = first[name]
+                for other in every[k][0]:
+                    if other not in first:
+                        first[other] = first[name]
+                        ready.append(other)
+
+    settle([name for name in first if name in waiting])
+    # what looks like a name and a literal, and is no name of a literal, is a literal
+    for value, k in sorted(((v, k) for v, ks in waiting.items() if any(c.isdigit() for c in v) for k in ks), key=lambda x: x[1]):
+        if literals[k] is None:
+            literals[k] = every[k][1:4]
+            new = [name for name in every[k][0] if name not in first]
+            first.update((name, literals[k]) for name in new)
+            settle([name for name in new if name != value])
+    found: dict[tuple[int, int], Span] = {}
+    for (names, *_), literal in zip(every, literals):
+        if literal is None:
+            continue
+        value, start, end = literal
+        score = round(max(map(name_weight, names)) * strength(value), 6)
+        if score >= REPORT_FROM and ((start, end) not in found or score > found[start, end].score):
+            found[start, end] = Span("literal", start, end, start, end, score)
+    return list(found.values())
 
 
 def scan(text: str | None) -> list[Span]:

@@ -100,6 +100,21 @@ def test_lexing_propagates_constants():
         assert not secrets.lexed_spans(harmless), harmless
 
 
+def test_lexing_of_declarations_and_references():
+    secret = "aG9sYTEyMw99"
+    for text in (
+        f'let apiSecret: string = "{secret}"', f'private_key: str = "{secret}"', f"const token?: string | null = '{secret}'",
+        f'static AUTH_TOKEN: &str = "{secret}";', f'api_key: Optional[str] = "{secret}"', f'char password[] = "{secret}";', f'char password[32] = "{secret}";',
+        f"KEY={secret}\ntoken=KEY", f'token = KEY\nKEY = "{secret}"', f'token = A\nA = B\nB = "{secret}"', f'U = V\ntoken = U\nV = "{secret}"',
+        f"token = key2\nkey2 = '{secret}'", f'Note: password = "{secret}"', f'Note: K = "{secret}"\ntoken = K',
+    ):
+        assert {text[s.start : s.end] for s in secrets.lexed_spans(text)} == {secret}, text
+    for harmless in (f'x: str = "{secret}"\ntoken: str', "a = b\nb = a\ntoken = a", "token = x9\nx9 = x9", f'K = "{secret}"\nK = "plain"\ntoken = K'):
+        assert not secrets.lexed_spans(harmless), harmless
+    masked = secrets.mask(t := f'apiSecret: string = "{secret}"', secrets.scan(t))
+    assert secret not in masked
+
+
 def test_secret_query_and_redaction(spark):
     rows = [(1, "pw é password=hunter22 ok", "en", 25), (2, None, None, None), (3, "clean", "en", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
