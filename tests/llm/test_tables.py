@@ -120,6 +120,16 @@ def test_counts_against_brute_force(spark, sf_dir):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_repeats_alone_can_reject(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    rows = [(i, " ".join(words[i % 100 : i % 100 + 100]), "en", "s") for i in range(200)]
+    rows.append((200, " ".join(words[:65] + words[:25] + words[100:110]), "en", "s"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in outliers.judge(docs).collect()}
+    assert not got[200]["base_failed"] and got[200]["n_repeat_words"] >= 0.4 * got[200]["n_words"]
+    assert [i for i, r in got.items() if not r["kept"]] == [200]
+
+
 def test_outliers_go_and_the_rest_stays(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
