@@ -46,10 +46,13 @@ def bare(x: str) -> str:
 
 
 def swap(x: str, word: str, by: str) -> str:
-    """Whole-word replacement; twice, as neighbours share the character between them."""
-    literal = rf"replace({by}, '\', '\\')"
-    one = lambda y: rf"regexp_replace({y}, '(^|[^\p{{L}}\p{{N}}_]){word}($|[^\p{{L}}\p{{N}}_])', '\1' || {literal} || '\2', 'gi')"
-    return one(one(x))
+    """Whole-word replacement in one pass. Every character between words is doubled meanwhile, so
+    that neighbours need not share one; what was put in is not looked at again."""
+    apart = r"[^\p{L}\p{N}_]"
+    double = lambda y: rf"regexp_replace({y}, '({apart})', '\1\1', 'g')"
+    literal = rf"replace({double(by)}, '\', '\\')"
+    put = rf"regexp_replace({double(x)}, '(^|{apart}){word.replace(' ', '  ')}($|{apart})', '\1' || {literal} || '\2', 'gi')"
+    return rf"regexp_replace({put}, '({apart}){apart}', '\1', 'g')"
 
 
 PIECES = f"""
@@ -129,14 +132,13 @@ def compared(q: str) -> str:
     return f"coalesce({', '.join(tried)})"
 
 
-#: Questions made of the messages: some name topics, some follow up, some are the text itself.
+#: The messages as they are, some behind an opening that names a topic or a word that follows one up.
 TURNS = f"""
-w AS (SELECT *, coalesce({tokens('text')}[1], 'x') AS w1, coalesce({tokens('text')}[2], 'y') AS w2 FROM conversations),
 turns AS (
   SELECT conv_id, turn, role, CASE (conv_id + turn) % 7
-    WHEN 0 THEN 'What is ' || w1 || ' ' || w2 || '?' WHEN 1 THEN 'Compare ' || w1 || ' and the ' || w2
-    WHEN 2 THEN 'How does it work with ' || w1 || '?' WHEN 3 THEN 'Which one is better?'
-    WHEN 4 THEN 'why' WHEN 5 THEN 'Tell me of the latter and its ' || w2 ELSE text END AS text FROM w),
+    WHEN 0 THEN 'What is ' || text WHEN 1 THEN 'Compare the light and ' || text
+    WHEN 2 THEN 'How does it work with ' || text WHEN 3 THEN 'Which one is better: ' || text
+    WHEN 5 THEN 'Tell me of the latter and its ' || text ELSE text END AS text FROM conversations),
 named AS (
   SELECT *, CASE WHEN role = 'user' THEN lone END AS one, CASE WHEN role = 'user' THEN pair END AS two
   FROM (SELECT *, {single("q")} AS lone, {compared("q")} AS pair FROM (SELECT *, {unmarked(norm('text'))} AS q FROM turns))),

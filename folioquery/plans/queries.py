@@ -57,21 +57,14 @@ def _ranked(spark, sf_dir) -> DataFrame:
 
 
 def _turns(spark, sf_dir) -> DataFrame:
-    """Messages made into questions that name topics, follow up, or are as they were."""
-    words = T.tokens("text")
-    m = _table(spark, sf_dir, "conversations").withColumn("_w", words)
-    one, two = F.coalesce(F.get("_w", F.lit(0)), F.lit("x")), F.coalesce(F.get("_w", F.lit(1)), F.lit("y"))
+    """Messages as they are, some behind an opening that names a topic or a word that follows one
+    up, as the table's own messages seldom do either."""
+    openings = {0: "What is ", 1: "Compare the light and ", 2: "How does it work with ", 3: "Which one is better: ", 5: "Tell me of the latter and its "}
     kind = (F.col("conv_id") + F.col("turn")) % 7
-    text = (
-        F.when(kind == 0, F.concat(F.lit("What is "), one, F.lit(" "), two, F.lit("?")))
-        .when(kind == 1, F.concat(F.lit("Compare "), one, F.lit(" and the "), two))
-        .when(kind == 2, F.concat(F.lit("How does it work with "), one, F.lit("?")))
-        .when(kind == 3, F.lit("Which one is better?"))
-        .when(kind == 4, F.lit("why"))
-        .when(kind == 5, F.concat(F.lit("Tell me of the latter and its "), two))
-        .otherwise(F.col("text"))
-    )
-    return m.select("conv_id", "turn", "role", text.alias("text"))
+    opening = F.lit("")
+    for k, words in openings.items():
+        opening = F.when(kind == k, F.lit(words)).otherwise(opening)
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat(opening, "text").alias("text"))
 
 
 def _words(spark, sf_dir) -> DataFrame:
