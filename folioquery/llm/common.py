@@ -1,58 +1,22 @@
-"""Shared pieces: tables, shared scratch space, size-checked joins."""
+"""Shared pieces of the corpus operators: tables, batches of texts, folds of ids."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which the narrow side of a join (ids or counts, tens of bytes a row) is broadcast.
-BROADCAST_ROWS = 500_000
+from folioquery.scratch import Workspace, free_names, join_checked, materialize, new_path, running_sums  # noqa: F401
 
 #: Bytes of a batch that goes to a Python worker.
 BATCH_BYTES = 8 << 20
 
-_own_dirs: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset, one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _own_dirs.setdefault(app, "") or tempfile.mkdtemp(prefix="folioquery-")
-        _own_dirs[app] = base
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/folioquery/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def join_checked(wide: DataFrame, narrow: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join that broadcasts narrow (which must be materialised) when its counted rows are within
-    limit; beyond that a shuffled join, whose skewed partitions adaptive execution splits."""
-    if narrow.limit(limit + 1).count() <= limit:
-        return wide.join(F.broadcast(narrow), on, how)
-    return wide.join(narrow.hint("merge"), on, how)
-
-
 def text_slices(batches, column: str = "text", most: int = 4 << 20):
     """The rows of Arrow batches in batches of about most bytes of text, so that Python objects are
     made of a little at a time; a longer text stands alone."""

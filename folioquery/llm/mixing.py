@@ -1,6 +1,6 @@
 """Mixing sources to target weights by nested hash thresholds.
 
-Every document draws a 30-bit number from a hash of its id. A source's target is met by taking all
+Every document draws a 30-bit number from a hash of its id and text. A source's target is met by taking all
 of its documents some whole number of times and once more those whose draw is below the source's
 threshold. Thresholds are found without sorting: words are summed by source and by the upper
 ``LEVEL_BITS`` bits of the draw, the running sums name the one bucket in which the budget runs out,
@@ -9,11 +9,13 @@ lower threshold, so mixes of the same documents are nested. The documents that s
 are in or out together, whichever lies nearer to the target.
 
 Only sums by source and bucket leave the executors' partial aggregation, so a source with any share
-of the rows costs as much as another. The table of sources has one row for each source.
+of the rows costs as much as another. The table of sources has one row for each source; where it
+needs an order, sources are sorted by ranges, so many sources do not meet in one task either.
 
 Defined cases: a null text has size 0; null is a source of its own and the last in order; a null id
-draws like the empty text; rows of one id are taken together; sources of size 0 get the target 0;
-an empty table gives no rows; other columns are not read, and apply() leaves them as they are.
+draws like the empty text; rows that agree in id and text are taken together, others are not, however
+frequent an id or a text is; sources of size 0 get the target 0; an empty table gives no rows; other
+columns are not read, and apply() leaves them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import join_checked, materialize, table
+from folioquery.llm.common import Workspace, free_names, join_checked, materialize, running_sums, table
 
 QUERY = "op2_source_mix"
 
@@ -50,36 +52,32 @@ def source_key(source: Column | str) -> Column:
     return F.coalesce(F.concat(F.lit("s"), s), F.lit("n"))
 
 
-def draw(doc_id: Column | str, seed: str = "mix") -> Column:
-    d = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    digest = F.md5(F.concat(F.coalesce(d.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
-    return F.shiftright(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), 32 - DRAW_BITS)
+def draw(doc_id: Column | str, text: Column | str, seed: str = "mix") -> Column:
+    d, t = (F.col(c) if isinstance(c, str) else c for c in (doc_id, text))
+    key = F.concat(F.coalesce(d.cast("string"), F.lit("")), F.lit(f":{seed}:"), F.md5(F.coalesce(t, F.lit("")).cast("binary")))
+    return F.shiftright(F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long"), 32 - DRAW_BITS)
 
 
-def targets(totals: DataFrame, weights=WEIGHTS, share=SHARE, most: int = MOST) -> DataFrame:
+def targets(totals: DataFrame, work: Workspace, weights=WEIGHTS, share=SHARE, most: int = MOST) -> DataFrame:
     """source_key, source_size, target, whole (repeats of every document) and budget (words still
     to take) from (source_key, source_size). Weights go around in the order of the sources; what a
     source cannot take at most times its size is shared among the others by weight."""
     up, down = share
-    order = W.orderBy(F.col("source_key").startswith("n"), "source_key")
+    placed = running_sums(totals.withColumn("one", F.lit(1).cast("long")), [F.col("source_key").startswith("n"), "source_key"], "one", "ordinal", work)
     weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.col("ordinal") % len(weights) + 1).cast("int"))
-    t = totals.withColumn("ordinal", F.row_number().over(order) - 1).withColumn("weight", weight)
-    everything = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    t = placed.drop("one").withColumn("weight", weight).withColumn("cap", F.col("source_size") * most)
     scale = 1
     for w in set(weights):
         scale *= w
     # sources in the order in which a rising level fills them
-    level = W.orderBy(F.expr(f"{scale * most} * source_size div weight"), "source_key")
-    t = (
-        t.withColumn("cap", F.col("source_size") * most)
-        .withColumn("all", F.sum("source_size").over(everything) * up)
-        .withColumn("below", F.coalesce(F.sum("cap").over(level.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("rest", F.sum("weight").over(level.rowsBetween(0, W.unboundedFollowing)))
-        .withColumn("full", (F.col("all") - down * F.col("below")) * F.col("weight") > down * F.col("rest") * F.col("cap"))
-        .withColumn("held", F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(everything))
-        .withColumn("free", F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).over(everything))
-    )
-    shared = ((F.col("all") - down * F.col("held")) * F.col("weight")).cast("double") / (down * F.col("free")).cast("double")
+    t = t.withColumn("level", F.expr(f"{scale * most} * source_size div weight"))
+    t = running_sums(t, ["level", "source_key"], "cap", "below", work)
+    t = work.table(running_sums(t, ["level", "source_key"], "weight", "lighter", work), "levels")
+    words, weighing = (x or 0 for x in t.agg(F.sum("source_size"), F.sum("weight")).first())
+    rest = F.lit(weighing) - F.col("lighter")
+    t = t.withColumn("full", (words * up - down * F.col("below")) * F.col("weight") > down * rest * F.col("cap"))
+    held, free = (x or 0 for x in t.agg(F.sum(F.when(F.col("full"), F.col("cap"))), F.sum(F.when(~F.col("full"), F.col("weight")))).first())
+    shared = (F.lit(words * up - down * held) * F.col("weight")).cast("double") / F.lit(float(down * max(free, 1)))
     t = t.withColumn("target", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(shared))
     whole = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.floor(F.col("target") / F.col("source_size")))
     return (
@@ -109,27 +107,29 @@ def plan(rows: DataFrame, **how) -> DataFrame:
     """One row for each source: source_key, source_size, target, whole, threshold. rows:
     (source_key, size, draw), materialised. The documents of a source are taken whole times, and
     once more where draw < threshold."""
-    first = materialize(_buckets(rows, 0), "mix-sums")
-    totals = first.groupBy("source_key").agg(F.sum("words").alias("source_size"))
-    aims = materialize(targets(totals, **how).coalesce(1), "mix-targets")
-    state = aims.withColumn("taken", F.lit(0).cast("long"))
-    sums = first
-    for level in range(DRAW_BITS // LEVEL_BITS):
-        if level:
-            shift = DRAW_BITS - LEVEL_BITS * level
-            edge = state.select("source_key", F.col("bucket").alias("edge"))
-            inside = join_checked(rows, edge, "source_key").filter(F.shiftright("draw", shift) == F.col("edge"))
-            sums = _buckets(inside, level)
-        state = materialize(_boundary(sums, state), "mix-edges")
-    nearer = F.col("taken") + F.col("words") - F.col("budget") < F.col("budget") - F.col("taken")
-    cuts = state.select("source_key", (F.col("bucket") + nearer.cast("long")).alias("threshold"))
-    found = aims.join(cuts, "source_key", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0).cast("long")))
-    return materialize(found.drop("budget"), "mix-plan")
+    with Workspace(rows.sparkSession, "mix") as work:
+        first = work.table(_buckets(rows, 0), "sums")
+        totals = first.groupBy("source_key").agg(F.sum("words").alias("source_size"))
+        aims = work.table(targets(totals, work, **how), "targets")
+        state = aims.withColumn("taken", F.lit(0).cast("long"))
+        sums = first
+        for level in range(DRAW_BITS // LEVEL_BITS):
+            if level:
+                shift = DRAW_BITS - LEVEL_BITS * level
+                edge = state.select("source_key", F.col("bucket").alias("edge"))
+                inside = join_checked(rows, edge, "source_key").filter(F.shiftright("draw", shift) == F.col("edge"))
+                sums = _buckets(inside, level)
+            state = work.table(_boundary(sums, state), "edges")
+        nearer = F.col("taken") + F.col("words") - F.col("budget") < F.col("budget") - F.col("taken")
+        cuts = state.select("source_key", (F.col("bucket") + nearer.cast("long")).alias("threshold"))
+        found = aims.join(cuts, "source_key", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0).cast("long")))
+        return materialize(found.drop("budget"), "mix-plan")
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source_key, size and draw of each row, materialised."""
-    return materialize(docs.select("doc_id", source_key("source").alias("source_key"), n_words("text").alias("size"), draw("doc_id").alias("draw")), "mix-sizes")
+    rows = docs.select("doc_id", source_key("source").alias("source_key"), n_words("text").alias("size"), draw("doc_id", "text").alias("draw"))
+    return materialize(rows, "mix-sizes")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
@@ -142,10 +142,12 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 def apply(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs as the mix takes them: a row taken twice stands twice, one not taken is
     gone. Rows without words are kept once; they weigh nothing."""
-    sources = plan(sized(docs), **how).select(F.col("source_key").alias("_key"), F.col("whole").alias("_whole"), F.col("threshold").alias("_threshold"))
-    times = F.when(n_words("text") == 0, F.lit(1)).otherwise((F.col("_whole") + (draw("doc_id") < F.col("_threshold")).cast("long")).cast("int"))
-    taken = join_checked(docs.withColumn("_key", source_key("source")), sources, "_key").withColumn("_times", times)
-    return taken.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, whole, cut, times, copy = free_names(docs, "mix_key", "mix_whole", "mix_threshold", "mix_times", "mix_copy")
+    sources = plan(sized(docs), **how).select(F.col("source_key").alias(key), F.col("whole").alias(whole), F.col("threshold").alias(cut))
+    taken = join_checked(docs.withColumn(key, source_key("source")), sources, key)
+    once = F.when(n_words("text") == 0, F.lit(1)).otherwise((F.col(whole) + (draw("doc_id", "text") < F.col(cut)).cast("long")).cast("int"))
+    taken = taken.withColumn(times, once).filter(F.col(times) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +159,7 @@ ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS k,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 8))::BIGINT) >> 2 AS draw
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix:' || md5(coalesce(text, ''))), 1, 8))::BIGINT) >> 2 AS draw
   FROM documents),
 t AS (SELECT k, min(source) AS source, sum(size)::BIGINT AS source_size FROM d GROUP BY k),
 w AS (

@@ -82,6 +82,24 @@ def test_mix_meets_its_targets(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.apply(docs.limit(0)).count() == 0
 
 
+def test_mix_leaves_other_columns_and_splits_hot_ids(spark):
+    names = ["mix_key", "mix_whole", "mix_threshold", "mix_times", "mix_copy", "source_key", "size", "draw", "whole", "threshold", "range_no", "_key", "a.b"]
+    rows = [(None if i % 3 else i, f"w{i} b c", "en", "s" if i % 2 else "t", 0) for i in range(1200)]
+    docs = frame(spark, rows)
+    for n in names:
+        docs = docs.withColumn(n, F.lit(f"own {n}"))
+    kept = mixing.apply(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert got and all(r[n] == f"own {n}" for r in got for n in names)
+    for r in mixing.mix(docs).groupBy("target").agg(F.sum("taken").alias("taken")).collect():
+        assert abs(r["taken"] - r["target"]) <= 9  # though two thirds of the ids are null
+    many = frame(spark, [(i, "a b", "en", f"s{i % 700:04d}", 0) for i in range(2100)])
+    sizes = {f"s{i:04d}": 6 for i in range(700)}
+    want = target_by_rounds(sizes)
+    assert {round(r["target"], 6) for r in mixing.mix(many).collect()} == {round(x, 6) for x in want.values()}
+
+
 def test_one_hot_source(spark):
     rows = [(i, "a b c", "en", "hot" if i % 3 else f"s{i}", 0) for i in range(900)]
     got = mixing.mix(frame(spark, rows)).groupBy("source_size").agg(F.sum("taken"), F.first("target"), F.countDistinct("target")).collect()
