@@ -119,16 +119,18 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def running_sums(rows: DataFrame, order: list, column: str, name: str, work: Workspace) -> DataFrame:
-    """rows with the sum of column over all rows before, as name. order: columns or their sort
-    expressions, which together tell rows apart.
+def running_sums(rows: DataFrame, order: list, sums: dict[str, str], work: Workspace) -> DataFrame:
+    """rows with, for each column named in sums, its sum over all rows before under the name given.
+    order: columns or their sort expressions, which together tell rows apart.
 
     Ranges of the order are summed each on its own and moved up by the sums of the ranges before, so
     that only one row for each range meets in one task."""
-    part, whole, before = free_names(rows, "range_no", "range_sum", "range_before")
+    part, *moves = free_names(rows, "range_no", *(f"range_{name}" for name in sums.values()))
     ranged = work.table(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
-    sums = ranged.groupBy(part).agg(F.sum(column).alias(whole))
-    before_range = work.table(sums.select(part, (F.sum(whole).over(W.orderBy(part)) - F.col(whole)).alias(before)), "range-sums")
-    within = F.sum(column).over(W.partitionBy(part).orderBy(*order)) - F.col(column)
-    summed = ranged.withColumn(name, within).join(F.broadcast(before_range), part)  # a row for each range
-    return summed.withColumn(name, (F.col(name) + F.col(before)).cast("long")).drop(part, before)
+    whole = ranged.groupBy(part).agg(*[F.sum(c).alias(m) for c, m in zip(sums, moves)])
+    earlier = W.orderBy(part)
+    before = whole.select(part, *[(F.sum(m).over(earlier) - F.col(m)).alias(m) for m in moves])
+    within = W.partitionBy(part).orderBy(*order)
+    summed = ranged.withColumns({name: F.sum(c).over(within) - F.col(c) for c, name in sums.items()})
+    moved = summed.join(F.broadcast(before), part)  # a row for each range
+    return moved.withColumns({name: (F.col(name) + F.col(m)).cast("long") for name, m in zip(sums.values(), moves)}).drop(part, *moves)
