@@ -63,7 +63,7 @@ def targets(totals: DataFrame, work: Workspace, weights=WEIGHTS, share=SHARE, mo
     to take) from (source_key, source_size). Weights go around in the order of the sources; what a
     source cannot take at most times its size is shared among the others by weight."""
     up, down = share
-    placed = running_sums(totals.withColumn("one", F.lit(1).cast("long")), [F.col("source_key").startswith("n"), "source_key"], "one", "ordinal", work)
+    placed = running_sums(totals.withColumn("one", F.lit(1).cast("long")), [F.col("source_key").startswith("n"), "source_key"], {"one": "ordinal"}, work)
     weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.col("ordinal") % len(weights) + 1).cast("int"))
     t = placed.drop("one").withColumn("weight", weight).withColumn("cap", F.col("source_size") * most)
     scale = 1
@@ -71,8 +71,7 @@ def targets(totals: DataFrame, work: Workspace, weights=WEIGHTS, share=SHARE, mo
         scale *= w
     # sources in the order in which a rising level fills them
     t = t.withColumn("level", F.expr(f"{scale * most} * source_size div weight"))
-    t = running_sums(t, ["level", "source_key"], "cap", "below", work)
-    t = work.table(running_sums(t, ["level", "source_key"], "weight", "lighter", work), "levels")
+    t = running_sums(t, ["level", "source_key"], {"cap": "below", "weight": "lighter"}, work)
     words, weighing = (x or 0 for x in t.agg(F.sum("source_size"), F.sum("weight")).first())
     rest = F.lit(weighing) - F.col("lighter")
     t = t.withColumn("full", (words * up - down * F.col("below")) * F.col("weight") > down * rest * F.col("cap"))
