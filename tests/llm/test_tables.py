@@ -1,6 +1,7 @@
 """Mixing, outliers, top-k search, the Jaccard join, the pipeline and the registered queries."""
 
 import collections
+import itertools
 import random
 import re
 
@@ -138,6 +139,45 @@ def test_counts_against_brute_force(spark, sf_dir):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_repeats_where_hashes_are_cut_short(spark):
+    # so long that the upper bits of the hashes agree by chance: 300,000 distinct words and a few repeats
+    rng = random.Random(6)
+    words = [f"{rng.getrandbits(60):x}" for _ in range(300_000)]
+    words[1000:1004] = words[5:9]
+    long = " ".join(words)
+    rows = [(1, long), (2, "x y z w " * 50_000)]
+    got = {r["doc_id"]: r["n_repeat_words"] for r in outliers.counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: base_counts(t)[4] for i, t in rows}
+
+
+def brute_mcd(x, target, least):
+    """The least determinant over all subsets of the share, by the operator's own regularisation."""
+    n, d = x.shape
+    h = int(np.ceil(outliers.SUBSET * n))
+    scale = outliers.SUBSET / outliers._chi_square_cdf(outliers._chi_square_quantile(outliers.SUBSET, d), d + 2)
+    own = n / (n + outliers.PRIOR)
+    dets = [np.linalg.slogdet(own * scale * np.cov(x[list(s)].T, bias=True) + np.diag((1 - own) * target + least))[1] for s in itertools.combinations(range(n), h)]
+    return min(dets)
+
+
+def test_estimates_against_every_subset(spark):
+    rng = np.random.default_rng(12)
+    rows, clouds = [], {}
+    for cell, n in (("a", 12), ("b", 14), ("c", 5), ("d", 1)):
+        q = np.rint(rng.normal(size=(n, 4)) * [400, 300, 900, 300] + [1500, 200, 0, 100]).astype(int)
+        q[: n // 6] += 6000
+        clouds[cell] = q
+        rows += [("s" + cell, "n", *map(int, r)) for r in q]
+    points = spark.createDataFrame(rows, "lang_key string, source_key string, q0 long, q1 long, q2 long, q3 long")
+    got = {r["lang_key"][1]: r for r in outliers.estimates(points).collect()}
+    middle = lambda v: np.sort(v)[(len(v) + 1) // 2 - 1]
+    off = np.concatenate([abs(q - [middle(c) for c in q.T]) for q in clouds.values()])
+    target = np.array([(1.4826 * middle(c)) ** 2 for c in off.T])
+    assert set(got) == set(clouds)
+    for cell, q in clouds.items():
+        assert got[cell]["det"] <= brute_mcd(q.astype(float), target, np.array(outliers._LEAST)) + 0.35, cell
+
+
 def test_repeats_alone_can_reject(spark):
     words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
     rows = [(i, " ".join(words[i % 100 : i % 100 + 100]), "en", "s") for i in range(200)]
