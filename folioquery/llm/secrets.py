@@ -10,8 +10,10 @@ one after it. A literal's score
 is the weight of the most telling word of its target's name times its strength (length, variety of
 characters, entropy; placeholders have none); from ``REPORT_FROM`` on it is reported as ``literal``.
 
-Lexing starts from the operators alone, looks back over at most ``NAME_REACH`` characters for the
-name and forward over the literal, so it is linear in the text; whole texts are scanned.
+Lexing starts from the operators alone. The name is read backwards from its operator, over the blanks
+and the whole name that stand before it, and a declared type forward from its colon up to the next
+one, so that no character is read for more than a few operators: it is linear in the text, and neither
+a name's length nor the blanks around it matter. Whole texts are scanned.
 
 Defined cases: a null text is scanned as the empty text; spans of one kind never overlap, spans of
 different kinds may; equal starts are ordered by kind as listed, then by end; a span found twice is
@@ -37,7 +39,6 @@ ORACLE_SQL = None
 KINDS = ("assign", "access", "hex", "literal")
 MASK = "[SECRET]"
 REPORT_FROM = 0.5
-NAME_REACH = 80
 
 
 def _either_case(word: str) -> str:
@@ -50,15 +51,17 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _OPERATOR = re.compile(r"(?<![=!<>:])(?::=|=>|=(?![=~])|:(?![:/]))")
-_NAME = re.compile(r"""(?:^|[^A-Za-z0-9_.$-])-{0,2}([A-Za-z_$][A-Za-z0-9_.$-]*)(?:["'`]?[ \t]*\]?|\[[0-9]*\])[ \t]*$""")
-#: A name with a type behind a colon, up to the operator.
-_TYPED = re.compile(
-    r"""(?:^|[^A-Za-z0-9_.$-])([A-Za-z_$][A-Za-z0-9_.$-]*)["'`]?[ \t]*[?!]?[ \t]*:[ \t]*[&*]?(?:'[a-z]+[ \t]+)?"""
-    r"""[A-Za-z_][A-Za-z0-9_.]*(?:\[[^=\n]*\]|<[^=\n]*>)?(?:[ \t]*\|[ \t]*[A-Za-z_][A-Za-z0-9_.]*)*\??[ \t]*$"""
+#: A name before an operator, of the text turned around: blanks, a place in brackets or a closing
+#: bracket and quote, and the name, which begins behind up to two dashes.
+_NAME = re.compile(r"""[ \t]*+(?:\][0-9]*+\[|(?:\][ \t]*+)?["'`]?)([A-Za-z0-9_.$-]*[A-Za-z_$])-{0,2}(?![A-Za-z0-9_.$-])""")
+#: The same before the colon of a type, where a mark may stand between.
+_DECLARED = re.compile(r"""[ \t]*+(?:[?!][ \t]*+)?["'`]?([A-Za-z0-9_.$-]*[A-Za-z_$])(?![A-Za-z0-9_.$-])""")
+#: A type behind a colon, up to a single =. Its brackets hold no single colon.
+_TYPE = re.compile(
+    r"""[ \t]*+[&*]?(?:'[a-z]+[ \t]+)?[A-Za-z_][A-Za-z0-9_.]*+(?:\[(?:[^=\n:]|::)*\]|<(?:[^=\n:]|::)*>)?"""
+    r"""(?:[ \t]*+\|[ \t]*+[A-Za-z_][A-Za-z0-9_.]*+)*+\??[ \t]*+(?==(?![=~>]))"""
 )
 _TYPES = frozenset("any bool boolean byte bytes char double final float int integer long none null object str string text undefined unicode".split())
-#: Behind a bare value: the value was a type.
-_ASSIGNED = re.compile(r"[^=\n,;(){}\"']{0,40}(?<![=!<>])=(?![=~>])")
 _QUOTED = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)')""")
 _JOIN = re.compile(r"[ \t]*\+")
 _BARE = re.compile(r"""[ \t]*([^\s"'`,;(){}\[\]<>]+)""")
@@ -118,25 +121,30 @@ def base_spans(text: str) -> list[Span]:
 def pairs(text: str):
     """(names, literal, start, end, is_quoted) of each pair, in order. names: the word before the
     operator and, of a typed declaration, first the name that is declared (a plain type is none)."""
+    back, n = text[::-1], len(text)
+    declared: tuple[int, str] | None = None  # where the operator of a typed declaration stands, and its name
     for op in _OPERATOR.finditer(text):
         at = op.start()
-        before = text[max(0, at - NAME_REACH) : at]
-        names = [m.group(1)] if (m := _NAME.search(before)) else []
-        if op.group() == "=" and ":" in before and (m := _TYPED.search(before)):
-            names = [m.group(1)] + [x for x in names if x.lower() not in _TYPES]
+        names = [m.group(1)[::-1]] if (m := _NAME.match(back, n - at)) else []
+        has_type = None
+        if op.group() == ":" and (m := _DECLARED.match(back, n - at)) and (has_type := _TYPE.match(text, op.end())):
+            declared = has_type.end(), m.group(1)[::-1]
+        elif op.group() == "=" and declared and declared[0] == at:
+            names = [declared[1]] + [x for x in names if x.lower() not in _TYPES]
         if not names:
             continue
         quoted = _QUOTED.match(text, op.end())
         if quoted:
             group = 1 if quoted.group(1) is not None else 2
-            start, end, value, pos = quoted.start(group), quoted.end(group), quoted.group(group), quoted.end()
+            start, end, parts, pos = quoted.start(group), quoted.end(group), [quoted.group(group)], quoted.end()
             while (plus := _JOIN.match(text, pos)) and (more := _QUOTED.match(text, plus.end())):
                 group = 1 if more.group(1) is not None else 2
-                value, end, pos = value + more.group(group), more.end(group), more.end()
-            yield names, value, start, end, True
+                parts.append(more.group(group))
+                end, pos = more.end(group), more.end()
+            yield names, "".join(parts), start, end, True
         elif bare := _BARE.match(text, op.end()):
             value = bare.group(1).rstrip(".:!?")
-            if op.group() == ":" and value.lower() in _TYPES and _ASSIGNED.match(text, bare.end()):
+            if has_type and value.lower() in _TYPES:
                 continue
             if value:
                 yield names, value, bare.start(1), bare.start(1) + len(value), False

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import pytest
@@ -115,6 +116,28 @@ def test_lexing_of_declarations_and_references():
     assert secret not in masked
 
 
+def test_lexing_has_no_reach():
+    secret = "aG9sYTEyMw99"
+    for name in ("client_secret" + " " * 90, "client_secret" + "\t" * 90_000, "secret_" + "x" * 90, "k" * 200 + "_password", 'conf["api_key"' + " " * 300 + "]", "password[" + "1" * 200 + "]"):
+        for op in ("=", ":", " := "):
+            text = f'{name}{op}{" " * 200}"{secret}"'
+            assert secret in {text[s.start : s.end] for s in secrets.lexed_spans(text)}, text[:120]
+    for kind in ("string" + " " * 200, "Map<" + "a, " * 100 + "std::string>", "str" + " | str" * 60):
+        text = f'api_secret: {kind} = "{secret}"'
+        assert {text[s.start : s.end] for s in secrets.lexed_spans(text)} == {secret}, text[:120]
+
+
+def test_lexing_is_linear_in_the_text():
+    def seconds(text):
+        began = time.process_time()
+        secrets.scan(text)
+        return time.process_time() - began
+
+    for unit in ("'ab' + ", "a: b[", "=", "k = ", ": ", " ", "x:y<", "token ", '="', "- ", "a.", "]", "token = a\n", "a='\\'"):
+        times = [min(seconds("token = " + unit * (n // len(unit))) for _ in range(2)) for n in (200_000, 800_000)]
+        assert times[1] < 0.1 or times[1] < 10 * times[0], (unit, times)
+
+
 def test_secret_query_and_redaction(spark):
     rows = [(1, "pw é password=hunter22 ok", "en", 25), (2, None, None, None), (3, "clean", "en", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
@@ -125,6 +148,11 @@ def test_secret_query_and_redaction(spark):
     assert left == {1: ("pw é password=[SECRET] ok", 25), 2: (None, None), 3: ("clean", 5)}
     assert secrets.redact(docs).columns == docs.columns and secrets.digests(empty(spark)).count() == 0
     assert [s["kind"] for s in secrets.find_secrets(docs).filter("doc_id = 1").first()["spans"]] == ["assign", "literal"]
+    again = docs.unionByName(docs).withColumn("spans", docs.lang)
+    assert by_row(secrets.digests(again)) == by_row(secrets.digests(docs).unionByName(secrets.digests(docs)))
+    long = "some words, " * 300_000 + "api_key = 'Zx81aakkQ_w7Gh'"
+    found = secrets.find_secrets(spark.createDataFrame([(9, long)], "doc_id long, text string")).first()["spans"]
+    assert {long[s["value_start"] : s["value_end"]] for s in found} == {"Zx81aakkQ_w7Gh"}
 
 
 def fold(i, n):
