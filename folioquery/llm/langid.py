@@ -3,19 +3,29 @@
 A text is lower-cased and encoded as UTF-8; ASCII bytes other than letters become spaces. Its
 subwords are the 3- and 4-byte windows without an inner space, hashed into ``BUCKETS`` rows of an
 embedding matrix. The mean embedding goes through a linear layer and a softmax. Embeddings and
-layer are trained together by stochastic gradient descent in numpy, on the driver, over a bounded
-sample of labelled documents: about ``PER_LANG`` documents of each language, chosen by a hash of
-their id, of at most ``MAX_TRAIN_CHARS`` characters (longer ones are only left out of training;
-prediction always reads whole texts). A quarter of the sample is held back to fit a softmax
-temperature and the confidence below which a prediction is rejected.
+layer are trained together by stochastic gradient descent in numpy, on the driver.
+
+The training sample is bounded: of each language the ``PER_LANG`` documents whose hash of id and text
+is least, fewer where there are so many languages that ``MOST_ROWS`` would be passed, and never more
+than ``MOST_ROWS`` (of more languages than that, those whose documents hash lowest are learned).
+Rows that agree in id and text count once, so frequent ids do not fill or empty a sample. Documents
+of more than ``MAX_TRAIN_CHARS`` characters are only left out of training; prediction always reads
+whole texts.
+
+A quarter of the sample is held back to calibrate: it fits a softmax temperature, and the confidence
+below which a prediction is rejected. That is set against documents in no learned language, the
+held-back ones with their letters dealt anew: the least confidence that turns away ``JUNK_SHARE`` of
+those, unless it turned away more than ``REJECT_SHARE`` of the documents that are predicted right.
 
 Because everything up to the softmax is linear, prediction folds embedding and layer into one
-table of class scores by bucket, so a document costs one gather and one sum per subword.
+table of class scores by bucket where that is the narrower one, so a document costs one gather and
+one sum per subword.
 
 Defined cases: a null text or one without a letter gives ``und`` with score 0 and is rejected; a
 text with letters but no subword gets the scores of the bias alone; with nothing to learn from,
-every document is ``und``; ties go to the language that sorts first; repeated rows are predicted
-alike; an empty table gives no rows. A null id counts as held out.
+every document is ``und``; with one language every text with a letter is of it; ties go to the
+language that sorts first; repeated rows are predicted alike; an empty table gives no rows. A null id
+counts as held out.
 """
 
 from __future__ import annotations
@@ -26,9 +36,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import id_fold, map_batches, table, text_slices
+from folioquery.llm.common import Workspace, id_fold, join_checked, map_batches, table, text_slices
 
 QUERY = "op10_language_id"
 ORACLE_SQL = None
@@ -36,11 +47,15 @@ ORACLE_SQL = None
 BUCKETS = 1 << 16
 DIM = 16
 PER_LANG = 600
+MOST_ROWS = 20_000
 MAX_TRAIN_CHARS = 20_000
 EPOCHS = 4
 RATE = 0.5
-#: Share of held-back documents that the rejection threshold may turn away.
+#: Share of documents in no learned language that are to be rejected, and of right ones that may be.
+JUNK_SHARE = 0.99
 REJECT_SHARE = 0.001
+#: Class scores (documents times languages) that calibration looks at.
+CHECK_VALUES = 4_000_000
 UNKNOWN = "und"
 
 _SPACED = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
@@ -52,11 +67,19 @@ _SLICE = 1 << 19
 @dataclass
 class LangModel:
     labels: list[str] = field(default_factory=list)
-    scores: np.ndarray | None = None  # [BUCKETS + 1, labels]; the last row is zero
+    rows: np.ndarray | None = None  # [BUCKETS + 1, labels or DIM]; the last row is zero
+    layer: np.ndarray | None = None  # [DIM, labels] where rows are embeddings
     bias: np.ndarray | None = None
     temperature: float = 1.0
     reject_below: float = 0.0
 
+    def logits(self, texts: list[str]) -> np.ndarray:
+        out = []
+        for at in range(0, len(texts), 256):
+            mean = mean_rows([spaced_bytes(t) for t in texts[at : at + 256]], self.rows)
+            out.append((mean if self.layer is None else mean @ self.layer) + self.bias)
+        return np.concatenate(out)
+
 
 def spaced_bytes(text: str) -> bytes:
     return b" " + text.lower().encode("utf-8", "replace").translate(_SPACED) + b" "
@@ -86,13 +109,13 @@ def _padded(parts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(parts) + b"   ", np.uint8)
 
 
-def mean_scores(parts: list[bytes], scores: np.ndarray) -> np.ndarray:
-    """[documents, labels]: the mean score over each document's subwords (0 without any)."""
+def mean_rows(parts: list[bytes], table_rows: np.ndarray) -> np.ndarray:
+    """The mean of the rows of each document's subwords (0 without any)."""
     buf = _padded(parts)
     ends = np.cumsum([len(p) for p in parts])
     starts = np.concatenate(([0], ends[:-1]))
-    total = np.zeros((len(parts), scores.shape[1] + 1))
-    rows = np.concatenate((scores, np.ones((len(scores), 1), np.float32)), axis=1)
+    total = np.zeros((len(parts), table_rows.shape[1] + 1))
+    rows = np.concatenate((table_rows, np.ones((len(table_rows), 1), np.float32)), axis=1)
     rows[BUCKETS] = 0
     for at in range(0, int(ends[-1]), _SLICE):
         to = min(at + _SLICE, int(ends[-1]))
@@ -113,7 +136,8 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> LangModel:
     labels = sorted(set(langs))
     if not labels:
         return LangModel()
-    y = np.array([labels.index(x) for x in langs])
+    number = {x: i for i, x in enumerate(labels)}
+    y = np.array([number[x] for x in langs])
     bags = []
     for t in texts:
         w = np.concatenate(window_buckets(_padded([spaced_bytes(t)])))
@@ -141,45 +165,59 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> LangModel:
             bias -= rate * g
             # the mean spreads a step over thousands of rows: scaled up to the step of a single row
             emb[ids] -= rate * np.float32(np.sqrt(len(ids))) * w[:, None] * back
-    scores = np.concatenate((emb @ layer, np.zeros((1, k), np.float32))).astype(np.float32)
-    model = LangModel(labels, scores, bias)
+    zero = np.zeros((1, DIM), np.float32)
+    emb = np.concatenate((emb, zero))
+    # the same function either way: class scores by bucket, or embeddings where classes are many
+    model = LangModel(labels, emb @ layer, None, bias) if k <= DIM else LangModel(labels, emb, layer, bias)
     check = np.flatnonzero(held)
-    if len(check):
-        z = np.concatenate([mean_scores([spaced_bytes(texts[d])], scores) for d in check]) + bias
-        at = np.arange(len(check))
-        grid = np.geomspace(0.05, 5, 60)
-        loss = [-np.log(np.maximum(_softmax(z / t)[at, y[check]], 1e-12)).mean() for t in grid]
-        model.temperature = float(grid[int(np.argmin(loss))])
-        p = _softmax(z / model.temperature)
-        right = p.argmax(axis=1) == y[check]
-        sure = np.sort(p.max(axis=1)[right])
-        if len(sure):
-            model.reject_below = float(min(0.5, sure[int(REJECT_SHARE * len(sure))]))
+    check = check[: max(64, CHECK_VALUES // k)]
+    if len(check) and k > 1:
+        _calibrate(model, [texts[d] for d in check], y[check], rng)
     return model
 
 
-def sample_rows(docs: DataFrame, may_learn, per_lang: int = PER_LANG) -> DataFrame:
-    """About per_lang rows of each language, by a hash of the id; counts cover all rows."""
-    rows = docs.filter(may_learn & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return rows.select("doc_id", "lang", "text").limit(0)
-    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 30))
-    limit = F.lit(0)
-    for lang, n in counts.items():
-        limit = F.when(F.col("lang") == lang, F.lit(int(min(1.0, per_lang / n) * (1 << 30)))).otherwise(limit)
-    return (
-        rows.filter(drawn < limit)
-        .filter(F.col("text").isNotNull() & (F.length("text") <= MAX_TRAIN_CHARS))
-        .select("doc_id", "lang", "text")
-    )
+def _dealt_anew(text: str, rng: np.random.Generator) -> str:
+    """text with its letters in another order: words of the same lengths in no language."""
+    chars = np.array(list(text.lower()))
+    at = np.flatnonzero([c.isalpha() for c in chars])
+    chars[at] = chars[rng.permutation(at)]
+    return "".join(chars.tolist())
+
+
+def _calibrate(model: LangModel, texts: list[str], y: np.ndarray, rng: np.random.Generator) -> None:
+    z = model.logits(texts)
+    at = np.arange(len(texts))
+    grid = np.geomspace(0.05, 5, 60)
+    loss = [-np.log(np.maximum(_softmax(z / t)[at, y], 1e-12)).mean() for t in grid]
+    model.temperature = float(grid[int(np.argmin(loss))])
+    p = _softmax(z / model.temperature)
+    sure = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
+    junk = np.sort(_softmax(model.logits([_dealt_anew(t, rng) for t in texts]) / model.temperature).max(axis=1))
+    if len(sure):
+        model.reject_below = float(min(sure[int(REJECT_SHARE * len(sure))], junk[min(len(junk) - 1, int(JUNK_SHARE * len(junk)))]))
+
+
+def sample_rows(docs: DataFrame, may_learn, work: Workspace, per_lang: int = PER_LANG, most: int = MOST_ROWS) -> DataFrame:
+    """lang, drawn and text of the sample; at most `most` rows."""
+    drawn = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("language sample")), 1)
+    rows = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= MAX_TRAIN_CHARS))
+    rows = rows.select("lang", "text", drawn.alias("drawn"))
+    counts = work.table(rows.groupBy("lang").agg(F.approx_count_distinct("drawn").alias("n")), "langs")
+    each = max(1, min(per_lang, most // max(1, counts.count())))
+    # so many more than are wanted that fewer of a language are as good as impossible
+    limits = counts.select("lang", (F.least(F.lit(1.0), F.lit(4.0 * each + 20) / F.col("n")) * float((1 << 63) - 1024)).cast("long").alias("limit"))
+    few = join_checked(rows, work.table(limits, "limits"), "lang").filter("drawn <= limit")
+    few = work.table(few.groupBy("lang", "drawn").agg(F.min("text").alias("text")), "few")
+    place = F.row_number().over(W.partitionBy("lang").orderBy("drawn"))
+    return few.withColumn("place", place).filter(F.col("place") <= each).drop("place").orderBy("drawn", "lang").limit(most)
 
 
 def fit(docs: DataFrame, may_learn=None, per_lang: int = PER_LANG) -> LangModel:
     """Learn from the rows of (doc_id, text, lang) where may_learn holds."""
     may_learn = F.col("doc_id").isNotNull() if may_learn is None else may_learn
-    rows = sample_rows(docs.select("doc_id", "text", "lang"), may_learn, per_lang).collect()
-    rows = sorted(((r["doc_id"], r["lang"], r["text"]) for r in rows))
+    with Workspace(docs.sparkSession, "langs") as work:
+        rows = sample_rows(docs.select("doc_id", "text", "lang"), may_learn, work, per_lang).collect()
+    rows = sorted((r["drawn"], r["lang"], r["text"]) for r in rows)
     return train([r[2] for r in rows], [r[1] for r in rows])
 
 
@@ -188,8 +226,7 @@ def predict_texts(texts: list[str | None], model: LangModel) -> tuple[list[str],
     label, score, reject = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
     known = [i for i, t in enumerate(texts) if t is not None and _LETTER.search(t)] if model.labels else []
     if known:
-        z = mean_scores([spaced_bytes(texts[i]) for i in known], model.scores) + model.bias
-        p = _softmax(z / model.temperature)
+        p = _softmax(model.logits([texts[i] for i in known]) / model.temperature)
         best = p.argmax(axis=1)
         score[known] = p.max(axis=1)
         reject[known] = score[known] < model.reject_below

@@ -5,7 +5,9 @@ highest inverse document frequency (counted over the whole corpus) to their plac
 A file's own licence words are looked up from the rarest on; each place of a word and each posting
 give a start that the template would have in the file. Starts on which enough of a template's rare
 words agree, allowing ``DRIFT`` words of insertion or loss for notices and none for phrases, are
-candidates, and a candidate counts if its mandatory key phrases stand where they belong.
+candidates, and a candidate counts if its mandatory key phrases stand where they belong. Beside the
+short notices here there are whole texts and version notices in license_texts, and find_licenses()
+takes any further texts as templates.
 
 A phrase is looked up by its single rarest word and verified word by word, so every place of it is
 found. The base labels are phrases of this kind; the further templates add labels of their own.
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioquery.llm.common import map_batches, table, text_slices
+from folioquery.llm.license_texts import BODIES
 
 QUERY = "op1_license_scan"
 ORACLE_SQL = None
@@ -149,15 +152,13 @@ def templates() -> list[Template]:
         for text, label in phrases.items():
             w = _words(text)
             out.append(Template(label, w, ((0, w),), True, is_base))
-    for label, text, keys in NOTICES:
+    for label, text, keys in NOTICES + BODIES:
         w = _words(text)
         out.append(Template(label, w, tuple((_place(w, _words(k)), _words(k)) for k in keys), False, False))
     return out
 
 
-TEMPLATES = templates()
-VOCABULARY = frozenset(w for t in TEMPLATES for w in t.words)
-_SPAN = max(len(t.words) for t in TEMPLATES) + 2 * DRIFT + 2
+TEMPLATES = tuple(templates())
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
@@ -167,8 +168,17 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_TABLE).split()
 
 
-def portions(text: str | None):
-    """(place of the first word, words, how many of them are new) of a text, in portions."""
+def template_of(label: str, text: str) -> Template:
+    """A template of a licence's text as it stands in a file: its mandatory phrases are the
+    five words at each quarter of it."""
+    w = tuple(words_of(text))
+    at = sorted({max(0, min(len(w) - 5, len(w) * k // 4)) for k in (1, 2, 3)})
+    return Template(label, w, tuple((i, w[i : i + 5]) for i in at), False, False)
+
+
+def portions(text: str | None, overlap: int = 0):
+    """(place of the first word, words, how many of them are new) of a text, in portions that share
+    overlap words."""
     raw = (text or "").encode("utf-8", "replace").translate(_TABLE)
     if len(raw) <= PORTION:
         words = raw.split()
@@ -183,18 +193,20 @@ def portions(text: str | None):
         new = raw[at:to].split()
         yield done - len(carry), carry + new, len(new)
         done += len(new)
-        carry = (carry + new)[-_SPAN:]
+        carry = (carry + new)[-overlap:] if overlap else []
         at = to
 
 
 class Index:
     """Postings of the templates' rare words: word -> [(template, place)]."""
 
-    def __init__(self, frequency: dict[bytes, int], n_docs: int):
-        self.idf = {w: math.log((1 + n_docs) / (1 + frequency.get(w, 0))) for w in VOCABULARY}
+    def __init__(self, frequency: dict[bytes, int], n_docs: int, templates: tuple[Template, ...] = TEMPLATES):
+        self.templates = templates
+        self.overlap = max(len(t.words) for t in templates) + 2 * DRIFT + 2
+        self.idf = {w: math.log((1 + n_docs) / (1 + frequency.get(w, 0))) for t in templates for w in t.words}
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
         self.need = []
-        for k, t in enumerate(TEMPLATES):
+        for k, t in enumerate(templates):
             ranked = sorted(range(len(t.words)), key=lambda i: (-self.idf[t.words[i]], t.words[i], i))
             rare = ranked[: 1 if t.is_phrase else RARE_WORDS]
             self.need.append(max(1, math.ceil(AGREE * len(rare))))
@@ -214,7 +226,7 @@ class Index:
         starts: dict[int, list[tuple[int, int]]] = {}
         for w in sorted(places, key=lambda w: (-self.idf[w], w)):
             for k, offset in self.postings[w]:
-                t = TEMPLATES[k]
+                t = self.templates[k]
                 if t.is_phrase:
                     n = len(t.words)
                     found |= {(k, p - offset, 1.0) for p in places[w] if p >= offset and tuple(words[p - offset : p - offset + n]) == t.words}
@@ -226,7 +238,7 @@ class Index:
 
     def _notices(self, k: int, votes: list[tuple[int, int]], words: list[bytes]) -> set[tuple[int, int, float]]:
         """Starts agreed on within DRIFT, by a window over the sorted votes."""
-        t, found = TEMPLATES[k], set()
+        t, found = self.templates[k], set()
         low, seen = 0, Counter()
         last = None
         for start, offset in votes:
@@ -255,18 +267,18 @@ class Index:
 
 def scan(text: str | None, index: Index) -> dict:
     """n_words, matches (label, start, score, is_base) and the digest columns of one text."""
-    n_words, found = 0, set()
-    for first, words, new in portions(text):
+    n_words, found, known = 0, set(), index.templates
+    for first, words, new in portions(text, index.overlap):
         n_words += new
         found |= {(k, first + start, score) for k, start, score in index.matches(words)}
-    base = [(start, TEMPLATES[k].label) for k, start, _ in found if TEMPLATES[k].is_base]
+    base = [(start, known[k].label) for k, start, _ in found if known[k].is_base]
     return {
         "n_words": n_words,
         "n_base": len(base),
         "first_word": min((s for s, _ in base), default=None),
         "last_word": max((s for s, _ in base), default=None),
         "base_labels": ",".join(sorted({x for _, x in base})),
-        "labels": ",".join(sorted({TEMPLATES[k].label for k, _, _ in found})),
+        "labels": ",".join(sorted({known[k].label for k, _, _ in found})),
         "score": max((score for _, _, score in found), default=0.0),
     }
 
@@ -277,8 +289,9 @@ _FIELDS = [
 ]
 
 
-def count_words(docs: DataFrame) -> Index:
+def count_words(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> Index:
     """The index, with document frequencies of the templates' words over every row of docs."""
+    vocabulary = frozenset(w for t in templates for w in t.words)
 
     def run(batches):
         n, seen = 0, Counter()
@@ -287,18 +300,19 @@ def count_words(docs: DataFrame) -> Index:
                 n += 1
                 own: set[bytes] = set()
                 for _, words, _ in portions(t):
-                    own |= VOCABULARY.intersection(words)
+                    own |= vocabulary.intersection(words)
                 seen.update(own)
         yield pa.RecordBatch.from_pydict({"word": [None, *(w.decode() for w in seen)], "n": [n, *seen.values()]})
 
     sums = map_batches(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = {r["word"]: r["n"] for r in sums}  # at most one row for each word of the templates
-    return Index({w.encode(): n for w, n in counts.items() if w is not None}, counts.get(None, 0))
+    return Index({w.encode(): n for w, n in counts.items() if w is not None}, counts.get(None, 0), templates)
 
 
-def find_licenses(docs: DataFrame, index: Index | None = None) -> DataFrame:
-    """doc_id and what scan() gives for each row of docs."""
-    index = index or count_words(docs)
+def find_licenses(docs: DataFrame, index: Index | None = None, more: dict[str, str] | None = None) -> DataFrame:
+    """doc_id and what scan() gives for each row of docs. more: further licence texts by label."""
+    given = tuple(template_of(label, text) for label, text in (more or {}).items() if len(words_of(text)) >= 5)
+    index = index or count_words(docs, TEMPLATES + given)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

@@ -4,12 +4,15 @@ import hashlib
 import re
 import time
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioquery.llm import compress_quality as CQ
 from folioquery.llm import langid, licenses, secrets
-from folioquery.llm.common import materialize
+from folioquery.llm.common import Workspace, materialize
 
 ODD = [
     (1, None), (2, ""), (3, "..."), (4, "word"), (4, "word"), (None, "Under the MIT License, under the mit license"),
@@ -70,6 +73,49 @@ def test_license_notices_stand_some_change():
         assert ("mit-text" in licenses.scan(text, index)["labels"]) is labels
 
 
+TEXTS = [(label, text, keys) for label, text, keys in licenses.NOTICES + licenses.BODIES]
+
+
+@pytest.mark.parametrize("label, text, keys", TEXTS, ids=[label for label, *_ in TEXTS])
+def test_every_notice_is_found_and_needs_its_phrases(label, text, keys):
+    noise = "rivers carry water to the sea and mountains hold snow in winter "
+    index = licenses.Index({w.encode(): 50 for w in noise.split()}, 100)
+    words = text.split()
+    as_written = noise * 30 + ", ".join(" ".join(words[k : k + 9]) for k in range(0, len(words), 9)).upper() + "\n" + noise * 9
+    found = licenses.scan(as_written, index)
+    assert label in found["labels"].split(",") and found["score"] == 1.0
+    for key in keys:
+        broken = text.replace(key, " ".join(reversed(key.split())))
+        assert label not in licenses.scan(noise + broken + noise, index)["labels"].split(",")
+
+
+def test_score_of_a_changed_notice():
+    index = licenses.Index({}, 1)
+    label, text, _ = next(t for t in licenses.BODIES if t[0] == "isc-full")
+    words = text.split()
+    gone = "whatsoever"
+    found = licenses.scan(text.replace(gone, "other"), index)
+    assert label in found["labels"].split(",") and found["score"] == 1.0  # the shorter isc-text is whole
+    starts = {(index.templates[k].label, round(score, 6)) for k, _, score in index.matches(licenses.words_of(text.replace(gone, "other")))}
+    assert (label, round(1 - 1 / len(words), 6)) in starts
+
+
+def test_versions_are_told_apart():
+    index = licenses.Index({}, 1)
+    by_label = {label: text for label, text, _ in licenses.BODIES}
+    for own, other in (("gpl-2-notice", "gpl-3-notice"), ("bsd-2-full", "bsd-3-full"), ("gpl-2-full", "gpl-3-full"), ("lgpl-3-notice", "lgpl-2-1-notice"), ("cc-by-4", "cc-by-sa-4"), ("0bsd-full", "isc-full")):
+        for a, b in ((own, other), (other, own)):
+            labels = licenses.scan(by_label[a], index)["labels"].split(",")
+            assert a in labels and b not in labels, (a, b)
+
+
+def test_further_licence_texts_are_templates(spark):
+    own = "The Rivers License: water may be carried to the sea by anyone who leaves mountains, snow and this very notice as they were found."
+    docs = spark.createDataFrame([(1, f"x y {own.upper()} z"), (2, "water may be carried to the sea"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.find_licenses(docs, more={"rivers": own, "short": "a b"}).collect()}
+    assert got == {1: "rivers", 2: "", 3: ""}
+
+
 def base_secrets(text):
     kinds = {
         "assign": r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])|(?:[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -180,6 +226,47 @@ def test_language_corner_cases(spark):
     assert nothing.labels == [] and [r["lang_pred"] for r in langid.predict(docs, nothing).collect()] == ["und"] * 5
 
 
+def test_language_samples_are_bounded_and_never_empty(spark):
+    rows = [(3, f"the and of w{i}", "en") for i in range(3000)] + [(4, "der und die", "de")] * 2000 + [(i, f"und die mit {i}", "de") for i in range(40)]
+    rows += [(9, "x" * (langid.MAX_TRAIN_CHARS + 1), "fr"), (10, None, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with Workspace(spark, "t") as work:
+        got = langid.sample_rows(docs, F.col("doc_id").isNotNull(), work, per_lang=25).collect()
+        few = langid.sample_rows(docs, F.col("doc_id").isNotNull(), work, per_lang=25, most=6).collect()
+    assert Counter(r["lang"] for r in got) == {"en": 25, "de": 25} and len({r["text"] for r in got}) == 50
+    assert Counter(r["lang"] for r in few) == {"en": 3, "de": 3}
+
+
+def test_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "EPOCHS", 1)
+    rows = [(i, f"q{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}z word", f"l{i % 10_000:05d}") for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.labels) == 10_000 and model.layer is not None
+    got = langid.predict(docs, model).collect()
+    assert len(got) == 12_000 and all(r["lang_pred"] in model.labels and 0 <= r["score"] <= 1 for r in got)
+
+
+def test_either_layout_is_the_same_function():
+    texts, langs = ["the and of with " * 9, "der und die mit " * 9, "le et la de " * 9] * 8, ["en", "de", "fr"] * 8
+    folded = langid.train(texts, langs)
+    split = langid.LangModel(folded.labels, np.zeros((langid.BUCKETS + 1, 3), np.float32), np.eye(3, dtype=np.float32), folded.bias)
+    split.rows[:] = folded.rows
+    assert np.allclose(folded.logits(texts), split.logits(texts))
+
+
+def test_junk_is_rejected_and_documents_are_not(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for langs in (["en", "de", "fr", "es"], ["en", "de"]):
+        own = docs.filter(F.col("lang").isin(langs))
+        model = langid.fit(own)
+        texts = [r["text"] for r in own.collect() if len(r["text"]) > 200]
+        rng = np.random.default_rng(1)
+        junk = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), 400)) for _ in range(200)]
+        assert langid.predict_texts(junk, model)[2].mean() >= 0.9
+        assert langid.predict_texts(texts, model)[2].mean() <= 0.005
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
