@@ -10,20 +10,23 @@ less. Within a bucket, pairs compare their MinHash values ``STEP`` at a time and
 as, with a uniform prior, the posterior probability of a similarity of at least the threshold falls
 below ``TOLERANCE``. A bucket does not emit its surviving pairs but a spanning forest of them, so
 what it writes grows with its members and not with their square; forests of all buckets join into
-groups.
+groups. A large bucket is dealt into blocks, and members first meet inside their block alone. Only
+where its members are still apart after that, in all buckets, do its blocks meet each other.
 
-Verification: in each group every pair is verified exactly from the whole sets of hashes, in blocks:
-a group is dealt into blocks bounded by members and by shingles, each pair of blocks is one cell,
-and a cell returns for each member the number of linked documents and a spanning forest of the
-exact links. Classes are the components of the exact links. No link between different sets of a
-group is lost, no pair is written, and no group, however large, meets in one task.
+Verification: the pairs of a group that the same pruning leaves are verified exactly from the whole
+sets of hashes, in blocks: a group is dealt into blocks bounded by members and by shingles, each pair
+of blocks is one cell, and a cell returns for each member the number of linked documents and a
+spanning forest of the exact links. Classes are the components of the exact links. No link between
+different sets of a group is lost, no pair is written, and no group, however large, meets in one task.
+Counting links takes every cell, so what is shuffled for a group of n sets in b blocks is n * b sets;
+keep_one() needs no counts and lets blocks meet only where a group is still apart.
 
 Words: A-Z lower-cased, then runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F].
 
 Defined cases: a document without words (or with null text) is a class of its own without links; a
 class is named by its smallest doc_id, null ids counting last; links count documents, so of n copies
 each has n - 1; repeated rows are copies; an empty table gives no rows; keep_one() leaves other
-columns as they are.
+columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import join_checked, map_batches, materialize, table, text_slices
+from folioquery.llm.common import Workspace, free_names, join_checked, map_batches, materialize, table, text_slices
 from folioquery.llm.components import connected_components
 from folioquery.llm.licenses import words_of
 
@@ -55,7 +58,7 @@ STEP = 16
 TOLERANCE = 1e-5
 #: Members of a bucket, and of a group, that are compared with each other at a time.
 BUCKET_BLOCK = 1024
-GROUP_BLOCK = 512
+GROUP_BLOCK = 1024
 #: Shingles of a block of a group.
 BLOCK_SHINGLES = 1 << 20
 
@@ -176,9 +179,9 @@ def _blocks_of(rows: list[tuple]) -> tuple[list[int], list[int] | None]:
     return first, second or None
 
 
-def bucket_forest(sigs: np.ndarray, first: list[int], second: list[int] | None) -> Forest:
-    """A spanning forest of the surviving pairs of one cell of a bucket."""
-    forest = Forest(len(sigs))
+def bucket_forest(sigs: np.ndarray, first: list[int], second: list[int] | None, forest: Forest | None = None) -> Forest:
+    """A spanning forest of the surviving pairs of one cell of a bucket, on top of the one given."""
+    forest = forest or Forest(len(sigs))
     right = np.array(first if second is None else second)
     for at in range(0, len(first), 64):
         if forest.trees == 1:
@@ -190,29 +193,46 @@ def bucket_forest(sigs: np.ndarray, first: list[int], second: list[int] | None)
     return forest
 
 
-def exact_links(sets: list[np.ndarray], threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
-    """Matrix of the pairs whose Jaccard similarity reaches the threshold; False on the diagonal."""
+def survivors(sigs: np.ndarray) -> np.ndarray:
+    """Matrix of the pairs that are not pruned; False on the diagonal."""
+    out = np.zeros((len(sigs), len(sigs)), bool)
+    for at in range(0, len(sigs), 64):
+        i, j = surviving(sigs[at : at + 64], sigs)
+        out[at + i, j] = True
+    np.fill_diagonal(out, False)
+    return out
+
+
+def exact_links(sets: list[np.ndarray], candidates: np.ndarray | None = None, threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
+    """Matrix of the pairs, of the candidates if given, whose Jaccard similarity reaches the
+    threshold; False on the diagonal."""
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     shared = np.zeros((n, n), np.int64)
-    if n == 2:
-        shared[0, 1] = shared[1, 0] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-    else:
-        owner = np.repeat(np.arange(n), size)
-        _, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    some = np.arange(n) if candidates is None else np.flatnonzero(candidates.any(axis=0) | candidates.any(axis=1))
+    if len(some) == 2:
+        a, b = some
+        shared[a, b] = shared[b, a] = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+    elif len(some):
+        owner = np.repeat(np.arange(len(some)), size[some])
+        _, inverse, times = np.unique(np.concatenate([sets[k] for k in some]), return_inverse=True, return_counts=True)
         often = times[inverse] > 1  # what one set alone has is shared with none
         column = np.cumsum(times > 1)[inverse[often]] - 1
         owner = owner[often]
         order = np.argsort(column, kind="stable")
         column, owner = column[order], owner[order]
+        inner = np.zeros((len(some), len(some)), np.int64)
         for low in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
             a, b = np.searchsorted(column, (low, low + 2048))
-            dense = np.zeros((n, 2048), np.float32)
+            dense = np.zeros((len(some), 2048), np.float32)
             dense[owner[a:b], column[a:b] - low] = 1
-            shared += np.rint(dense @ dense.T).astype(np.int64)
+            inner += np.rint(dense @ dense.T).astype(np.int64)
+        shared[np.ix_(some, some)] = inner
     p, q = threshold
     linked = (p + q) * shared >= p * (size[:, None] + size[None, :])
     linked &= shared > 0
+    if candidates is not None:
+        linked &= candidates
     np.fill_diagonal(linked, False)
     return linked
 
@@ -231,11 +251,17 @@ def _cells(batches, names: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
         yield at, held
 
 
-def _in_cells(rows: DataFrame, group: str) -> DataFrame:
-    """rows with n_blocks and block, each once for every cell (i <= j) that its block is in."""
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    dealt = rows.withColumn("_other", other).withColumn("i", F.least("block", "_other")).withColumn("j", F.greatest("block", "_other"))
-    return dealt.drop("_other").repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "block", "key")
+def _in_cells(rows: DataFrame, group: str, meet: str) -> DataFrame:
+    """rows with n_blocks and block, each once for every cell (i <= j) that its block is in: cells of
+    one block (meet: "within"), of two ("across") or "all"."""
+    if meet == "within":
+        dealt = rows.withColumn("i", F.col("block")).withColumn("j", F.col("block"))
+    else:
+        dealt = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        if meet == "across":
+            dealt = dealt.filter("_other <> block")
+        dealt = dealt.withColumn("i", F.least("block", "_other")).withColumn("j", F.greatest("block", "_other")).drop("_other")
+    return dealt.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "block", "key")
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -279,21 +305,20 @@ def _bands(sets: DataFrame, with_sig: bool) -> DataFrame:
     return map_batches(sets.select("key", "sig"), run, "bucket long, key binary" + (", sig binary" if with_sig else ""))
 
 
-def candidate_edges(sets: DataFrame) -> DataFrame:
-    """Spanning forests (a, b) of the pairs that survive in the buckets."""
-    bands = _bands(sets, False)
-    full = materialize(bands.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "join-buckets")
-    keys = materialize(join_checked(bands, full.select("bucket"), "bucket").select("key").distinct(), "join-keys")
-    members = join_checked(_bands(join_checked(sets.select("key", "sig"), keys, "key"), True), full, "bucket")
-    n_blocks = F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")
-    members = members.select("bucket", "key", "sig", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("key"), n_blocks).cast("int").alias("block"))
+def _bucket_edges(members: DataFrame, meet: str) -> DataFrame:
+    """Spanning forests (a, b) of the pairs that survive in cells of (bucket, key, sig, n_blocks,
+    block, tree), members of one tree (null: none) being joined already."""
 
     def run(batches):
         a, b = [], []
-        for cell, rows in _cells(batches, ["bucket", "i", "j", "block", "key", "sig"]):
+        for cell, rows in _cells(batches, ["bucket", "i", "j", "block", "key", "sig", "tree"]):
             if len(rows) > 1 and not (cell[1] != cell[2] and rows[0][0] == rows[-1][0]):
                 sigs = np.frombuffer(b"".join(r[2] for r in rows), "<u2").reshape(-1, HASHES)
-                for x, root in bucket_forest(sigs, *_blocks_of(rows)).edges():
+                forest, of_tree = Forest(len(rows)), {}
+                for k, r in enumerate(rows):
+                    if r[3] is not None:
+                        forest.join(k, of_tree.setdefault(r[3], k))
+                for x, root in bucket_forest(sigs, *_blocks_of(rows), forest).edges():
                     a.append(rows[x][1])
                     b.append(rows[root][1])
             if len(a) > 10_000:
@@ -301,24 +326,43 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return map_batches(_in_cells(members, "bucket"), run, "a binary, b binary").distinct()
+    return map_batches(_in_cells(members, "bucket", meet), run, "a binary, b binary").distinct()
 
 
-def verified(docs: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
+def candidate_groups(sets: DataFrame, work: Workspace) -> DataFrame:
+    """(node, root): the groups that the surviving pairs of the buckets join."""
+    bands = _bands(sets, False)
+    full = work.table(bands.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
+    keys = work.table(join_checked(bands, full.select("bucket"), "bucket").select("key").distinct(), "keys")
+    some = join_checked(sets.select("key", "sig"), keys, "key")
+
+    def members(of: DataFrame) -> DataFrame:
+        rows = join_checked(_bands(some, True), of, "bucket")
+        n_blocks = F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")
+        return rows.select("bucket", "key", "sig", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("key"), n_blocks).cast("int").alias("block"))
+
+    edges = work.table(_bucket_edges(members(full).withColumn("tree", F.lit(None).cast("binary")), "within"), "forests")
+    groups = connected_components(edges, work)
+    large = work.table(full.filter(F.col("size") > BUCKET_BLOCK), "large")
+    if large.isEmpty():
+        return groups
+    trees = groups.select(F.col("node").alias("key"), F.col("root").alias("tree"))
+    placed = join_checked(_bands(some, False), large, "bucket").join(trees, "key", "left").withColumn("tree", F.coalesce("tree", "key"))
+    apart = placed.groupBy("bucket").agg(F.min("tree").alias("least"), F.max("tree").alias("most"), F.max("size").alias("size"))
+    apart = work.table(apart.filter("least <> most").select("bucket", "size"), "apart")
+    if apart.isEmpty():
+        return groups
+    more = _bucket_edges(members(apart).join(trees, "key", "left"), "across")
+    return connected_components(edges.unionByName(more), work)
+
+
+def _links(docs: DataFrame, wanted: DataFrame, meet: str, work: Workspace) -> DataFrame:
     """Rows (key, other, links): of a member of a group and a cell the number of linked documents
-    (other null), and spanning forests of the links (links null). Materialised."""
-    group = materialize(groups.join(sets.select(F.col("key").alias("node"), "first", "copies", "n"), "node"), "join-groups")
-    sizes = group.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    n_blocks = F.greatest(F.ceil(F.col("members") / GROUP_BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    wanted = materialize(
-        group.join(sizes.select("root", n_blocks.alias("n_blocks")), "root").select(
-            F.coalesce("first.doc_id", F.lit(-1)).alias("_id"), F.col("first.text_hash").alias("_hash"), F.col("node").alias("key"), "root", "copies", "n_blocks",
-            F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"),
-        ),
-        "join-wanted",
-    )
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), F.xxhash64("text").alias("_hash"), "text")
-    found = join_checked(texts, wanted, ["_id", "_hash"])
+    (other null), and spanning forests of the links (links null)."""
+    id_ = F.col("doc_id").cast("long")
+    texts = docs.select(id_.isNull().alias("no_id"), F.coalesce(id_, F.lit(0)).alias("id"), F.xxhash64("text").alias("text_hash"), "text")
+    found = join_checked(texts, wanted, ["no_id", "id", "text_hash"])
+    names = ["root", "key", "copies", "n_blocks", "block", "sig"]
 
     def read(batches):
         for b in text_slices(batches):
@@ -326,22 +370,22 @@ def verified(docs: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
             # another text of the same id and hash is told apart by its key
             good = pa.array([set_key(s) == k for s, k in zip(sets_, b.column("key").to_pylist())], pa.bool_())
             shingles = pa.array([s.tobytes() for s in sets_], pa.binary())
-            names = ["root", "key", "copies", "n_blocks", "block"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), shingles], [*names, "shingles"]).filter(good)
 
-    members = map_batches(found, read, "root binary, key binary, copies long, n_blocks int, block int, shingles binary")
+    members = map_batches(found, read, "root binary, key binary, copies long, n_blocks int, block int, sig binary, shingles binary")
 
     def run(batches):
         kind = pa.schema([("key", pa.binary()), ("other", pa.binary()), ("links", pa.int64())])
         out: list[tuple] = []
-        for cell, rows in _cells(batches, ["root", "i", "j", "block", "key", "copies", "shingles"]):
+        for cell, rows in _cells(batches, ["root", "i", "j", "block", "key", "copies", "shingles", "sig"]):
             rows = [r for k, r in enumerate(rows) if not k or r[1] != rows[k - 1][1]]  # repeated rows
             if len(rows) < 2 or (cell[1] != cell[2] and rows[0][0] == rows[-1][0]):
                 continue
-            linked = exact_links([np.frombuffer(r[3], np.uint64) for r in rows])
+            candidates = survivors(np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(-1, HASHES))
             if cell[1] != cell[2]:
                 block = np.array([r[0] for r in rows])
-                linked &= block[:, None] != block[None, :]
+                candidates &= block[:, None] != block[None, :]
+            linked = exact_links([np.frombuffer(r[3], np.uint64) for r in rows], candidates)
             links = linked @ np.array([r[2] for r in rows], np.int64)
             forest = Forest(len(rows))
             for x, y in zip(*map(np.ndarray.tolist, np.nonzero(np.triu(linked)))):
@@ -356,29 +400,59 @@ def verified(docs: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), kind)], schema=kind)
 
-    return materialize(map_batches(_in_cells(members, "root"), run, "key binary, other binary, links long"), "join-links")
+    return work.table(map_batches(_in_cells(members, "root", meet), run, "key binary, other binary, links long"), "links")
 
 
-def classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, sets: DataFrame, groups: DataFrame, count_links: bool, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the components of the exact links, and (key, links): of each member the
+    number of documents it is linked with (of sets other than its own) or, if that is not wanted, 1."""
+    group = work.table(groups.join(sets.select(F.col("key").alias("node"), "first", "copies", "n", "sig"), "node"), "groups")
+    sizes = group.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    n_blocks = F.greatest(F.ceil(F.col("members") / GROUP_BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    wanted = work.table(
+        group.join(sizes.select("root", n_blocks.alias("n_blocks")), "root").select(
+            F.col("first.is_null").alias("no_id"), F.coalesce("first.doc_id", F.lit(0).cast("long")).alias("id"), "first.text_hash",
+            F.col("node").alias("key"), "root", "copies", "n_blocks", "sig", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"),
+        ),
+        "wanted",
+    )
+
+    def components(links: DataFrame) -> DataFrame:
+        return connected_components(links.filter(F.col("other").isNotNull()).select(F.col("key").alias("a"), F.col("other").alias("b")), work)
+
+    links = _links(docs, wanted, "all" if count_links else "within", work)
+    roots = components(links)
+    if not count_links:
+        trees = roots.select(F.col("node").alias("key"), F.col("root").alias("tree"))
+        large = wanted.filter("n_blocks > 1")
+        placed = large.select("key", "root").join(trees, "key", "left").withColumn("tree", F.coalesce("tree", "key"))
+        apart = placed.groupBy("root").agg(F.min("tree").alias("least"), F.max("tree").alias("most")).filter("least <> most").select("root")
+        apart = work.table(apart, "apart")
+        if not apart.isEmpty():
+            more = _links(docs, work.table(join_checked(large, apart, "root"), "open"), "across", work)
+            roots = components(links.unionByName(more))
+        return roots, roots.select(F.col("node").alias("key"), F.lit(1).cast("long").alias("links"))
+    return roots, links.filter(F.col("links").isNotNull()).groupBy("key").agg(F.sum("links").alias("links"))
+
+
+def classes(docs: DataFrame, rows: DataFrame, count_links: bool = True) -> DataFrame:
     """Of every set that has copies or links: key, first (of the class: is_null, doc_id, text_hash)
-    and n_links. Materialised. rows: describe(docs)."""
-    first = F.struct(F.col("doc_id").isNull().alias("is_null"), "doc_id", "text_hash")
-    sets = materialize(
-        rows.filter(F.col("key").isNotNull()).groupBy("key")
-        .agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("sig").alias("sig")),
-        "join-sets",
-    )
-    groups = connected_components(candidate_edges(sets))
-    links = verified(docs, sets, groups)
-    roots = connected_components(links.filter(F.col("other").isNotNull()).select(F.col("key").alias("a"), F.col("other").alias("b")))
-    counts = links.filter(F.col("links").isNotNull()).groupBy("key").agg(F.sum("links").alias("links"))
-    linked = materialize(
-        roots.withColumnRenamed("node", "key").join(counts, "key").join(sets.select("key", "first", "copies"), "key"), "join-linked"
-    )
-    of_class = linked.groupBy("root").agg(F.min("first").alias("first"))
-    out = linked.drop("first").join(of_class, "root").select("key", "first", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    copied = sets.filter("copies > 1").join(linked.select("key"), "key", "left_anti")
-    return materialize(out.unionByName(copied.select("key", "first", (F.col("copies") - 1).alias("n_links"))), "join-classes")
+    and, if links are counted, n_links. Materialised. rows: describe(docs)."""
+    with Workspace(docs.sparkSession, "join") as work:
+        first = F.struct(F.col("doc_id").isNull().alias("is_null"), "doc_id", "text_hash")
+        sets = work.table(
+            rows.filter(F.col("key").isNotNull()).groupBy("key")
+            .agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("sig").alias("sig")),
+            "sets",
+        )
+        roots, counts = verified(docs, sets, candidate_groups(sets, work), count_links, work)
+        linked = roots.withColumnRenamed("node", "key").join(counts, "key").join(sets.select("key", "first", "copies"), "key")
+        linked = work.table(linked, "linked")
+        of_class = linked.groupBy("root").agg(F.min("first").alias("first"))
+        out = linked.drop("first").join(of_class, "root").select("key", "first", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+        copied = sets.filter("copies > 1").join(linked.select("key"), "key", "left_anti")
+        every = out.unionByName(copied.select("key", "first", (F.col("copies") - 1).alias("n_links")))
+        return materialize(every if count_links else every.drop("n_links"), "join-classes")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
@@ -393,16 +467,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row left of each class: that of the smallest id (null last, then by a hash of
     the text). Rows that equal it in id and text go as well."""
     rows = describe(docs)
-    joined = join_checked(rows.select("doc_id", "text_hash", "key"), classes(docs, rows), "key")
-    id_ = F.coalesce("doc_id", F.lit(-1))
-    stays = id_.eqNullSafe(F.coalesce("first.doc_id", F.lit(-1))) & (F.col("text_hash") == F.col("first.text_hash"))
-    marked = joined.groupBy(id_.alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max(stays).alias("_stays"), F.count("*").alias("_rows"))
-    marked = materialize(marked.filter(~F.col("_stays") | (F.col("_rows") > 1)), "join-marked")
-    tagged = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_hash", F.xxhash64("text"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    rest = join_checked(tagged, marked, ["_id", "_hash"], "left_anti").select(*names)
-    repeated = join_checked(tagged, materialize(marked.filter("_stays").select("_id", "_hash"), "join-repeated"), ["_id", "_hash"])
-    return rest.unionByName(repeated.dropDuplicates(["_id", "_hash"]).select(*names))
+    joined = join_checked(rows.select("doc_id", "text_hash", "key"), classes(docs, rows, count_links=False), "key")
+    names = free_names(docs, "join_no_id", "join_id", "join_hash")
+    tags = lambda: (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    marked = joined.groupBy(*[c.alias(n) for c, n in zip(tags(), names)], F.col("text_hash").alias(names[2])).agg(F.max(stays).alias("stays"), F.count("*").alias("n_rows"))
+    marked = materialize(marked.filter(~F.col("stays") | (F.col("n_rows") > 1)), "join-marked")
+    tagged = docs.withColumns(dict(zip(names, (*tags(), F.xxhash64("text")))))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rest = join_checked(tagged, marked.select(*names), names, "left_anti").select(*own)
+    repeated = join_checked(tagged, materialize(marked.filter("stays").select(*names), "join-repeated"), names)
+    return rest.unionByName(repeated.dropDuplicates(names).select(*own))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
