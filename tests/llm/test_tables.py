@@ -13,6 +13,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from folioquery.llm import jaccard_join as J
 from folioquery.llm import mixing, outliers, registry, topk
+from folioquery.llm.common import Workspace
 from folioquery.llm.components import connected_components
 from folioquery.llm.licenses import words_of
 
@@ -214,8 +215,9 @@ def test_outliers_go_and_the_rest_stays(spark):
 def brute_topk(rows, k=5):
     vectors = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
+    long = lambda x: max(-(2**63), min(2**63 - 1, x))
     for q, v in {(i, tuple(v)) for i, v in vectors if i % 50 == 0}:
-        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vectors if i != q and len(w) == len(v))[:k]
+        best = sorted((-long(sum(a * b for a, b in zip(v, w))), i) for i, w in vectors if i != q and len(w) == len(v))[:k]
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     return sorted(out)
 
@@ -235,6 +237,23 @@ def test_topk_against_brute_force(spark, monkeypatch, shard_rows, leaf):
     assert topk.search(ints.limit(0), ints.limit(0)).count() == 0
 
 
+def test_topk_of_huge_components(spark):
+    rows = [(i, [float(i), 1e300 if i % 3 else -2.0, 1e12]) for i in range(1, 60)] + [(100, [1e300, -1e300, 0.5]), (150, [3e9, 3e9, 3e9]), (200, [0.0, 0.0, 1.0])]
+    ints = topk.as_integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(tuple(r) for r in topk.search(ints, ints.filter("id % 50 = 0")).collect()) == brute_topk(rows)
+
+
+def test_topk_skips_shards(spark):
+    rng = np.random.default_rng(5)
+    homes = rng.normal(size=(40, 16)) * 4
+    rows = [(i, [float(x) for x in homes[i % 40] + rng.normal(size=16) * 0.1]) for i in range(4000)]
+    ints = topk.as_integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    visits = []
+    got = sorted(tuple(r) for r in topk.search(ints, ints.filter("id % 50 = 0"), shard_rows=100, visits=visits).collect())
+    assert got == brute_topk(rows)
+    assert sum(visits[:3]) < 0.5 * visits[3], visits
+
+
 # joins
 
 
@@ -281,12 +300,23 @@ def test_join_against_brute_force(spark, monkeypatch, block):
         monkeypatch.setattr(J, "GROUP_BLOCK", block)
     rows = near_copies()
     docs = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], "doc_id long, text string, key string, n_links int").repartition(4)
+    for n in ("join_id", "join_hash", "join_no_id", "_id", "_hash", "stays", "first", "text_hash"):
+        docs = docs.withColumn(n, F.lit("own"))
     want = brute_join(rows)
     assert sorted((tuple(r) for r in J.jaccard_join(docs).collect()), key=repr) == want
     kept = J.keep_one(docs)
     assert kept.columns == docs.columns
     alone = [r for r in want if r[1] == r[0] and r[0] is not None]
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted({str(r[0]) for r in alone} | {"None"})
+    assert all(r[n] == "own" for r in kept.collect() for n in ("join_id", "_hash", "first"))
+
+
+def test_null_ids_are_no_numbers(spark):
+    text = "one two three four five six"
+    rows = [(None, text), (-1, text), (None, text), (0, "seven eight"), (None, "seven eight")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in J.keep_one(docs).collect()) == [-1, 0]
+    assert sorted((tuple(r) for r in J.jaccard_join(docs).collect()), key=repr) == brute_join(rows)
 
 
 def test_join_of_nothing(spark):
@@ -323,7 +353,8 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         up[max(a, b)] = min(a, b)
-    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    with Workspace(spark, "t") as work:
+        got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), work).collect()}
     assert got == {x: find(x) for x in up if any(find(y) == find(x) for y in up if y != x)}
 
 
