@@ -8,9 +8,11 @@ each in logarithmically many steps. Equal ranks merge leftmost first. A match th
 a whole is that token.
 
 The trees of many distinct matches of like length are kept as rows of one numpy array, so one step
-does a merge in each of them. A worker keeps the ids of up to ``CACHE_PIECES`` distinct matches
-in each of two generations between batches, because words repeat; matches of a very long text are
-taken in portions, so memory does not grow with a text.
+does a merge in each of them. A few long matches, for which such steps would each do little, get a
+tree of their own over plain arrays. A worker keeps the ids of up to ``CACHE_PIECES`` distinct matches
+(none longer than ``CACHE_BYTES``) in each of two generations between batches, because words repeat;
+matches of a very long text are taken in portions. So memory does not grow with a text but with its
+longest match, by some 50 bytes a byte, and time with the match's length times its logarithm.
 
 Defined cases: a null text encodes as the empty text (no ids, the digests of no bytes); repeated
 rows give repeated results; an empty table gives no rows; other columns are not read.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -35,9 +38,13 @@ QUERY = "op8_byte_bpe"
 ORACLE_SQL = None
 
 CACHE_PIECES = 100_000
+CACHE_BYTES = 1024
 _NONE = np.int64(1) << 62
 #: Leaves of the trees that are worked on together.
 _LEAVES = 1 << 19
+#: Rows below which matches of more than _ALONE_BYTES are merged one by one.
+_ALONE_ROWS = 16
+_ALONE_BYTES = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -63,7 +70,7 @@ class ByteBPE:
                     pairs[left * self.size + right] = rank
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
-        self.cache = PieceCache(self.encode_pieces, CACHE_PIECES)
+        self.cache = PieceCache(self.encode_pieces, CACHE_PIECES, CACHE_BYTES)
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids; -1 where they do not merge."""
@@ -128,6 +135,58 @@ class ByteBPE:
         out = ids.astype("<u4")
         return [out[i][alive[i]].tobytes() for i in range(n)]
 
+    def merge_one(self, raw: bytes) -> bytes:
+        """Ids of a byte string of at least 2 bytes, by a tree of its own."""
+        n = len(raw)
+        width = 1 << (n - 1).bit_length()
+        shift, none = width.bit_length() - 1, int(_NONE)
+        ranks, tokens, last = self.ranks, self.tokens, width - 1
+        ids = array("i", self.of_byte[np.frombuffer(raw, np.uint8)].astype(np.int32).tobytes())
+        after = array("i", np.arange(1, n + 1, dtype=np.int32).tobytes())
+        before = array("i", np.arange(-1, n - 1, dtype=np.int32).tobytes())
+        leaves = np.full(2 * width, _NONE, np.int64)
+        first = np.array(ids, np.int64)
+        rank = self.rank_of(first[:-1], first[1:])
+        leaves[width : width + n - 1] = np.where(rank >= 0, rank << shift | np.arange(n - 1), _NONE)
+        node = width >> 1
+        while node:
+            np.minimum(leaves[2 * node : 4 * node : 2], leaves[2 * node + 1 : 4 * node : 2], out=leaves[node : 2 * node])
+            node >>= 1
+        tree = array("q", leaves.tobytes())
+        del leaves, first, rank
+
+        def put(at: int, key: int) -> None:
+            at += width
+            tree[at] = key
+            while at > 1:
+                other = tree[at ^ 1]
+                if other < key:
+                    key = other
+                at >>= 1
+                if tree[at] == key:
+                    break
+                tree[at] = key
+
+        while (top := tree[1]) < none:
+            at, joined = top & last, top >> shift
+            gone = after[at]
+            beyond = after[gone]
+            ids[at], ids[gone], after[at] = joined, -1, beyond
+            key = none
+            if beyond < n:
+                before[beyond] = at
+                r = ranks.get(tokens[joined] + tokens[ids[beyond]])
+                if r is not None:
+                    key = r << shift | at
+            put(at, key)
+            put(gone, none)
+            left = before[at]
+            if left >= 0:
+                r = ranks.get(tokens[ids[left]] + tokens[joined])
+                put(left, none if r is None else r << shift | left)
+        out = np.array(ids, np.int32)
+        return out[out >= 0].astype("<u4").tobytes()
+
     def encode_pieces(self, pieces: list[str]):
         """Each of the distinct matches with its ids."""
         by_width: dict[int, list[tuple[str, bytes]]] = {}
@@ -139,6 +198,9 @@ class ByteBPE:
             else:
                 by_width.setdefault(1 << (len(b) - 1).bit_length(), []).append((p, b))
         for width, found in by_width.items():
+            if width > _ALONE_BYTES and len(found) < _ALONE_ROWS:
+                yield from ((p, self.merge_one(b)) for p, b in found)
+                continue
             step = max(1, _LEAVES // width)
             for i in range(0, len(found), step):
                 part = found[i : i + step]

@@ -52,11 +52,12 @@ def by_volume(texts: list[str], most: int = LONG) -> Iterator[range]:
 
 
 class PieceCache:
-    """Ids of distinct matches, kept while they are in use: of two generations the older one goes
-    when the younger is full, and what is met again moves to the younger."""
+    """Ids of distinct matches of at most longest characters, kept while they are in use: of two
+    generations the older one goes when the younger is full, and what is met again moves to the
+    younger."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterator[tuple[str, bytes]]], most: int):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[str]], Iterator[tuple[str, bytes]]], most: int, longest: int = 1024):
+        self.encode, self.most, self.longest = encode, most, longest
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -71,4 +72,8 @@ class PieceCache:
         if len(new) > len(known):
             young.update(self.encode(list(new - known)))
         get = young.__getitem__
-        return [b"".join(map(get, p)) for p in portions]
+        out = [b"".join(map(get, p)) for p in portions]
+        for p in new:
+            if len(p) > self.longest:
+                del young[p]
+        return out
