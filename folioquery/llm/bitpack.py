@@ -15,7 +15,10 @@ blocks it touches.
 
 A dataset is a Parquet table of segments (shard, segment, n_docs, n_ids, payload) that Spark's
 writer commits, so it lies on any store and a retried task leaves no halves. Shards are ranges of
-doc_id cut at approximate quantiles, and a segment closes after ``SEGMENT_IDS`` ids.
+doc_id cut at approximate quantiles, and a segment closes after ``SEGMENT_IDS`` ids. An id so frequent
+that it fills several ranges is spread over them by ranges of a hash of the text, and null ids over
+as many shards as their share of the rows asks for. document_ids() reads single documents by their ids
+from the blocks that hold them, after the segments' own doc_id bounds have passed over the others.
 
 Encoding uses the tokenizers library, without special tokens being added. A text of characters
 whose classes all libraries share is split by the tokenizer's own pattern and the library encodes
@@ -24,7 +27,8 @@ holds an added token's string, goes through the library's whole pipeline, in por
 blank that follows a non-blank, where no match or token can lie across.
 
 Defined cases: a null text is empty; every document gets the end id; null ids come first; rows of
-one id are ordered by their number of ids and then by the ids' bytes; an empty table gives an empty dataset; columns other than
+one id are ordered by a hash of their text and then by the ids' bytes; rows that agree in both lie in one
+shard; an empty table gives an empty dataset; columns other than
 doc_id and text are not read.
 """
 
@@ -219,10 +223,16 @@ def write_packed(docs: DataFrame, out: str, path: str | None = None, end_id: int
     """Encode the rows of docs and write the dataset of segments to out."""
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # approximate quantiles of the id column alone; equal cuts make empty shards, which is harmless
+    rows, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    null_shards = max(1, round(shards * nulls / max(1, rows)))
+    # approximate quantiles of the id column alone; a frequent id is a cut more than once
     cuts = docs.filter("doc_id is not null").approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.1 / shards)
     cuts = np.array(sorted(cuts))
 
+    def shard_of(doc_id: int | None, spread: int) -> int:
+        first, last = (0, null_shards - 1) if doc_id is None else (null_shards + int(np.searchsorted(cuts, doc_id, side)) for side in ("left", "right"))
+        return first + (spread * (last - first + 1) >> 63)
+
     def encode(batches):
         encoder = load(path or public_tokenizers.path("byte_bpe_50k.json"))
         kind = _shuffled(encoder.size)
@@ -230,10 +240,11 @@ def write_packed(docs: DataFrame, out: str, path: str | None = None, end_id: int
         for b in text_slices(batches):
             doc_ids = b.column("doc_id").to_pylist()
             ids = [np.frombuffer(x + end, "<u4") for x in encoder.encode_many([t or "" for t in b.column("text").to_pylist()])]
-            shard = [0 if d is None else int(np.searchsorted(cuts, d, "right")) for d in doc_ids]
+            spread = b.column("spread").to_pylist()
+            shard = [shard_of(d, x) for d, x in zip(doc_ids, spread)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids, pa.int64()), pa.array(shard, pa.int32()), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.astype(kind).tobytes() for i in ids], pa.binary())],
-                ["doc_id", "shard", "n", "ids"],
+                [pa.array(doc_ids, pa.int64()), b.column("spread"), pa.array(shard, pa.int32()), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.astype(kind).tobytes() for i in ids], pa.binary())],
+                ["doc_id", "spread", "shard", "n", "ids"],
             )
 
     def write(batches):
@@ -244,10 +255,12 @@ def write_packed(docs: DataFrame, out: str, path: str | None = None, end_id: int
 
         def close():
             payload = write_segment(held[0], held[1], bits)
-            row = {"shard": [at], "segment": [number], "n_docs": [len(held[0])], "n_ids": [total], "payload": [payload]}
+            own = [d for d in held[0] if d is not None]
+            bounds = {"first_id": [min(own, default=None)], "last_id": [max(own, default=None)]}
+            row = {"shard": [at], "segment": [number], "n_docs": [len(held[0])], "n_ids": [total], **bounds, "payload": [payload]}
             return pa.RecordBatch.from_pydict(row, schema=schema)
 
-        schema = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("payload", pa.binary())])
         for b in batches:
             for doc_id, shard, n, ids in zip(*(b.column(c).to_pylist() for c in ("doc_id", "shard", "n", "ids"))):
                 if held[0] and (shard != at or total >= SEGMENT_IDS):
@@ -260,9 +273,12 @@ def write_packed(docs: DataFrame, out: str, path: str | None = None, end_id: int
         if held[0]:
             yield close()
 
-    encoded = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, "doc_id long, shard int, n long, ids binary")
-    ordered = encoded.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n", "ids")
-    map_batches(ordered, write, "shard int, segment int, n_docs long, n_ids long, payload binary").write.option("parquet.block.size", 16 << 20).parquet(out)
+    spread = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), spread.alias("spread"), "text")
+    encoded = map_batches(given, encode, "doc_id long, spread long, shard int, n long, ids binary")
+    ordered = encoded.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "spread", "n", "ids")
+    out_schema = "shard int, segment int, n_docs long, n_ids long, first_id long, last_id long, payload binary"
+    map_batches(ordered, write, out_schema).write.option("parquet.block.size", 16 << 20).parquet(out)
 
 
 def starts(segments: DataFrame) -> DataFrame:
@@ -302,6 +318,25 @@ def read_packed(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     return map_batches(rows.select("payload", "start"), run, schema)
 
 
+def document_ids(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id and ids of the documents with the ids given. Only segments whose bounds hold one of them
+    are read, and of those only the blocks of the documents."""
+    wanted = sorted(set(doc_ids))
+    has = F.exists(F.array(*[F.lit(d).cast("long") for d in wanted]), lambda d: (F.col("first_id") <= d) & (F.col("last_id") >= d)) if wanted else F.lit(False)
+    bounded = (F.col("last_id") >= wanted[0]) & (F.col("first_id") <= wanted[-1]) if wanted else F.lit(False)
+    some = spark.read.parquet(path).filter(bounded & has).select("payload")
+
+    def run(batches):
+        for b in batches:
+            for payload in b.column("payload"):
+                s = Segment(payload.as_py())
+                at = [k for k, d in enumerate(s.doc_ids) if d in frozen]
+                yield pa.RecordBatch.from_arrays([pa.array([s.doc_ids[k] for k in at], pa.int64()), pa.array([s.document(k).tobytes() for k in at], pa.binary())], ["doc_id", "ids"])
+
+    frozen = frozenset(wanted)
+    return map_batches(some, run, "doc_id long, ids binary")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded, written as packed segments and read back."""
     out = new_path(spark, "packed")

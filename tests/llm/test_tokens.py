@@ -1,6 +1,7 @@
 """Byte-level BPE and packed token ids."""
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from folioquery.llm import bitpack, bpe, pieces
@@ -35,6 +37,22 @@ def test_bpe_equals_the_library_on_any_text(text):
     assert BPE.encode(text).tolist() == LIBRARY.encode_ordinary(text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(list("aabcehint_é")), min_size=2, max_size=90).map("".join))
+def test_a_tree_of_its_own_equals_the_library(text):
+    ids = np.frombuffer(BPE.merge_one(text.encode()), "<u4").tolist()
+    assert ids == LIBRARY._encode_single_piece(text.encode())
+
+
+def test_one_long_match_is_quick():
+    text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(200_000))
+    began = time.process_time()
+    ids = BPE.encode(text)
+    assert time.process_time() - began < 60 and BPE.decode(ids) == text.encode()
+    assert len(BPE.cache.young) == 0 or max(map(len, BPE.cache.young)) <= bpe.CACHE_BYTES
+    assert BPE.encode(text[:9000]).tolist() == LIBRARY.encode_ordinary(text[:9000])
+
+
 def test_long_texts_go_in_portions(monkeypatch):
     text = "some words and more, " * 500
     want = BPE.encode(text).tolist()
@@ -128,11 +146,28 @@ def test_bitpack_query(spark, sf_dir, monkeypatch):
     assert got == expected(docs)
 
 
+def test_frequent_and_null_ids_are_spread(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bitpack.write_packed(docs, str(tmp_path / "a"))
+    shards = {r["shard"]: r["n"] for r in spark.read.parquet(str(tmp_path / "a")).groupBy("shard").agg(F.sum("n_docs").alias("n")).collect()}
+    assert len(shards) >= 6 and max(shards.values()) <= 300
+    got = sorted((tuple(r) for r in bitpack.read_packed(spark, str(tmp_path / "a")).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got])[:-1].tolist()]
+    again = bitpack.read_packed(spark, str(tmp_path / "a"))
+    bitpack.write_packed(docs.repartition(5), str(tmp_path / "b"))
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, bitpack.read_packed(spark, str(tmp_path / "b")).collect()))
+
+
 def test_bitpack_corner_cases(spark, tmp_path):
     rows = [(None, "null id"), (1, None), (2, ""), (5, "b" * 50_000), (7, "x"), (7, "x"), (9, "漢字 <|endoftext|>")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, start int").repartition(3)
     bitpack.write_packed(docs, str(tmp_path / "a"))
     got = sorted((tuple(r) for r in bitpack.read_packed(spark, str(tmp_path / "a")).collect()), key=lambda r: r[1])
     assert got == expected(rows)
+    some = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in bitpack.document_ids(spark, str(tmp_path / "a"), [5, 9, 4, 9]).collect()}
+    assert some == {i: TOKENIZER.encode(t, add_special_tokens=False).ids + [0] for i, t in rows if i in (5, 9)}
+    assert bitpack.document_ids(spark, str(tmp_path / "a"), []).count() == 0
     bitpack.write_packed(docs.limit(0), str(tmp_path / "b"))
     assert bitpack.read_packed(spark, str(tmp_path / "b")).count() == 0
