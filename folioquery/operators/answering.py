@@ -56,6 +56,14 @@ def source_cards(results: DataFrame, debug: bool = False) -> DataFrame:
     return results.select("qid", "rank", *cards)
 
 
+def console_lines(results: DataFrame) -> DataFrame:
+    """(qid, rank, line): results as lines for a terminal, scores to four places."""
+    scores = {"score": "score", "dense": "dense_score", "sparse": "sparse_score", "rerank": "rerank_score"}
+    parts = [F.concat(F.lit(f" | {name} "), T.four_places(c)) for name, c in scores.items() if c in results.columns]
+    line = F.concat(F.col("rank").cast("string"), F.lit(". "), "source", F.lit(" | Page: "), F.col("page").cast("string"), *parts)
+    return results.select("qid", "rank", line.alias("line"))
+
+
 def build_context(results: DataFrame) -> DataFrame:
     """(qid, context): the results of a question as numbered blocks, in order of rank."""
     block = F.concat(F.lit("[Source "), F.col("rank").cast("string"), F.lit("] "), "source", F.lit(" | Page: "), F.col("page").cast("string"), F.lit("\n"), "text")

@@ -3,19 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioquery.functions import text as T
+from folioquery.scratch import Workspace, join_checked, running_sums
 
 # Defaults of chunking.
 CHUNK_SIZE = 700
 OVERLAP = 120
 MIN_CHUNK = 80
 
-#: Pages that a window over running page counts takes together.
-PAGE_BLOCK = 10_000
-
 
 def chunk_texts(text: Column | str, size: int = CHUNK_SIZE, overlap: int = OVERLAP, least: int = MIN_CHUNK) -> Column:
     """The chunks of one page, as an array.
@@ -66,27 +63,20 @@ def chunk_pages(pages: DataFrame, chunks: Column | None = None) -> DataFrame:
     )
 
 
-def number_chunks(chunks: DataFrame) -> DataFrame:
-    """chunks with chunk_id, from 1 in the order of source, page and chunk_seq, without gaps.
-
-    Only counts are ordered: chunks by page, pages by block of pages, blocks by source. The last
-    window holds one row for each source.
-    """
-    pages = chunks.groupBy("source", "page").agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col("page") / PAGE_BLOCK))
-    blocks = pages.groupBy("source", "_block").agg(F.sum("_n").alias("_n"))
-    sources = blocks.groupBy("source").agg(F.sum("_n").alias("_n"))
-
-    def before(rows: DataFrame, group: list[str], order: str, name: str) -> DataFrame:
-        return rows.withColumn(name, F.sum("_n").over(W.partitionBy(*group).orderBy(order)) - F.col("_n")).drop("_n")
-
-    offsets = (
-        before(pages, ["source", "_block"], "page", "_p")
-        .join(before(blocks, ["source"], "_block", "_b"), ["source", "_block"])
-        .join(before(sources, [], "source", "_s"), "source")
-        .select("source", "page", (F.col("_p") + F.col("_b") + F.col("_s")).alias("_before"))
-    )
-    return chunks.join(offsets, ["source", "page"]).select(
-        (F.col("_before") + F.col("chunk_seq")).cast("long").alias("chunk_id"), "source", "page", "chunk_seq", "text"
+def numbered_chunks(pages: DataFrame, chunks: Column | None = None) -> DataFrame:
+    """chunk_pages() with chunk_id, from 1 in the order of source, page and chunk_seq, without gaps.
+
+    Pages are read and folded once, into a table of one row a page. Only their counts are ordered, by
+    ranges, so neither many sources nor one with most of the pages meets in one task. Rows that agree
+    in source and page are numbered one after the other."""
+    work = Workspace(pages.sparkSession, "chunks")  # the result reads it, so it stays until the driver ends
+    texts = (chunk_texts("text") if chunks is None else chunks).alias("texts")
+    folded = work.table(pages.select("source", "page", texts).withColumn("row", F.monotonically_increasing_id()), "pages")
+    sizes = folded.select("source", "page", "row", F.size("texts").cast("long").alias("n"))
+    before = running_sums(sizes, ["source", "page", "row"], {"n": "before"}, work).select("row", "before")
+    placed = join_checked(folded, work.table(before, "before"), "row")
+    return placed.select("source", "page", "before", F.posexplode("texts").alias("at", "text")).select(
+        (F.col("before") + F.col("at") + 1).cast("long").alias("chunk_id"), "source", "page", (F.col("at") + 1).cast("int").alias("chunk_seq"), "text"
     )
 
 

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioquery.functions import text as T
 from folioquery.functions import topics as Q
 
-# Fixed value: messages that count as recent.
+# Messages that count as recent, and what ends a conversation.
 RECENT = 4
+EXIT_WORDS = ["exit", "quit"]
 
 
 def append(messages: DataFrame, more: DataFrame) -> DataFrame:
@@ -27,6 +29,13 @@ def by_document(messages: DataFrame, document_col: str) -> DataFrame:
     return messages.withColumn("conv_id", F.concat_ws("\x01", F.col("conv_id").cast("string"), F.col(document_col)))
 
 
+def until_exit(messages: DataFrame) -> DataFrame:
+    """messages up to each conversation's first user turn that says exit or quit, without it."""
+    leaves = (F.col("role") == "user") & F.lower(T.strip("text")).isin(EXIT_WORDS)
+    ends = messages.filter(leaves).groupBy("conv_id").agg(F.min("turn").alias("_end"))
+    return messages.join(ends, "conv_id", "left").filter(F.col("_end").isNull() | (F.col("turn") < F.col("_end"))).select(*messages.columns)
+
+
 def recent_history(messages: DataFrame, limit: int = RECENT) -> DataFrame:
     """The last messages of each conversation, in order of conversation and turn where sorted."""
     last = W.partitionBy("conv_id").orderBy(F.desc("turn"))
@@ -35,7 +44,8 @@ def recent_history(messages: DataFrame, limit: int = RECENT) -> DataFrame:
 
 def topic_state(messages: DataFrame) -> DataFrame:
     """messages with explicit (topics that a user turn names, else null) and topics (those in force
-    before the turn: the latest that an earlier user turn named)."""
+    before the turn: the latest that an earlier user turn named). A conversation's turns depend on
+    each other, so one conversation is one task's work; it holds one state, not its messages."""
     explicit = F.when(F.col("role") == "user", Q.explicit_topics("text"))
     earlier = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
     return messages.withColumn("explicit", explicit).withColumn("topics", F.last("explicit", ignorenulls=True).over(earlier))

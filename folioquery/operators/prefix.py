@@ -24,11 +24,16 @@ def complete_from_tree(words: DataFrame, prefix: str, limit: int = TREE_LIMIT) -
 
     No tree is built. The branch at depth d was made by the least ordinal among the words that
     share their first d characters, so a word's place in the walk is the array of these ordinals.
-    Words that share characters beyond the prefix all have the prefix, so filtering first is exact.
+    Words that share characters beyond the prefix all have the prefix, so filtering first is exact,
+    and the prefix itself is the same branch for all. Least ordinals are partial aggregates: no
+    branch, however many words it holds, meets in one task.
     """
     found = words.filter(F.col("word").startswith(prefix)).groupBy("word").agg(F.min("ordinal").alias("ordinal"))
-    deep = found.withColumn("depth", F.explode(F.sequence(F.lit(len(prefix)), F.length("word"))))
-    made = deep.withColumn("made", F.min("ordinal").over(W.partitionBy("depth", F.left("word", F.col("depth")))))
-    keys = made.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("depth", "made"))).alias("key"))
-    top = keys.orderBy(F.transform("key", lambda k: k["made"])).limit(limit)
-    return top.select(F.row_number().over(W.orderBy(F.transform("key", lambda k: k["made"]))).alias("rank"), "word")
+    head = F.left("word", F.col("depth"))
+    deep = found.filter(F.length("word") > len(prefix)).withColumn("depth", F.explode(F.sequence(F.lit(len(prefix) + 1), F.length("word")))).withColumn("head", head)
+    made = deep.groupBy("head").agg(F.min("ordinal").alias("made"))
+    keys = deep.join(made, "head").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("depth", "made"))).alias("key"))
+    keys = keys.select("word", F.transform("key", lambda k: k["made"]).alias("key"))
+    own = found.filter(F.length("word") == len(prefix)).select("word", F.array().cast(keys.schema["key"].dataType).alias("key"))
+    top = keys.unionByName(own).orderBy("key").limit(limit)
+    return top.select(F.row_number().over(W.orderBy("key")).alias("rank"), "word")

@@ -11,6 +11,7 @@ Equal scores are ordered by chunk_id.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from folioquery.functions import text as T
 from folioquery.functions.providers import lexical_boost
+from folioquery.scratch import materialize
 
 # Weights and sizes of the hybrid search.
 DENSE_WEIGHT, SPARSE_WEIGHT = 0.75, 0.25
@@ -33,6 +35,7 @@ LEGACY_TOP_K = 3
 #: Questions whose vectors are sent to the executors at a time, and token rows of questions that are
 #: broadcast; more are handled in blocks or by a shuffled join.
 QUESTION_BLOCK = 4096
+SHARD_VECTORS = 65_536
 BROADCAST_TOKENS = 200_000
 
 
@@ -48,51 +51,82 @@ def _best(p: pd.DataFrame, k: int) -> pd.DataFrame:
 def dense_search(chunk_vectors: DataFrame, query_vectors: DataFrame, k: int) -> DataFrame:
     """(qid, chunk_id, dense_score, rank): the k largest inner products of each question, exactly.
 
-    The question set is scanned against all vectors in blocks: each task multiplies its batches of
-    vectors with a block of QUESTION_BLOCK question vectors and keeps k rows of each question, so
-    k rows a question and task are shuffled. Null vectors take no part; vectors of different
-    lengths are compared over none.
+    The question set is scanned against all vectors in blocks: a task multiplies a shard of vectors
+    with a block of question vectors and keeps k rows of each question, so k rows a question and
+    shard are shuffled. One block of questions goes to the vectors as they lie; of more, each meets
+    every shard of SHARD_VECTORS, in one pass. Null vectors take no part; vectors of different lengths
+    are compared over none.
     """
     queries = query_vectors.filter(F.col("vector").isNotNull()).select("qid", "vector")
-    blocks = max(1, -(-queries.count() // QUESTION_BLOCK))
-    found = None
-    for block in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)
-        rows = part.collect()  # one block
-        local = _dense_block(chunk_vectors, [r["qid"] for r in rows], [r["vector"] for r in rows], k)
-        found = local if found is None else found.unionByName(local)
+    usable = chunk_vectors.filter(F.col("vector").isNotNull()).select("chunk_id", "vector")
+    out = "qid long, chunk_id long, dense_score double"
+    few = queries.limit(QUESTION_BLOCK + 1).collect()
+    if len(few) <= QUESTION_BLOCK:
+        block = _by_length([r["qid"] for r in few], [r["vector"] for r in few])
+
+        def against_one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = None
+            for p in batches:
+                best = _closest(p, block, k, best)
+            if best is not None:
+                yield best
+
+        found = usable.mapInPandas(against_one, out)
+    else:
+        blocks, shards = -(-queries.count() // QUESTION_BLOCK), max(1, -(-usable.count() // SHARD_VECTORS))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        asked = queries.select(F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"), F.lit(True).alias("asks"), F.col("qid").alias("id"), "vector")
+        held = usable.select(every(blocks).alias("block"), F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), F.col("chunk_id").alias("id"), "vector")
+        cells = asked.unionByName(held.withColumn("vector", F.col("vector").cast(asked.schema["vector"].dataType))).repartition("block", "shard").sortWithinPartitions("block", "shard", F.desc("asks"))
+
+        def in_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, ids, vectors, block, best = None, [], [], None, None
+            for p in batches:
+                for cell, rows in p.groupby(["block", "shard"], sort=False):
+                    if cell != at:
+                        if best is not None:
+                            yield best
+                        at, ids, vectors, block, best = cell, [], [], None, None
+                    own = rows[rows.asks]
+                    ids += own.id.tolist()
+                    vectors += own.vector.tolist()
+                    rest = rows[~rows.asks]
+                    if len(rest):
+                        block = block or _by_length(ids, vectors)
+                        best = _closest(rest.rename(columns={"id": "chunk_id"}), block, k, best)
+            if best is not None:
+                yield best
+
+        found = cells.mapInPandas(in_cells, out)
     rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("dense_score"), "chunk_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _dense_block(chunk_vectors: DataFrame, qids: list, vectors: list, k: int) -> DataFrame:
-    by_length = {
+def _by_length(qids: list, vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    return {
         n: (np.array([q for q, v in zip(qids, vectors) if len(v) == n]), np.array([v for v in vectors if len(v) == n], np.float64))
         for n in {len(v) for v in vectors}
     }
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for p in batches:
-            for n, own in p.groupby(p.vector.map(len)):
-                if n not in by_length:
-                    continue
-                ids, q = by_length[n]
-                rows = own.chunk_id.to_numpy()
-                x = np.stack(own.vector.to_numpy()).astype(np.float64).reshape(len(rows), n)
-                # question by question in slices, so that a score matrix stays small
-                for at in range(0, len(ids), 256):
-                    scores = np.round(x @ q[at : at + 256].T, 9).T
-                    top = np.argpartition(-scores, min(k, len(rows)) - 1, axis=1)[:, :k] if len(rows) > k else np.tile(np.arange(len(rows)), (len(scores), 1))
-                    edge = np.take_along_axis(scores, top, 1).min(axis=1)
-                    i, j = np.nonzero(scores >= edge[:, None])  # with all that tie at the edge
-                    some = pd.DataFrame({"qid": ids[at : at + 256][i], "chunk_id": rows[j], "dense_score": scores[i, j]})
-                    best = _best(some if best is None else pd.concat([best, some]), k)
-        if best is not None:
-            yield best
 
-    usable = chunk_vectors.filter(F.col("vector").isNotNull()).select("chunk_id", "vector")
-    return usable.mapInPandas(run, "qid long, chunk_id long, dense_score double")
+def _closest(p: pd.DataFrame, block: dict[int, tuple[np.ndarray, np.ndarray]], k: int, best: pd.DataFrame | None) -> pd.DataFrame | None:
+    """The k best of each question among the rows of p (chunk_id, vector) and those in best."""
+    for n, own in p.groupby(p.vector.map(len)):
+        if n not in block:
+            continue
+        ids, q = block[n]
+        rows = own.chunk_id.to_numpy()
+        x = np.stack(own.vector.to_numpy()).astype(np.float64).reshape(len(rows), n)
+        # question by question in slices, so that a score matrix stays small
+        some = [] if best is None else [best]
+        for at in range(0, len(ids), 256):
+            scores = np.round(x @ q[at : at + 256].T, 9).T
+            top = np.argpartition(-scores, min(k, len(rows)) - 1, axis=1)[:, :k] if len(rows) > k else np.tile(np.arange(len(rows)), (len(scores), 1))
+            edge = np.take_along_axis(scores, top, 1).min(axis=1)
+            i, j = np.nonzero(scores >= edge[:, None])  # with all that tie at the edge
+            some.append(pd.DataFrame({"qid": ids[at : at + 256][i], "chunk_id": rows[j], "dense_score": scores[i, j]}))
+        best = _best(pd.concat(some), k)
+    return best
 
 
 def legacy_search(chunk_vectors: DataFrame, query_vectors: DataFrame, k: int = LEGACY_TOP_K) -> DataFrame:
@@ -106,6 +140,12 @@ def token_table(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return words.groupBy(id_col, "token").agg(F.count("*").cast("int").alias("tf"))
 
 
+def _asked(questions: DataFrame) -> DataFrame:
+    """(qid, n_tokens, token, q_tf) of the questions' tokens."""
+    asked = questions.select("qid", T.tokens("question").alias("t")).withColumn("n_tokens", F.size("t"))
+    return asked.select("qid", "n_tokens", F.explode("t").alias("token")).groupBy("qid", "n_tokens", "token").agg(F.count("*").cast("int").alias("q_tf"))
+
+
 def keyword_search(questions: DataFrame, chunk_tokens: DataFrame) -> DataFrame:
     """(qid, chunk_id, sparse_score) of all pairs that share a token: the size of the multiset
     intersection by the number of the question's tokens.
@@ -113,14 +153,57 @@ def keyword_search(questions: DataFrame, chunk_tokens: DataFrame) -> DataFrame:
     Question tokens are broadcast while their counted rows allow it; each task then sums what its
     own token rows share before anything is shuffled.
     """
-    asked = questions.select("qid", T.tokens("question").alias("t")).withColumn("n_tokens", F.size("t"))
-    wanted = asked.select("qid", "n_tokens", F.explode("t").alias("token")).groupBy("qid", "n_tokens", "token").agg(F.count("*").cast("int").alias("q_tf"))
+    wanted = _asked(questions)
     if wanted.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS:
         wanted = F.broadcast(wanted)
     shared = chunk_tokens.join(wanted, "token").groupBy("qid", "chunk_id", "n_tokens").agg(F.sum(F.least("tf", "q_tf")).alias("shared"))
     return shared.select("qid", "chunk_id", (F.col("shared") / F.col("n_tokens")).alias("sparse_score"))
 
 
+def keyword_best(tokens_of: list[tuple], apart: set[tuple], chunks: DataFrame, pool: int = POOL) -> DataFrame:
+    """(qid, chunk_id, sparse_score) that hold, of each question, the pool best keyword hits that
+    differ in source, page and first characters, leaving out the pairs (qid, chunk_id) in apart.
+
+    tokens_of: rows (qid, n_tokens, token, q_tf). A task scores its chunks against all questions and
+    keeps pool hits of each, so neither tokens nor pairs of questions and chunks are shuffled: a hit
+    among the best of all tasks is among the best of its own."""
+    qids = sorted({r[0] for r in tokens_of})
+    place = {q: i for i, q in enumerate(qids)}
+    size = np.ones(len(qids))
+    by_token: dict[str, list] = {}
+    for q, n, token, tf in tokens_of:
+        size[place[q]] = n
+        by_token.setdefault(token, []).append((place[q], tf))
+    postings = {t: (np.array([i for i, _ in own]), np.array([tf for _, tf in own], np.float64)) for t, own in by_token.items()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[dict[tuple, tuple]] = [{} for _ in qids]  # key -> (-shared, chunk_id)
+        least = np.full(len(qids), 1.0)  # shared tokens from which a hit may enter
+        for p in batches:
+            for chunk_id, source, page, prefix, words in zip(p.chunk_id, p.source, p.page, p.prefix, p.words):
+                found = [(posting, n) for w, n in Counter(words).items() if (posting := postings.get(w)) is not None]
+                if not found:
+                    continue
+                at = np.concatenate([own[0] for own, _ in found])
+                shared = np.bincount(at, np.concatenate([np.minimum(own[1], n) for own, n in found]), len(qids))
+                for i in np.flatnonzero(shared >= least).tolist():
+                    if (qids[i], chunk_id) in apart:
+                        continue
+                    own, key, rank = best[i], (source, page, prefix), (-shared[i], chunk_id)
+                    if key not in own or rank < own[key]:
+                        own[key] = rank
+                        if len(own) > pool:
+                            del own[max(own, key=own.get)]
+                        if len(own) == pool:
+                            least[i] = -max(own.values())[0]
+        rows = [(qids[i], chunk_id, -minus / size[i]) for i, own in enumerate(best) for minus, chunk_id in own.values()]
+        yield pd.DataFrame(rows, columns=["qid", "chunk_id", "sparse_score"])
+
+    words = T.tokens("text").alias("words")
+    rows = chunks.select("chunk_id", F.col("source").cast("string").alias("source"), F.col("page").cast("string").alias("page"), F.left("text", F.lit(PREFIX_CHARS)).alias("prefix"), words)
+    return rows.mapInPandas(run, "qid long, chunk_id long, sparse_score double")
+
+
 def fuse(dense: DataFrame, sparse: DataFrame) -> DataFrame:
     """(qid, chunk_id, score, dense_score, sparse_score) of chunks found by either side; the side
     that did not find a chunk counts 0."""
@@ -156,9 +239,22 @@ def rerank(pool: DataFrame, questions: DataFrame, scorer: Callable[..., Column]
 
 
 def hybrid_pool(questions: DataFrame, chunks: DataFrame, chunk_tokens: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFrame, top_k: int = TOP_K) -> DataFrame:
-    """The pool that rerank() takes: dense candidates and all keyword hits, fused."""
-    dense = dense_search(chunk_vectors, query_vectors, dense_k(top_k))
-    return best_pool(fuse(dense, keyword_search(questions, chunk_tokens)), chunks)
+    """The pool that rerank() takes: dense candidates and keyword hits, fused.
+
+    The keyword scores of the dense candidates come from the inverted index; of all other hits only
+    those that can enter the pool leave their tasks. Where the questions' tokens are too many to be
+    sent to every task, all hits are fused by shuffled joins."""
+    dense = materialize(dense_search(chunk_vectors, query_vectors, dense_k(top_k)), "dense")
+    asked = materialize(_asked(questions), "asked")
+    if asked.count() > BROADCAST_TOKENS:
+        return best_pool(fuse(dense, keyword_search(questions, chunk_tokens)), chunks)
+    near = chunk_tokens.join(dense.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    pairs = dense.select("qid", "chunk_id")
+    of_dense = keyword_search(questions, near).join(pairs, ["qid", "chunk_id"], "left_semi")
+    tokens_of = [tuple(r) for r in asked.select("qid", "n_tokens", "token", "q_tf").collect()]
+    apart = {(r["qid"], r["chunk_id"]) for r in pairs.collect()}  # dense_k() rows a question
+    others = keyword_best(tokens_of, apart, chunks)
+    return best_pool(fuse(dense, of_dense.unionByName(others)), chunks)
 
 
 def hybrid_search(questions, chunks, chunk_tokens, query_vectors, chunk_vectors, top_k: int = TOP_K, scorer=lexical_boost) -> DataFrame:

@@ -11,6 +11,7 @@ from folioquery.functions import text as T
 from folioquery.functions.providers import hashed_embedding, lexical_boost, plain_text_pages
 from folioquery.functions.vectors import normalized
 from folioquery.operators import answering, chunking, conversation, retrieval
+from folioquery.scratch import materialize
 from folioquery.sources import files
 from folioquery.sources.cache import IndexCache
 
@@ -39,9 +40,10 @@ class Index:
 
 
 def build_index(pages: DataFrame, embed=hashed_embedding, chunks: Column | None = None) -> Index:
-    """Chunks, normalised vectors and the inverted index of pages (source, page, text). The chunks
-    are persisted, as every part of the index is made from them; Index.write() keeps them for good."""
-    numbered = chunking.number_chunks(chunking.chunk_pages(pages, chunks).persist()).persist()
+    """Chunks, normalised vectors and the inverted index of pages (source, page, text). Every part is
+    made from the table of chunks, which lasts as long as the driver; Index.write() keeps them for
+    good."""
+    numbered = chunking.numbered_chunks(pages, chunks)
     vectors = numbered.select("chunk_id", normalized(embed("text")).alias("vector"))
     return Index(numbered, vectors, retrieval.token_table(numbered, "chunk_id", "text"))
 
@@ -68,12 +70,13 @@ def ask(messages: DataFrame, index: Index, embed=hashed_embedding, scorer=lexica
     """Answers to every user turn of messages (conv_id, turn, role, text).
 
     (conv_id, turn, question, rewritten, answer, confidence, sources): the rewritten question is
-    searched for and answered; sources are given for refusals as well."""
-    turns = conversation.rewritten(messages).select("conv_id", "turn", F.col("text").alias("asked"), "rewritten")
-    turns = turns.filter(~F.lower(T.strip("asked")).isin("exit", "quit"))
-    questions = turns.withColumn("qid", F.xxhash64("conv_id", "turn")).withColumnRenamed("rewritten", "question")
+    searched for and answered; sources are given for refusals as well. A conversation ends at a user
+    turn that says exit or quit; nothing after it is answered."""
+    turns = conversation.rewritten(conversation.until_exit(messages)).select("conv_id", "turn", F.col("text").alias("asked"), "rewritten")
+    # an identity of its own for each row: messages may repeat a conversation and turn
+    questions = materialize(turns.withColumn("qid", F.monotonically_increasing_id()).withColumnRenamed("rewritten", "question"), "questions")
     vectors = questions.select("qid", normalized(embed(F.lower(T.strip("question")))).alias("vector"))
-    results = retrieval.hybrid_search(questions, index.chunks, index.tokens, vectors, index.vectors, top_k, scorer)
+    results = materialize(retrieval.hybrid_search(questions, index.chunks, index.tokens, vectors, index.vectors, top_k, scorer), "results")
     answers = answering.answer(questions, results, load_generator, most_tokens)
     cards = answering.source_cards(results).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "label", "page", "preview"))).alias("sources"))
     return (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from folioquery.functions import topics as Q
 from folioquery.functions.text import REFUSAL_TEXT, WHITESPACE, WORD
+from folioquery.operators.answering import SYSTEM_PROMPT
 
 WS = WHITESPACE
 
@@ -108,16 +109,65 @@ boosted AS (
   FROM (SELECT p.*, list_distinct({tokens('b.text')}) AS qs, list_distinct({tokens('p.text')}) AS cs FROM pool p JOIN benchmark b ON b.item_id = p.qid) p),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rerank_score, 9) DESC, pool_rank)::INTEGER AS rank FROM boosted QUALIFY rank <= 7)"""
 
-DECIDED = f"""{RERANKED},
+def _decided(questions: str) -> str:
+    """The gate over `ranked`; questions: the table of (item_id, text) asked."""
+    return f"""
 stats AS (SELECT qid, max(CASE WHEN rank = 1 THEN score END) AS best, count(*) FILTER (WHERE rank <= 5 AND score >= 0.38) AS support FROM ranked GROUP BY qid),
 ruled AS (
-  SELECT b.item_id AS qid, best, coalesce(support, 0) AS support,
+  SELECT b.item_id AS qid, b.text AS question, best, coalesce(support, 0) AS support,
     CASE WHEN best >= 0.72 THEN 'High' WHEN best >= 0.52 THEN 'Medium' ELSE 'Low' END AS label,
     coalesce(best >= 0.55 OR (best >= 0.42 AND support >= 2), false) AS should_answer
-  FROM benchmark b LEFT JOIN stats s ON s.qid = b.item_id),
+  FROM {questions} b LEFT JOIN stats s ON s.qid = b.item_id),
 decided AS (SELECT *, should_answer AND label <> 'Low' AS answered, CASE WHEN should_answer AND label <> 'Low' THEN label ELSE 'Low' END AS confidence FROM ruled)"""
 
 
+DECIDED = f"{RERANKED}, {_decided('benchmark')}"
+
+#: The closest sentence of the best chunk, for the questions that the gate lets through.
+ANSWERED = f"""
+said AS (SELECT qid, question, unnest(s) AS sentence, generate_subscripts(s, 1) AS pos
+         FROM (SELECT d.qid, question, {sentences('r.text')} AS s FROM decided d JOIN ranked r ON r.qid = d.qid AND r.rank = 1 WHERE answered)),
+closest AS (SELECT qid, sentence FROM said QUALIFY row_number() OVER (
+  PARTITION BY qid ORDER BY len(list_intersect(list_distinct({tokens('question')}), list_distinct({tokens('sentence')}))) DESC, pos) = 1),
+plain AS (SELECT d.qid, confidence, answered, coalesce({strip('sentence')}, '') AS a FROM decided d LEFT JOIN closest c ON c.qid = d.qid),
+answers AS (SELECT qid, CASE WHEN NOT answered OR a = '' OR (contains(lower(a), 'could not find') AND contains(lower(a), 'context')) THEN {quoted(REFUSAL_TEXT)} ELSE a END AS answer, confidence FROM plain)"""
+
+
+def _hashed(rows: str, key: str) -> str:
+    """Unit vectors (key, v) of hashed token counts of rows (key, text)."""
+    return f"""(SELECT {key}, list_transform(c, lambda x: (x / CASE WHEN n = 0 THEN 1.0 ELSE n END)::FLOAT) AS v
+      FROM (SELECT {key}, c, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n
+            FROM (SELECT {key}, list_transform(range(64), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS c
+                  FROM (SELECT {key}, list_transform({tokens('text')}, lambda t: ('0x' || left(md5(t), 8))::BIGINT % 64) AS b FROM {rows}))))"""
+
+
+def _unit(rows: str, key: str) -> str:
+    return f"""(SELECT {key}, list_transform(v, lambda x: (x::DOUBLE / CASE WHEN n = 0 THEN 1.0 ELSE n END)::FLOAT::DOUBLE) AS v
+      FROM (SELECT {key}, v, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM {rows}))"""
+
+
+#: Every benchmark item asked against the chunks of the documents, with hashed vectors.
+ASSISTED = f"""
+asked AS (SELECT item_id, text FROM benchmark),
+lowered AS (SELECT item_id AS qid, lower({strip('text')}) AS text FROM benchmark),
+qv AS (SELECT * FROM {_hashed('lowered', 'qid')}),
+cv AS (SELECT * FROM {_unit(_hashed('chunks', 'chunk_id'), 'chunk_id')}),
+qt AS (SELECT item_id AS qid, t AS token, count(*) AS tf FROM (SELECT item_id, unnest({tokens('text')}) AS t FROM benchmark) GROUP BY ALL),
+qn AS (SELECT qid, sum(tf) AS n FROM qt GROUP BY qid),
+ct AS (SELECT chunk_id, t AS token, count(*) AS tf FROM (SELECT chunk_id, unnest({tokens('text')}) AS t FROM chunks) GROUP BY ALL),
+sparse AS (SELECT qid, chunk_id, sum(least(qt.tf, ct.tf))::DOUBLE / max(n) AS sparse_score FROM qt JOIN ct USING (token) JOIN qn USING (qid) GROUP BY qid, chunk_id),
+dense AS (SELECT qid, chunk_id, round(list_dot_product(qv.v::DOUBLE[], cv.v), 9) AS dense_score FROM qv, cv
+          QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dense_score DESC, chunk_id) <= 28),
+scored AS (SELECT qid, chunk_id, 0.75 * coalesce(dense_score, 0.0) + 0.25 * coalesce(sparse_score, 0.0) AS score FROM dense FULL JOIN sparse USING (qid, chunk_id)),
+firsts AS (SELECT s.*, c.source, c.page, c.text FROM scored s JOIN chunks c USING (chunk_id)
+  QUALIFY row_number() OVER (PARTITION BY qid, c.source, c.page, left(c.text, 120) ORDER BY round(score, 9) DESC, chunk_id) = 1),
+pool AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id)::INTEGER AS pool_rank FROM firsts QUALIFY pool_rank <= 20),
+boosted AS (
+  SELECT p.*, score + CASE WHEN len(qs) = 0 OR len(cs) = 0 THEN 0 ELSE 0.15 * len(list_intersect(qs, cs)) / len(qs) END AS rerank_score
+  FROM (SELECT p.*, list_distinct({tokens('b.text')}) AS qs, list_distinct({tokens('p.text')}) AS cs FROM pool p JOIN benchmark b ON b.item_id = p.qid) p),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rerank_score, 9) DESC, pool_rank)::INTEGER AS rank FROM boosted QUALIFY rank <= 7)"""
+
+
 def single(q: str) -> str:
     """q: normalised without end marks."""
     topic = lambda o: bare(rf"regexp_extract({q}, '^{o} +(.+)$', 1)")
@@ -189,7 +239,7 @@ ORACLES = {
     "pieces": f"WITH {PIECES} SELECT doc_id, n::INTEGER AS n, piece FROM pieces",
     "chunks": f"WITH RECURSIVE {CHUNKS} SELECT * FROM chunks",
     "chunk_stats": f"WITH RECURSIVE {CHUNKS} SELECT (SELECT count(*) FROM documents WHERE {strip('text')} <> '') AS page_count, count(*) AS chunk_count, min(length(text)) AS min_chars, max(length(text)) AS max_chars, round(avg(length(text)), 6) AS mean_chars FROM chunks",
-    "window_chunks": f"SELECT doc_id, (k + 1)::INTEGER AS n, substring(c, k * 400 + 1, 500) AS text FROM (SELECT doc_id, c, unnest(range(0, (length(c) - 1) // 400 + 1)) AS k FROM (SELECT doc_id, {clean('text')} AS c FROM documents) WHERE c <> '') WHERE length(trim(substring(c, k * 400 + 1, 500), ' ')) >= 50",
+    "window_chunks": f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k))::INTEGER AS n, text FROM (SELECT doc_id, k, substring(c, k * 400 + 1, 500) AS text FROM (SELECT doc_id, c, unnest(range(0, (length(c) - 1) // 400 + 1)) AS k FROM (SELECT doc_id, {clean('text')} AS c FROM documents) WHERE c <> '')) WHERE length(trim(text, ' ')) >= 50",
     "blank_filter": f"SELECT source, doc_id AS page, {strip('text')} AS text FROM documents WHERE {strip('text')} <> ''",
     "tokens_tf": f"SELECT doc_id, token, count(*)::INTEGER AS tf FROM (SELECT doc_id, unnest({tokens('text')}) AS token FROM documents) GROUP BY ALL",
     "keyword_overlap": f"WITH {KEYWORDS} SELECT qid, chunk_id, round(sparse_score, 9) AS sparse_score FROM sparse",
@@ -203,7 +253,20 @@ ORACLES = {
     "source_cards": f"WITH {RERANKED} SELECT qid, rank, source AS label, page, {strip('left(text, 240)')} || CASE WHEN length(text) > 240 THEN '…' ELSE '' END AS preview, round(score, 4) AS score, round(rerank_score, 4) AS rerank FROM ranked",
     "build_context": f"WITH {RERANKED} SELECT qid, {CONTEXT} AS context FROM ranked GROUP BY qid",
     "prompt": f"""WITH {RERANKED}, c AS (SELECT qid, {CONTEXT} AS context FROM ranked GROUP BY qid)
-        SELECT qid, {strip("'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question:' || chr(10) || text || chr(10) || chr(10) || 'Answer:'")} AS user_prompt FROM c JOIN benchmark ON item_id = qid""",
+        SELECT qid, {quoted(SYSTEM_PROMPT)} AS system_prompt, {strip("'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question:' || chr(10) || text || chr(10) || chr(10) || 'Answer:'")} AS user_prompt FROM c JOIN benchmark ON item_id = qid""",
+    "confidence_classes": f"""WITH {DECIDED} SELECT qid, CASE label WHEN 'High' THEN 'conf-high' WHEN 'Medium' THEN 'conf-medium' ELSE 'conf-low' END AS label_class,
+        CASE confidence WHEN 'High' THEN 'conf-high' WHEN 'Medium' THEN 'conf-medium' ELSE 'conf-low' END AS shown_class FROM decided""",
+    "answers": f"WITH {DECIDED}, {ANSWERED} SELECT * FROM answers",
+    "assistant_flow": f"WITH RECURSIVE {CHUNKS}, {ASSISTED}, {_decided('asked')}, {ANSWERED} SELECT * FROM answers",
+    "history_append": "SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, max(turn) + 1, 'assistant', 'Noted.' FROM conversations GROUP BY conv_id",
+    "history_clear": "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')",
+    "document_change": """SELECT conv_id || '|' || CASE WHEN turn // 2 % 2 = 0 THEN 'a.pdf' ELSE 'b.pdf' END AS conv_id, turn, role, text FROM conversations
+        QUALIFY row_number() OVER (PARTITION BY conv_id, turn // 2 % 2 ORDER BY turn DESC) <= 2""",
+    "until_exit": """WITH m AS (SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 5 = 0 THEN ' Exit ' ELSE text END AS text FROM conversations),
+        e AS (SELECT conv_id, min(turn) AS e FROM m WHERE role = 'user' AND lower(trim(text)) IN ('exit', 'quit') GROUP BY conv_id)
+        SELECT m.* FROM m LEFT JOIN e ON m.conv_id = e.conv_id WHERE e IS NULL OR turn < e""",
+    "index_cache": f"""WITH RECURSIVE {CHUNKS} SELECT 'renamed' AS source, count(*) AS chunk_rows, sum(length(text))::BIGINT AS chars,
+        (SELECT count(*) FROM documents WHERE {strip('text')} <> '') AS page_count, count(*) AS chunk_count FROM chunks""",
     "topic_extract": f"WITH {TURNS} SELECT conv_id, turn, explicit[1] AS first_topic, explicit[2] AS second_topic FROM explicit WHERE role = 'user'",
     "topic_state": f"WITH {TURNS} SELECT conv_id, turn, role, array_to_string(topics, '|') AS topics FROM state",
     "rewrite_query": f"WITH {TURNS} {_rewritten()}",

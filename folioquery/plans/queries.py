@@ -16,7 +16,9 @@ from folioquery.functions.providers import hashed_embedding
 from folioquery.functions.vectors import norm, normalized
 from folioquery.operators import answering, chunking, conversation, prefix, retrieval
 from folioquery.plans.assistant import build_index
-from folioquery.sources.files import table_pages
+from folioquery.scratch import materialize, new_path
+from folioquery.sources.cache import IndexCache
+from folioquery.sources.files import table_pages, usable_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +55,8 @@ def _pool(spark, sf_dir) -> DataFrame:
 
 
 def _ranked(spark, sf_dir) -> DataFrame:
-    return retrieval.rerank(_pool(spark, sf_dir), _questions(spark, sf_dir))
+    """The ranked results, kept once however often a query uses them."""
+    return materialize(retrieval.rerank(_pool(spark, sf_dir), _questions(spark, sf_dir)), "ranked")
 
 
 def _turns(spark, sf_dir) -> DataFrame:
@@ -88,7 +91,7 @@ def pieces(spark, sf_dir):
 
 
 def chunks(spark, sf_dir):
-    return chunking.number_chunks(chunking.chunk_pages(_pages(spark, sf_dir)))
+    return chunking.numbered_chunks(_pages(spark, sf_dir))
 
 
 def chunk_stats(spark, sf_dir):
@@ -96,12 +99,8 @@ def chunk_stats(spark, sf_dir):
 
 
 def window_chunks(spark, sf_dir):
-    # a window keeps its ordinal among all windows of the page
-    clean, step = T.clean_text("text"), 400
-    starts = F.sequence(F.lit(0), F.floor((F.length("c") - 1) / step).cast("int"))
-    rows = _documents(spark, sf_dir).select("doc_id", clean.alias("c")).filter("c <> ''")
-    cut = rows.select("doc_id", F.posexplode(F.transform(starts, lambda i: F.substring("c", i * step + 1, F.lit(500)))).alias("n", "text"))
-    return cut.filter(F.length(F.btrim("text")) >= 50).withColumn("n", F.col("n") + 1)
+    cut = _documents(spark, sf_dir).select("doc_id", F.posexplode(chunking.window_texts("text")).alias("n", "text"))
+    return cut.withColumn("n", F.col("n") + 1)
 
 
 def blank_filter(spark, sf_dir):
@@ -161,7 +160,12 @@ def build_context(spark, sf_dir):
 
 
 def prompt(spark, sf_dir):
-    return answering.prompts(_questions(spark, sf_dir), answering.build_context(_ranked(spark, sf_dir))).select("qid", "user_prompt")
+    return answering.prompts(_questions(spark, sf_dir), answering.build_context(_ranked(spark, sf_dir)))
+
+
+def confidence_classes(spark, sf_dir):
+    decided = answering.decide(_questions(spark, sf_dir), _ranked(spark, sf_dir))
+    return decided.select("qid", answering.confidence_class("label").alias("label_class"), answering.confidence_class("confidence").alias("shown_class"))
 
 
 def answers(spark, sf_dir):
@@ -186,6 +190,45 @@ def recent_history(spark, sf_dir):
     return conversation.recent_history(_table(spark, sf_dir, "conversations"))
 
 
+def history_append(spark, sf_dir):
+    """Every conversation with one more message behind its last."""
+    messages = _table(spark, sf_dir, "conversations")
+    more = messages.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn")).withColumns({"role": F.lit("assistant"), "text": F.lit("Noted.")})
+    return conversation.append(messages, more)
+
+
+def history_clear(spark, sf_dir):
+    """Messages without the conversations that hold a system message."""
+    messages = _table(spark, sf_dir, "conversations")
+    return conversation.cleared(messages, messages.filter("role = 'system'").select("conv_id").distinct())
+
+
+def document_change(spark, sf_dir):
+    """Recent history where every second pair of turns is about another document."""
+    document = F.when(F.floor(F.col("turn") / 2) % 2 == 0, F.lit("a.pdf")).otherwise(F.lit("b.pdf"))
+    split = conversation.by_document(_table(spark, sf_dir, "conversations").withColumn("document", document), "document")
+    return conversation.recent_history(split, 2).select(F.regexp_replace("conv_id", "\x01", "|").alias("conv_id"), "turn", "role", "text")
+
+
+def until_exit(spark, sf_dir):
+    """Messages up to the first user turn that leaves; every fifth turn of a user says so."""
+    said = F.when((F.col("conv_id") + F.col("turn")) % 5 == 0, F.lit(" Exit ")).otherwise(F.col("text"))
+    return conversation.until_exit(_table(spark, sf_dir, "conversations").withColumn("text", said))
+
+
+def index_cache(spark, sf_dir):
+    """Documents indexed once by content: written to the cache, found again by signature, read under
+    another name."""
+    pages = _documents(spark, sf_dir).select(F.lit("all").alias("source"), F.col("doc_id").cast("int").alias("page"), "text")
+    cache = IndexCache(spark, new_path(spark, "cache"))
+    index = build_index(pages)
+    cache.write("all-documents", usable_pages(pages).count(), index.chunks.count(), chunks=index.chunks, vectors=index.vectors, tokens=index.tokens)
+    page_count, chunk_count = cache.meta("all-documents")
+    found = cache.read("all-documents", "renamed")
+    kept = found["chunks"].groupBy("source").agg(F.count("*").alias("chunk_rows"), F.sum(F.length("text")).alias("chars"))
+    return kept.withColumns({"page_count": F.lit(page_count).cast("long"), "chunk_count": F.lit(chunk_count).cast("long")})
+
+
 def question_kinds(spark, sf_dir):
     user = _table(spark, sf_dir, "conversations").filter("role = 'user'")
     return user.select("conv_id", "turn", Q.has_pronoun("text").alias("has_pronoun"), Q.is_comparison("text").alias("is_comparison"), Q.is_short_question("text").alias("is_short"))
@@ -229,7 +272,7 @@ def assistant_flow(spark, sf_dir):
     index = build_index(_pages(spark, sf_dir))
     questions = _questions(spark, sf_dir)
     vectors = questions.select("qid", hashed_embedding(F.lower(T.strip("question"))).alias("vector"))
-    results = retrieval.hybrid_search(questions, index.chunks, index.tokens, vectors, index.vectors)
+    results = materialize(retrieval.hybrid_search(questions, index.chunks, index.tokens, vectors, index.vectors), "results")
     return answering.answer(questions, results)
 
 
@@ -239,6 +282,7 @@ QUERIES = {
         clean_text, sentences, pieces, chunks, chunk_stats, window_chunks, blank_filter, tokens_tf, keyword_overlap, lexical_boost,
         vector_norm, dense_topk, legacy_topk3, hybrid_search, rerank_topk, gate_confidence, source_cards, build_context, prompt,
         answers, topic_extract, topic_state, rewrite_query, recent_history, question_kinds, refusal_norm, doc_name, suggestions,
-        signature, prefix_endpoint, trie_autocomplete, dedup_first, assistant_flow,
+        signature, prefix_endpoint, trie_autocomplete, dedup_first, assistant_flow, confidence_classes, history_append,
+        history_clear, document_change, until_exit, index_cache,
     )
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioquery.functions import text as T
 from folioquery.functions.providers import PageParser
+from folioquery.scratch import Workspace, running_sums
 
 
 def scan_folder(spark: SparkSession, folder: str, suffix: str = ".pdf") -> DataFrame:
@@ -26,9 +27,12 @@ def upload(spark: SparkSession, name: str, content: bytes) -> DataFrame:
 
 
 def number_lines(spark: SparkSession, path: str) -> DataFrame:
-    """A text file of words as a word list (ordinal, word); blank lines are left out."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("ordinal", "word"))
-    return lines.filter(~T.is_blank("word"))
+    """Text files of words as a word list (ordinal, word), line after line and file after file;
+    blank lines count but are left out."""
+    work = Workspace(spark, "lines")  # the result reads it, so it stays until the driver ends
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").withColumn("row", F.monotonically_increasing_id())
+    placed = running_sums(lines.withColumn("one", F.lit(1).cast("long")), ["file_path", "file_block_start", "row"], {"one": "ordinal"}, work)
+    return placed.select("ordinal", F.col("value").alias("word")).filter(~T.is_blank("word"))
 
 
 def usable_pages(pages: DataFrame) -> DataFrame:

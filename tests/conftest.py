@@ -36,13 +36,12 @@ def sf_dir():
     return "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="session")
-def duck(sf_dir):
-    """oracle(sql) -> sorted rows with columns in order of name."""
+def oracle_over(folder):
+    """oracle(sql) -> columns in order of name, and sorted rows, over a folder's tables."""
     import duckdb
 
     con = duckdb.connect()
-    for path in Path(sf_dir).glob("*.parquet"):
+    for path in Path(folder).glob("*.parquet"):
         con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
 
     def oracle(sql):
@@ -50,3 +49,8 @@ def duck(sf_dir):
         return sorted(df.columns), sorted((tuple(r) for r in df[sorted(df.columns)].astype(object).values.tolist()), key=repr)
 
     return oracle
+
+
+@pytest.fixture(scope="session")
+def duck(sf_dir):
+    return oracle_over(sf_dir)

@@ -44,9 +44,29 @@ def test_lengths_and_short_pages(spark):
 
 
 def test_numbers_have_no_gaps(spark):
-    docs = spark.createDataFrame([(s, p, "y" * 90 + ". " + "z" * 290 + ". " + "q" * 290 + ". " + "r" * 290) for s in "ba" for p in (3, 1, 20_001)], "source string, page int, text string")
-    rows = C.number_chunks(C.chunk_pages(docs)).orderBy("source", "page", "chunk_seq").collect()
-    assert [r["chunk_id"] for r in rows] == list(range(1, len(rows) + 1)) and len(rows) > 6
+    docs = spark.createDataFrame([(s, p, "y" * 90 + ". " + "z" * 290 + ". " + "q" * 290 + ". " + "r" * 290) for s in "ba" for p in (3, 1, 20_001, 3)], "source string, page int, text string")
+    docs = docs.unionByName(pages(spark, ["short", None, ""]))
+    rows = C.numbered_chunks(docs).orderBy("chunk_id").collect()
+    assert [r["chunk_id"] for r in rows] == list(range(1, len(rows) + 1)) and len(rows) > 8
+    places = [(r["source"], r["page"]) for r in rows]
+    assert places == sorted(places) and {r["chunk_seq"] for r in rows} >= {1, 2}
+    plain = sorted((r["source"], r["page"], r["chunk_seq"], r["text"]) for r in C.chunk_pages(docs).collect())
+    assert plain == sorted((r["source"], r["page"], r["chunk_seq"], r["text"]) for r in rows)
+    assert C.numbered_chunks(docs.limit(0)).count() == 0
+
+
+def test_pages_are_read_and_folded_once(spark, tmp_path, monkeypatch):
+    docs = pages(spark, ["Some words here. " * 30] * 50)
+    docs.write.parquet(str(tmp_path / "pages"))
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        reads.add(1)
+        return text
+
+    read = spark.read.parquet(str(tmp_path / "pages")).withColumn("text", seen("text"))
+    assert C.numbered_chunks(read).count() == 50 and reads.value == 50
 
 
 def test_windows(spark):

@@ -70,6 +70,22 @@ def test_fusion_defaults_and_dedup(spark, chunks):
     assert R.dense_k(7) == 28 and R.dense_k(3) == 20
 
 
+def test_pool_is_that_of_all_hits(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = ["the", "cat", "sat", "alpha", "beta", "gamma", "river", "sea"]
+    text = lambda n: " ".join(rng.choice(words, n))
+    rows = [(i, f"s{i % 2}", i % 5, text(3) if i % 4 else "the same words the") for i in range(400)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, source string, page int, text string").repartition(6)
+    questions = spark.createDataFrame([(q, text(6)) for q in range(9)] + [(20, ""), (21, "nothing shared")], "qid long, question string")
+    vectors = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(400)], "id long, vector array<double>")
+    asked, held = vectors.filter("id < 21").withColumnRenamed("id", "qid"), vectors.filter("id % 3 = 0").withColumnRenamed("id", "chunk_id")
+    tokens = R.token_table(chunks, "chunk_id", "text")
+    shown = lambda: sorted((r["qid"], r["pool_rank"], r["chunk_id"], round(r["score"], 9)) for r in R.hybrid_pool(questions, chunks, tokens, asked, held).collect())
+    by_task = shown()
+    monkeypatch.setattr(R, "BROADCAST_TOKENS", 3)
+    assert by_task == shown() and len({q for q, *_ in by_task}) == 10
+
+
 def test_rerank_keeps_order_of_ties(spark, questions, chunks):
     scored = spark.createDataFrame([(1, c, 0.5, 0.0, 0.0) for c in (10, 12, 13, 14)], "qid long, chunk_id long, score double, dense_score double, sparse_score double")
     got = R.rerank(R.best_pool(scored, chunks), questions, top_k=3).orderBy("rank").collect()
