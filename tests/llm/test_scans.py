@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from folioquery.llm import compress_quality as CQ
@@ -278,6 +279,21 @@ def test_quality_on_held_out_labels(spark):
     assert sum(p for _, p, q in held if q == 1) >= 0.99 * sum(q for _, _, q in held)
 
 
+def test_quality_scores_against_plain_compression(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").limit(60), spark.read.parquet(f"{sf}/labels.parquet")
+    model = CQ.fit(spark.read.parquet(f"{sf}/documents.parquet"), labels)
+    how = zstandard.ZstdCompressionParameters.from_level(CQ.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+    size = lambda raw, d: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), compression_params=how).compress(raw))
+    got = {r["doc_id"]: r["score"] for r in CQ.score(docs, model).collect()}
+    for r in docs.collect():
+        raw = r["text"].encode()
+        blocks = [raw[k : k + CQ.BLOCK] for k in range(0, len(raw), CQ.BLOCK)]
+        diff = sum(size(b, model.bad) - size(b, model.good) for b in blocks) / max(1, len(raw))
+        z = np.dot(model.curve, [50 * diff, 1 / (1 + len(raw) / 60), 1])
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-np.clip(z, -40, 40)))) < 1e-9
+
+
 def test_quality_corner_cases(spark):
     docs = spark.createDataFrame([(1, None, 1.0), (2, "", 1.0), (3, "same", 1.0), (3, "same", 1.0), (None, "x" * 100_000, 1.0)], "doc_id long, text string, score double")
     for labels, want in (([], {0.5}), ([(3, 1)], {1.0}), ([(3, 0)], {0.0}), ([(3, 0), (3, 1)], {0.5})):

@@ -1,19 +1,24 @@
 """Mixing, outliers, top-k search, the Jaccard join, the pipeline and the registered queries."""
 
 import collections
+import hashlib
 import itertools
 import random
 import re
 
+import duckdb
 import numpy as np
+import pandas as pd
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from folioquery.llm import bpe, langid, mixing, outliers, registry, secrets, topk
 from folioquery.llm import jaccard_join as J
-from folioquery.llm import mixing, outliers, registry, topk
-from folioquery.llm.common import Workspace
+from folioquery.llm.common import Workspace, id_fold
 from folioquery.llm.components import connected_components
 from folioquery.llm.licenses import words_of
 
@@ -257,7 +262,7 @@ def test_topk_skips_shards(spark):
 # joins
 
 
-def brute_join(rows):
+def brute_join(rows, in_order=False):
     sets = []
     for _, t in rows:
         w = words_of(t)
@@ -276,6 +281,8 @@ def brute_join(rows):
     for a in range(n):
         ids[group[a]].append(rows[a][0])
     least = {g: min((i for i in own if i is not None), default=None) for g, own in ids.items()}
+    if in_order:  # classes by their first row, as ids may be null
+        return [(rows[a][0], group[a], len(links[a])) for a in range(n)]
     return sorted(((rows[a][0], least[group[a]], len(links[a])) for a in range(n)), key=repr)
 
 
@@ -377,6 +384,61 @@ def test_pipeline(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == seen["byte_bpe"]
 
 
+def test_pipeline_against_brute_force(spark, sf_dir):
+    """Every stage against a plain computation over its own input."""
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = frame(spark, [(None, "the and of with " * 4, "en", None, 64), (900_001, None, "en", "src1", None), (900_002, "", None, "src1", 0), (0, given.first()["text"], "en", "src1", 9)])
+    docs = given.unionByName(odd.select(given.columns))
+    model = langid.fit(docs, F.coalesce(id_fold("doc_id", 4) != 2, F.lit(False)))
+    inputs = {}
+    for name, stage in corpus_pipeline.STAGES:
+        inputs[name] = [tuple(r) for r in docs.collect()]
+        docs = corpus_pipeline.materialize(stage(spark, docs, sf_dir), "t")
+    out = {n: inputs[m] for n, m in zip(inputs, list(inputs)[1:])}
+    same = lambda a, b: sorted(map(repr, a)) == sorted(map(repr, b))
+
+    def rejected(text):
+        """Window by window in plain Python."""
+        if not any(c.isalpha() for c in text or ""):
+            return True
+        raw = langid.spaced_bytes(text) + b"   "
+        rows = []
+        for k in range(len(raw) - 3):
+            for window in (raw[k : k + 3], raw[k : k + 4]):
+                if 32 not in window[1:-1] and not (len(window) == 3 and window[1] == 32):
+                    rows.append(model.rows[langid.window_buckets(np.frombuffer(raw[k : k + 4], np.uint8))[len(window) - 3][0]])
+        z = (np.mean(rows, axis=0, dtype=float) + model.bias) / model.temperature
+        return np.exp(z - z.max()).max() / np.exp(z - z.max()).sum() < model.reject_below
+
+    assert same(out["language_id"], [r for r in inputs["language_id"] if not rejected(r[1])])
+    at = {c: k for k, c in enumerate(given.columns)}
+    rows = inputs["ngram_jaccard_join"]
+    pairs = [(r[at["doc_id"]], r[at["text"]]) for r in rows]
+    first = collections.defaultdict(list)
+    for r, (_, root, _) in zip(rows, brute_join(pairs, in_order=True)):
+        alone = not words_of(r[at["text"]])
+        first[("alone", len(first)) if alone else ("class", root)].append(r)
+    kept = [min(own, key=lambda r: (r[at["doc_id"]] is None, r[at["doc_id"]] or 0)) for own in first.values()]
+    assert same([(r[0], r[1]) for r in out["ngram_jaccard_join"]], [(r[0], r[1]) for r in kept])
+    masked = []
+    for r in inputs["secret_scan"]:
+        text = r[at["text"]]
+        new = secrets.mask(text, secrets.scan(text)) if text is not None and secrets.scan(text) else text
+        masked.append(tuple(new if c == "text" else len(new) if c == "n_chars" and new is not text else r[k] for c, k in at.items()))
+    assert same(out["secret_scan"], masked)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(inputs["source_mix"], columns=given.columns).astype({"doc_id": "Int64"}))
+    times = {(r[0], r[1]): r[3] for r in con.execute(f"SELECT doc_id, any_value(size), count(*), any_value(CASE WHEN size = 0 THEN 1 ELSE taken // size END) FROM ({mixing.ORACLE_SQL}) GROUP BY doc_id, size").fetchall()}
+    n_words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert same(out["source_mix"], [r for r in inputs["source_mix"] for _ in range(times[r[at["doc_id"]], n_words(r[at["text"]])])])
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = []
+    for r in inputs["byte_bpe"]:
+        ids = np.array(library.encode_ordinary(r[at["text"]] or ""), "<u4").tobytes()
+        want.append((r[at["doc_id"]], len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((r[at["text"]] or "").encode()).hexdigest(), ids))
+    assert same([(*r[:4], bytes(r[4])) for r in docs.collect()], want)
+
+
 def test_pipeline_of_nothing(spark, sf_dir):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
