@@ -82,10 +82,11 @@ def numbered_chunks(pages: DataFrame, chunks: Column | None = None) -> DataFrame
 
 def corpus_stats(pages: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: page_count, chunk_count and the least, largest and mean chunk length."""
-    n = chunks.agg(
+    counted = [
         F.count("*").alias("chunk_count"),
         F.min(F.length("text")).cast("long").alias("min_chars"),
         F.max(F.length("text")).cast("long").alias("max_chars"),
         F.round(F.avg(F.length("text")), 6).alias("mean_chars"),
-    )
-    return pages.agg(F.count("*").alias("page_count")).join(n)
+    ]
+    rows = pages.agg(F.count("*").alias("page_count")).unionByName(chunks.agg(*counted), allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in ("page_count", "chunk_count", "min_chars", "max_chars", "mean_chars")])

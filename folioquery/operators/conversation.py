@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from folioquery.functions import text as T
 from folioquery.functions import topics as Q
+from folioquery.scratch import free_names
 
 # Messages that count as recent, and what ends a conversation.
 RECENT = 4
@@ -32,8 +33,9 @@ def by_document(messages: DataFrame, document_col: str) -> DataFrame:
 def until_exit(messages: DataFrame) -> DataFrame:
     """messages up to each conversation's first user turn that says exit or quit, without it."""
     leaves = (F.col("role") == "user") & F.lower(T.strip("text")).isin(EXIT_WORDS)
-    ends = messages.filter(leaves).groupBy("conv_id").agg(F.min("turn").alias("_end"))
-    return messages.join(ends, "conv_id", "left").filter(F.col("_end").isNull() | (F.col("turn") < F.col("_end"))).select(*messages.columns)
+    (end,) = free_names(messages, "end_turn")
+    ends = messages.filter(leaves).groupBy("conv_id").agg(F.min("turn").alias(end))
+    return messages.join(ends, "conv_id", "left").filter(F.col(end).isNull() | (F.col("turn") < F.col(end))).select(*messages.columns)
 
 
 def recent_history(messages: DataFrame, limit: int = RECENT) -> DataFrame:

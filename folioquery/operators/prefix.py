@@ -17,6 +17,12 @@ def complete_from_list(words: DataFrame, prefix: str, limit: int = LIST_LIMIT) -
     return words.filter(F.col("word").startswith(prefix.lower())).orderBy("ordinal").limit(limit)
 
 
+def as_json(found: DataFrame) -> DataFrame:
+    """One row with the words of a completion (ordinal, word) as a JSON list, in their order."""
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "word")))
+    return found.agg(F.to_json(F.transform(ordered, lambda w: w["word"])).alias("words"))
+
+
 def complete_from_tree(words: DataFrame, prefix: str, limit: int = TREE_LIMIT) -> DataFrame:
     """(rank, word): the first distinct words below the prefix in the order in which a prefix tree,
     filled in list order, is walked: a word before its continuations, continuations by when their

@@ -281,6 +281,9 @@ ORACLES = {
         'Summarize the key concepts in this document.', 'Explain an important concept from this PDF.', 'Compare two related topics mentioned here.'] AS s FROM names)""",
     "signature": "SELECT doc_id, substring(sha256(text), 1, 32) AS signature FROM documents",
     "prefix_endpoint": "SELECT (row_number() OVER (ORDER BY o))::INTEGER AS rank, p_name AS word FROM (SELECT p_partkey AS o, p_name FROM part WHERE starts_with(p_name, lower('Small')) ORDER BY p_partkey LIMIT 5)",
+    "prefix_json": "SELECT to_json(list(p_name ORDER BY o))::VARCHAR AS words FROM (SELECT p_partkey AS o, p_name FROM part WHERE starts_with(p_name, lower('Small')) ORDER BY p_partkey LIMIT 5)",
+    "word_list": f"SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS ordinal, p_name AS word FROM part QUALIFY {strip('p_name')} <> ''",
+    "extracted_pages": f"SELECT substring(sha256(text), 1, 32) AS signature, doc_id || '.txt' AS source, 1::INTEGER AS page, {strip('text')} AS text FROM documents WHERE {strip('text')} <> ''",
     "trie_autocomplete": """WITH words AS (SELECT p_name AS word, min(p_partkey) AS o FROM part WHERE starts_with(p_name, 's') GROUP BY p_name),
         deep AS (SELECT word, d, min(o) OVER (PARTITION BY d, left(word, d)) AS made FROM (SELECT word, o, unnest(range(1, length(word) + 1)) AS d FROM words)),
         keys AS (SELECT word, list(made ORDER BY d) AS k FROM deep GROUP BY word)

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from folioquery.functions import text as T
 from folioquery.functions import topics as Q
-from folioquery.functions.providers import hashed_embedding
+from folioquery.functions.providers import hashed_embedding, plain_text_pages
 from folioquery.functions.vectors import norm, normalized
 from folioquery.operators import answering, chunking, conversation, prefix, retrieval
 from folioquery.plans.assistant import build_index
 from folioquery.scratch import materialize, new_path
 from folioquery.sources.cache import IndexCache
-from folioquery.sources.files import table_pages, usable_pages
+from folioquery.sources.files import extract_pages, number_lines, table_pages, usable_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -257,6 +257,24 @@ def prefix_endpoint(spark, sf_dir):
     return found.select(F.row_number().over(W.orderBy("ordinal")).alias("rank"), "word")
 
 
+def prefix_json(spark, sf_dir):
+    return prefix.as_json(prefix.complete_from_list(_words(spark, sf_dir), "Small"))
+
+
+def word_list(spark, sf_dir):
+    """Part names written as lines of text files and read back as a word list."""
+    path = new_path(spark, "words")
+    _words(spark, sf_dir).orderBy("ordinal").select("word").write.text(path)
+    return number_lines(spark, path)
+
+
+def extracted_pages(spark, sf_dir):
+    """Documents as files of plain text, through the page parser."""
+    content = F.col("text").cast("binary")
+    held = _documents(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("source"), content.alias("content"), T.signature(content).alias("signature"))
+    return extract_pages(held, plain_text_pages)
+
+
 def trie_autocomplete(spark, sf_dir):
     return prefix.complete_from_tree(_words(spark, sf_dir), "s")
 
@@ -283,6 +301,6 @@ QUERIES = {
         vector_norm, dense_topk, legacy_topk3, hybrid_search, rerank_topk, gate_confidence, source_cards, build_context, prompt,
         answers, topic_extract, topic_state, rewrite_query, recent_history, question_kinds, refusal_norm, doc_name, suggestions,
         signature, prefix_endpoint, trie_autocomplete, dedup_first, assistant_flow, confidence_classes, history_append,
-        history_clear, document_change, until_exit, index_cache,
+        history_clear, document_change, until_exit, index_cache, prefix_json, word_list, extracted_pages,
     )
 }

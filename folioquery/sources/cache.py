@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from folioquery.scratch import exists
 
 TABLES = ("chunks", "vectors", "tokens")
 
@@ -26,10 +27,9 @@ class IndexCache:
 
     def meta(self, signature: str) -> tuple[int, int] | None:
         """(page_count, chunk_count) of a complete entry, or None."""
-        try:
-            row = self._read("meta", signature).first()
-        except AnalysisException:  # nothing was ever written
+        if not exists(self.spark, self._path("meta")):  # nothing was ever written
             return None
+        row = self._read("meta", signature).first()
         return None if row is None else (row["page_count"], row["chunk_count"])
 
     def write(self, signature: str, page_count: int, chunk_count: int, **tables: DataFrame) -> None:
