@@ -367,7 +367,7 @@ def _routes(asked: DataFrame, upper: dict[int, Upper], blocks: int, wave: int) -
 def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, shard_rows: int | None = None, visits: list[int] | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of vectors (id, v) with the largest inner product
     with each of queries (id, v), both as as_integers() gives them. visits, if given, gets the number
-    of shards that queries met in each wave and the number of all pairs of a query and a shard."""
+    of shards that queries met in each wave there was and the number of all pairs of a query and a shard."""
     spark = vectors.sparkSession
     with Workspace(spark, "topk") as work:
         vectors = work.table(vectors.withColumn("dim", F.size("v")), "given")
@@ -379,7 +379,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, shard_rows: int
         shards = spark.createDataFrame(leaves, "dim int, leaf int, shards int")  # at most MOST_LEAVES of a length
         in_shards = dealt.join(F.broadcast(shards), ["dim", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id", "row"), "shards").cast("int"))
         found = spark.createDataFrame([], "query_id long, vec_id long, score long")
-        for wave in range(3):
+        # one shard answers all there is to ask; few leaves leave none for the last wave
+        alone = all(tree.shards.sum() <= 1 for tree in upper.values())
+        waves = 1 if alone else 2 if all(len(tree.shards) <= NEXT_LEAVES for tree in upper.values()) else 3
+        for wave in range(waves):
             kth = _best(found, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).filter(F.col("n") >= k)
             state = asked.join(kth.select(F.col("query_id").alias("id"), "floor"), "id", "left")
             routes = _routes(state, upper, blocks, wave)

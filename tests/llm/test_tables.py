@@ -256,7 +256,7 @@ def test_topk_skips_shards(spark):
     visits = []
     got = sorted(tuple(r) for r in topk.search(ints, ints.filter("id % 50 = 0"), shard_rows=100, visits=visits).collect())
     assert got == brute_topk(rows)
-    assert sum(visits[:3]) < 0.5 * visits[3], visits
+    assert sum(visits[:-1]) < 0.5 * visits[-1], visits
 
 
 # joins
