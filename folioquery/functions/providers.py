@@ -6,6 +6,11 @@ is replaced silently.
 
 from __future__ import annotations
 
+import json
+import os
+import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -82,6 +87,36 @@ def extractive_answer(question: Column | str, top_text: Column | str) -> Column:
     return F.get(F.array_sort(scored), F.lit(0))["s"]
 
 
+def chat_completions(url: str, model: str, key_variable: str | None = None, timeout: float = 60, tries: int = 3) -> Callable[[], Generate]:
+    """A load() for generated_answers(): a service that takes chat requests as JSON over HTTP.
+
+    Requests ask for temperature 0. key_variable: the environment variable on the workers that holds
+    the key. An overloaded or failing service is asked again, tries times in all; other errors and
+    the last failure end the task."""
+
+    def load() -> Generate:
+        headers = {"Content-Type": "application/json"}
+        if key_variable:
+            headers["Authorization"] = f"Bearer {os.environ[key_variable]}"
+
+        def generate(system: str, user: str, most_tokens: int) -> str:
+            said = [{"role": "system", "content": system}, {"role": "user", "content": user}]
+            body = json.dumps({"model": model, "messages": said, "temperature": 0.0, "max_tokens": most_tokens}).encode()
+            for left in range(tries - 1, -1, -1):
+                try:
+                    with urllib.request.urlopen(urllib.request.Request(url, body, headers), timeout=timeout) as reply:
+                        return json.load(reply)["choices"][0]["message"]["content"] or ""
+                except urllib.error.HTTPError as e:
+                    if not left or (e.code != 429 and e.code < 500):
+                        raise
+                    time.sleep(2.0 ** (tries - 1 - left))
+            raise ValueError("tries must be positive")
+
+        return generate
+
+    return load
+
+
 def generated_answers(prompts: DataFrame, load: Callable[[], Generate], most_tokens: int) -> DataFrame:
     """qid and answer for each row (qid, system_prompt, user_prompt) by a model opened in each task."""
 

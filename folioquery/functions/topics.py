@@ -16,8 +16,8 @@ TOPIC_OPENINGS = [
     "advantages of", "disadvantages of", "tell me about", "give me",
 ]
 COMPARE_OPENINGS = [
-    "compare ", "difference between ", "what is the difference between ", "what's the difference between ",
-    "tell me the difference between ",
+    "compare", "difference between", "what is the difference between", "what's the difference between",
+    "tell me the difference between",
 ]
 SHORT_QUESTIONS = [
     "why", "how", "how so", "explain", "explain more", "advantages", "disadvantages", "applications",
@@ -76,7 +76,7 @@ def single_topic(question: Column | str) -> Column:
 
 def comparison_topics(question: Column | str) -> Column:
     """The two things that are compared, or null."""
-    patterns = [rf"\A{o} *(.+?) +(?:and|vs|versus) +(.+)\z" for o in COMPARE_OPENINGS]
+    patterns = [rf"\A{o} +(.+?) +(?:and|vs|versus) +(.+)\z" for o in COMPARE_OPENINGS]
     patterns.append(r"\A(.+?) +(?:vs|versus) +(.+)\z")
 
     def side(q: Column, pattern: str, group: int) -> Column:

@@ -14,11 +14,8 @@ HIGH, MEDIUM = 0.72, 0.52
 MOST_TOKENS = 160
 CONFIDENCE_CLASS = {"High": "conf-high", "Medium": "conf-medium", "Low": "conf-low"}
 
-SYSTEM_PROMPT = f"""You answer questions about documents. The context below is your only source.
-Say what the context supports, briefly and plainly; leave out what it does not support, including
-guesses, examples and comparisons of your own. If the context supports a part of the answer, give
-that part. If it does not contain the answer, reply with exactly this sentence:
-{T.REFUSAL_TEXT}"""
+SYSTEM_PROMPT = f"""Answer from the context alone, in a few plain sentences.
+Where the context holds no answer, your whole reply is: {T.REFUSAL_TEXT}"""
 
 
 def confidence_label(best: Column | str) -> Column:

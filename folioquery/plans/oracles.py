@@ -176,7 +176,7 @@ def single(q: str) -> str:
 
 
 def compared(q: str) -> str:
-    patterns = ["^" + o.replace("'", "''") + " *(.+?) +(?:and|vs|versus) +(.+)$" for o in Q.COMPARE_OPENINGS] + ["^(.+?) +(?:vs|versus) +(.+)$"]
+    patterns = ["^" + o.replace("'", "''") + " +(.+?) +(?:and|vs|versus) +(.+)$" for o in Q.COMPARE_OPENINGS] + ["^(.+?) +(?:vs|versus) +(.+)$"]
     side = lambda p, g: f"trim(regexp_replace({bare(f'''regexp_extract({q}, '{p}', {g})''')}, '^the +', ''), ' ')"
     tried = [f"CASE WHEN {side(p, 1)} <> '' AND {side(p, 2)} <> '' THEN [{side(p, 1)}, {side(p, 2)}] END" for p in patterns]
     return f"coalesce({', '.join(tried)})"

@@ -1,8 +1,13 @@
+import http.server
+import json
+import threading
+import urllib.error
 from collections import Counter
 
 import numpy as np
 import pytest
 
+from folioquery.functions.providers import chat_completions
 from folioquery.functions.text import REFUSAL_TEXT
 from folioquery.functions.vectors import inner_product, norm, normalized
 from folioquery.operators import answering as A
@@ -128,6 +133,32 @@ def test_answers_call_the_model_only_when_open(spark, questions):
     assert (cards["label"], cards["preview"], cards["score"], cards["rerank"]) == ("s", "The cat sat. A dog ran.", "0.9000", "0.9000")
 
 
+def test_answers_of_a_chat_service(monkeypatch):
+    asked, codes = [], [503, 200, 401]
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append((self.headers["Authorization"], json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            code = codes[len(asked) - 1]
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": "Snow."}}]}).encode() if code == 200 else b"")
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("A_KEY", "abc")
+    generate = chat_completions(f"http://127.0.0.1:{server.server_port}/chat", "some-model", "A_KEY")()
+    assert generate("s", "u", 7) == "Snow."
+    with pytest.raises(urllib.error.HTTPError):
+        generate("s", "u", 7)
+    server.shutdown()
+    assert len(asked) == 3 and asked[1][0] == "Bearer abc"
+    assert asked[1][1] == {"model": "some-model", "messages": [{"role": "system", "content": "s"}, {"role": "user", "content": "u"}], "temperature": 0.0, "max_tokens": 7}
+
+
 def test_confidence_class(spark):
     df = spark.createDataFrame([("High",), ("other",), (None,)], "l string")
     assert [r[0] for r in df.select(A.confidence_class("l")).collect()] == ["conf-high", "conf-low", "conf-low"]
