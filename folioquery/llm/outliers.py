@@ -98,18 +98,24 @@ def counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     place = "cast({} & (shiftleft(1L, _bits) - 1) as int)"
     this, other = place.format("get(_windows, j)"), place.format("get(_windows, j - 1)")
     differ = " or ".join(f"get(_words, {this} + {k}) <> get(_words, {other} + {k})" for k in range(3))
+    # windows whose like stands before them, in order of hashes
     rows = rows.select(
         *named, "_words", "_windows", "_bits",
-        # hashes under which windows of other words stand next to each other
         F.expr(
-            "if(size(_windows) < 2, cast(array() as array<bigint>), array_distinct(transform(filter(sequence(1, size(_windows) - 1), j -> "
-            f"shiftright(get(_windows, j), _bits) = shiftright(get(_windows, j - 1), _bits) and ({differ})), "
-            "j -> shiftright(get(_windows, j), _bits))))"
-        ).alias("_mixed"),
+            "if(size(_windows) < 2, cast(array() as array<int>), "
+            "filter(sequence(1, size(_windows) - 1), j -> shiftright(get(_windows, j) ^ get(_windows, j - 1), _bits) = 0))"
+        ).alias("_pairs"),
+    )
+    hash_ = "shiftright(get(_windows, j), _bits)"
+    rows = rows.select(
+        *named, "_words", "_windows", "_bits", "_pairs",
+        # hashes under which windows of other words stand next to each other
+        F.expr(f"array_distinct(transform(filter(_pairs, j -> {differ}), j -> {hash_}))").alias("_mixed"),
     )
     words_at = "concat_ws(' ', " + ", ".join(f"get(_words, {place.format('w')} + {k})" for k in range(3)) + ")"
     rows = rows.select(
         *named, "_windows", "_mixed", "_bits",
+        F.expr(f"if(size(_mixed) = 0, _pairs, filter(_pairs, j -> not array_contains(_mixed, {hash_})))").alias("_pairs"),
         F.expr(
             "if(size(_mixed) = 0, cast(array() as array<struct<words: string, place: int>>), sort_array(transform(filter(_windows, w -> "
             f"array_contains(_mixed, shiftright(w, _bits))), w -> struct({words_at} as words, {place.format('w')} as place))))"
@@ -117,13 +123,8 @@ def counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     )
     rows = rows.select(
         *named,
-        # places of windows that stand next to their like
         F.expr(
-            "if(size(_windows) < 2, cast(array() as array<int>), sort_array(concat(transform(filter(sequence(0, size(_windows) - 1), j -> "
-            "(coalesce(shiftright(_windows[j], _bits) = shiftright(get(_windows, j - 1), _bits), false) or "
-            "coalesce(shiftright(_windows[j], _bits) = shiftright(get(_windows, j + 1), _bits), false)) and "
-            "(size(_mixed) = 0 or not array_contains(_mixed, shiftright(_windows[j], _bits)))), "
-            f"j -> {place.format('_windows[j]')}), "
+            f"sort_array(array_distinct(concat(transform(_pairs, j -> {this}), transform(_pairs, j -> {other}), "
             "if(size(_told) < 2, cast(array() as array<int>), transform(filter(sequence(0, size(_told) - 1), j -> "
             "coalesce(_told[j].words = get(_told, j - 1).words, false) or coalesce(_told[j].words = get(_told, j + 1).words, false)), "
             "j -> _told[j].place)))))"
