@@ -17,17 +17,18 @@ def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
     from a table of work.
 
     Alternating large-star and small-star steps: each points a node's neighbours to the smallest
-    node among them, until every node points to its root. Minima are partial aggregates, so a hub
-    does not gather its neighbours in one task; nothing but a count and a checksum reaches the
-    driver. Loops and repeated edges are allowed; no edges give no rows.
+    node among them, until every node points to its root. Minima are partial aggregates and tables of
+    their own, one row a node, so that a hub's neighbours are split between tasks when they are joined
+    with it; nothing but a count and a checksum reaches the driver. Loops and repeated edges are
+    allowed; no edges give no rows.
     """
     e = work.table(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     state = _checked(e)
     while state[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        least = work.table(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "cc-least")
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = work.table(large.groupBy("a").agg(F.min("b").alias("m")), "cc-least")
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         e = work.table(small.distinct(), "cc")
         before, state = state, _checked(e)
