@@ -55,7 +55,7 @@ HASHES = 128
 BANDS = 24
 BAND_ROWS = 4
 STEP = 16
-TOLERANCE = 1e-5
+TOLERANCE = 1e-9
 #: Members of a bucket, and of a group, that are compared with each other at a time.
 BUCKET_BLOCK = 1024
 GROUP_BLOCK = 1024

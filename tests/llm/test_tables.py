@@ -347,6 +347,19 @@ def test_pruning_keeps_what_may_reach_the_threshold():
     assert kept >= 195
 
 
+def test_no_pair_of_a_dense_group_is_pruned():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    sets = []
+    for _ in range(1200):
+        own = base.copy()
+        at = rng.choice(300, 15, replace=False)
+        own[at] = rng.integers(0, 1 << 63, 15, dtype=np.uint64)  # at least 270 of 330 agree with any other
+        sets.append(np.unique(own))
+    kept = J.survivors(np.array([J.signature(s) for s in sets]))
+    assert kept.sum() == 1200 * 1199 and (J.exact_links(sets[:100], kept[:100, :100]) == J.exact_links(sets[:100])).all()
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(90)]
