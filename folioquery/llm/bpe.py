@@ -37,7 +37,7 @@ from folioquery.llm.pieces import PieceCache, by_volume, split_portions
 QUERY = "op8_byte_bpe"
 ORACLE_SQL = None
 
-CACHE_PIECES = 100_000
+CACHE_PIECES = 60_000
 CACHE_BYTES = 1024
 _NONE = np.int64(1) << 62
 #: Leaves of the trees that are worked on together.

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from folioquery.scratch import Workspace, free_names, join_checked, materialize, new_path, running_sums  # noqa: F401
 
 #: Bytes of a batch that goes to a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_slices(batches, column: str = "text", most: int = 4 << 20):
+def text_slices(batches, column: str = "text", most: int = 1 << 20):
     """The rows of Arrow batches in batches of about most bytes of text, so that Python objects are
     made of a little at a time; a longer text stands alone."""
     for batch in batches:

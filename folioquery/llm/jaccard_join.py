@@ -58,9 +58,9 @@ STEP = 16
 TOLERANCE = 1e-9
 #: Members of a bucket, and of a group, that are compared with each other at a time.
 BUCKET_BLOCK = 1024
-GROUP_BLOCK = 1024
+GROUP_BLOCK = 512
 #: Shingles of a block of a group.
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 19
 
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
