@@ -49,7 +49,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioquery.llm.common import join_checked, map_batches, materialize, new_path, table, text_slices
-from folioquery.llm.pieces import LONG, PieceCache, by_volume, is_plain, split_portions
+from folioquery.llm.pieces import LONG, SinglePieceCache, by_volume, is_plain, split_portions
 
 QUERY = "op9_token_bitpack"
 ORACLE_SQL = None
@@ -57,14 +57,16 @@ ORACLE_SQL = None
 END_ID = 0
 BLOCK = 4096
 SEGMENT_IDS = 1 << 20
-CACHE_PIECES = 100_000
+CACHE_PIECES = 200_000
 _HEAD = struct.Struct("<4sHHIQQ")
 _CUT = re.compile(r"(?<=\S)(?=\s)")
 
 # Byte-level alphabet: printable Latin-1 characters stand for their own byte, the others for the
 # remaining bytes in order from U+0100 on.
 _OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _OWN)}
+_OTHERS = [b for b in range(256) if b not in _OWN]
+_ALPHABET = [chr(256 + _OTHERS.index(b)) if b in _OTHERS else chr(b) for b in range(256)]
+_BLANK = _ALPHABET[32]
 
 
 def bits_for(vocabulary: int) -> int:
@@ -172,11 +174,15 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache = PieceCache(self._pieces, CACHE_PIECES)
+        #: type and bytes of ids, as narrow as the vocabulary allows
+        self.kind = _shuffled(self.size)
+        self.bytes_of = [int(i).to_bytes(np.dtype(self.kind).itemsize, "little") for i in range(self.size)]
+        self.tokenize = self.tokenizer.model.tokenize
+        self.cache = SinglePieceCache(self._piece, CACHE_PIECES)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [np.array(e.ids, self.kind).tobytes() for e in found]
 
     def _whole(self, text: str) -> bytes:
         out, at = [], 0
@@ -187,16 +193,22 @@ class LibraryEncoder:
             at = to
         return b"".join(out)
 
-    def _pieces(self, pieces: list[str]):
-        """Each distinct match with its ids, by the library's model alone: a match needs no
-        splitting, only its bytes in the model's alphabet."""
-        tokenize = self.tokenizer.model.tokenize
-        for p in pieces:
-            found = tokenize(p.encode().decode("latin-1").translate(_ALPHABET))
-            yield p, b"".join([t.id.to_bytes(4, "little") for t in found])
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a match by the library's model alone: a match needs no splitting, only its bytes in
+        the model's alphabet, where of printable ASCII only the blank is another."""
+        if piece.isascii() and piece.isprintable():
+            found = self.tokenize(piece.replace(" ", _BLANK))
+        else:
+            found = self.tokenize("".join([_ALPHABET[b] for b in piece.encode()]))
+        ids = self.bytes_of
+        return ids[found[0].id] if len(found) == 1 else b"".join([ids[t.id] for t in found])
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        return [np.frombuffer(x, self.kind).astype("<u4").tobytes() for x in self.encode_narrow(texts)]
+
+    def encode_narrow(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as self.kind."""
         out = [b""] * len(texts)
         by_piece = []
         for i, t in enumerate(texts):
@@ -235,21 +247,20 @@ def write_packed(docs: DataFrame, out: str, path: str | None = None, end_id: int
 
     def encode(batches):
         encoder = load(path or public_tokenizers.path("byte_bpe_50k.json"))
-        kind = _shuffled(encoder.size)
-        end = end_id.to_bytes(4, "little")
+        end = encoder.bytes_of[end_id]
         for b in text_slices(batches):
             doc_ids = b.column("doc_id").to_pylist()
-            ids = [np.frombuffer(x + end, "<u4") for x in encoder.encode_many([t or "" for t in b.column("text").to_pylist()])]
+            ids = [x + end for x in encoder.encode_narrow([t or "" for t in b.column("text").to_pylist()])]
             spread = b.column("spread").to_pylist()
             shard = [shard_of(d, x) for d, x in zip(doc_ids, spread)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids, pa.int64()), b.column("spread"), pa.array(shard, pa.int32()), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.astype(kind).tobytes() for i in ids], pa.binary())],
+                [pa.array(doc_ids, pa.int64()), b.column("spread"), pa.array(shard, pa.int32()), pa.array([len(i) // len(end) for i in ids], pa.int64()), pa.array(ids, pa.binary())],
                 ["doc_id", "spread", "shard", "n", "ids"],
             )
 
     def write(batches):
         encoder = load(path or public_tokenizers.path("byte_bpe_50k.json"))
-        bits, kind = bits_for(encoder.size), _shuffled(encoder.size)
+        bits, kind = bits_for(encoder.size), encoder.kind
         held: list = [[], []]
         at, number, total = None, 0, 0
 

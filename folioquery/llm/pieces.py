@@ -77,3 +77,35 @@ class PieceCache:
             if len(p) > self.longest:
                 del young[p]
         return out
+
+
+class _Known(dict):
+    """Ids by match; a match that is new is looked for among the old ones and else encoded."""
+
+    def __init__(self, old: dict[str, bytes], encode: Callable[[str], bytes], longest: int):
+        self.old, self.encode, self.longest = old, encode, longest
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            found = self.encode(piece)
+        if len(piece) <= self.longest:
+            self[piece] = found
+        return found
+
+
+class SinglePieceCache:
+    """PieceCache for an encoder that takes matches one by one."""
+
+    def __init__(self, encode: Callable[[str], bytes], most: int, longest: int = 1024):
+        self.encode, self.most, self.longest = encode, most, longest
+        self.young = _Known({}, encode, longest)
+
+    def ids_of(self, portions: list[list[str]]) -> list[bytes]:
+        out = []
+        for p in portions:
+            if len(self.young) > self.most:
+                self.young.old = {}
+                self.young = _Known(self.young, self.encode, self.longest)
+            out.append(b"".join(map(self.young.__getitem__, p)))
+        return out
