@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioquery.llm import bitpack, bpe, compress_quality, jaccard_join, langid, licenses, mixing, outliers, secrets, topk
+from folioquery.llm import bitpack, bpe, chat, compress_quality, dsir, jaccard_join, langid, licenses, merkle, mixing, outliers, secrets, topk
 
-_MODULES = (licenses, mixing, outliers, topk, compress_quality, secrets, jaccard_join, bpe, bitpack, langid)
+_MODULES = (licenses, mixing, outliers, topk, compress_quality, secrets, jaccard_join, bpe, bitpack, langid, dsir, merkle, chat)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
