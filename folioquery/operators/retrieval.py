@@ -11,7 +11,6 @@ Equal scores are ordered by chunk_id.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +21,8 @@ from pyspark.sql import functions as F
 
 from folioquery.functions import text as T
 from folioquery.functions.providers import lexical_boost
-from folioquery.scratch import materialize
+from folioquery.operators.postings import Postings, best_hits
+from folioquery.scratch import join_checked, materialize
 
 # Weights and sizes of the hybrid search.
 DENSE_WEIGHT, SPARSE_WEIGHT = 0.75, 0.25
@@ -32,11 +32,9 @@ POOL = 20
 PREFIX_CHARS = 120
 LEGACY_TOP_K = 3
 
-#: Questions whose vectors are sent to the executors at a time, and token rows of questions that are
-#: broadcast; more are handled in blocks or by a shuffled join.
+#: Questions whose vectors are sent to the executors at a time; more are handled in blocks.
 QUESTION_BLOCK = 4096
 SHARD_VECTORS = 65_536
-BROADCAST_TOKENS = 200_000
 
 
 def dense_k(top_k: int = TOP_K) -> int:
@@ -150,60 +148,13 @@ def keyword_search(questions: DataFrame, chunk_tokens: DataFrame) -> DataFrame:
     """(qid, chunk_id, sparse_score) of all pairs that share a token: the size of the multiset
     intersection by the number of the question's tokens.
 
-    Question tokens are broadcast while their counted rows allow it; each task then sums what its
-    own token rows share before anything is shuffled.
+    Question tokens are broadcast while their measured bytes allow it; each task then sums what its
+    own token rows share before anything is shuffled. The k best alone come from stored postings.
     """
-    wanted = _asked(questions)
-    if wanted.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS:
-        wanted = F.broadcast(wanted)
-    shared = chunk_tokens.join(wanted, "token").groupBy("qid", "chunk_id", "n_tokens").agg(F.sum(F.least("tf", "q_tf")).alias("shared"))
+    shared = join_checked(chunk_tokens, materialize(_asked(questions), "asked"), "token").groupBy("qid", "chunk_id", "n_tokens").agg(F.sum(F.least("tf", "q_tf")).alias("shared"))
     return shared.select("qid", "chunk_id", (F.col("shared") / F.col("n_tokens")).alias("sparse_score"))
 
 
-def keyword_best(tokens_of: list[tuple], apart: set[tuple], chunks: DataFrame, pool: int = POOL) -> DataFrame:
-    """(qid, chunk_id, sparse_score) that hold, of each question, the pool best keyword hits that
-    differ in source, page and first characters, leaving out the pairs (qid, chunk_id) in apart.
-
-    tokens_of: rows (qid, n_tokens, token, q_tf). A task scores its chunks against all questions and
-    keeps pool hits of each, so neither tokens nor pairs of questions and chunks are shuffled: a hit
-    among the best of all tasks is among the best of its own."""
-    qids = sorted({r[0] for r in tokens_of})
-    place = {q: i for i, q in enumerate(qids)}
-    size = np.ones(len(qids))
-    by_token: dict[str, list] = {}
-    for q, n, token, tf in tokens_of:
-        size[place[q]] = n
-        by_token.setdefault(token, []).append((place[q], tf))
-    postings = {t: (np.array([i for i, _ in own]), np.array([tf for _, tf in own], np.float64)) for t, own in by_token.items()}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[dict[tuple, tuple]] = [{} for _ in qids]  # key -> (-shared, chunk_id)
-        least = np.full(len(qids), 1.0)  # shared tokens from which a hit may enter
-        for p in batches:
-            for chunk_id, source, page, prefix, words in zip(p.chunk_id, p.source, p.page, p.prefix, p.words):
-                found = [(posting, n) for w, n in Counter(words).items() if (posting := postings.get(w)) is not None]
-                if not found:
-                    continue
-                at = np.concatenate([own[0] for own, _ in found])
-                shared = np.bincount(at, np.concatenate([np.minimum(own[1], n) for own, n in found]), len(qids))
-                for i in np.flatnonzero(shared >= least).tolist():
-                    if (qids[i], chunk_id) in apart:
-                        continue
-                    own, key, rank = best[i], (source, page, prefix), (-shared[i], chunk_id)
-                    if key not in own or rank < own[key]:
-                        own[key] = rank
-                        if len(own) > pool:
-                            del own[max(own, key=own.get)]
-                        if len(own) == pool:
-                            least[i] = -max(own.values())[0]
-        rows = [(qids[i], chunk_id, -minus / size[i]) for i, own in enumerate(best) for minus, chunk_id in own.values()]
-        yield pd.DataFrame(rows, columns=["qid", "chunk_id", "sparse_score"])
-
-    words = T.tokens("text").alias("words")
-    rows = chunks.select("chunk_id", F.col("source").cast("string").alias("source"), F.col("page").cast("string").alias("page"), F.left("text", F.lit(PREFIX_CHARS)).alias("prefix"), words)
-    return rows.mapInPandas(run, "qid long, chunk_id long, sparse_score double")
-
-
 def fuse(dense: DataFrame, sparse: DataFrame) -> DataFrame:
     """(qid, chunk_id, score, dense_score, sparse_score) of chunks found by either side; the side
     that did not find a chunk counts 0."""
@@ -238,25 +189,19 @@ def rerank(pool: DataFrame, questions: DataFrame, scorer: Callable[..., Column]
     )
 
 
-def hybrid_pool(questions: DataFrame, chunks: DataFrame, chunk_tokens: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFrame, top_k: int = TOP_K) -> DataFrame:
+def hybrid_pool(questions: DataFrame, chunks: DataFrame, postings: Postings, query_vectors: DataFrame, chunk_vectors: DataFrame, top_k: int = TOP_K) -> DataFrame:
     """The pool that rerank() takes: dense candidates and keyword hits, fused.
 
-    The keyword scores of the dense candidates come from the inverted index; of all other hits only
-    those that can enter the pool leave their tasks. Where the questions' tokens are too many to be
-    sent to every task, all hits are fused by shuffled joins."""
+    One search of the stored postings gives the keyword scores of the dense candidates and, of all
+    other hits, those that can enter the pool."""
     dense = materialize(dense_search(chunk_vectors, query_vectors, dense_k(top_k)), "dense")
     asked = materialize(_asked(questions), "asked")
-    if asked.count() > BROADCAST_TOKENS:
-        return best_pool(fuse(dense, keyword_search(questions, chunk_tokens)), chunks)
-    near = chunk_tokens.join(dense.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    pairs = dense.select("qid", "chunk_id")
-    of_dense = keyword_search(questions, near).join(pairs, ["qid", "chunk_id"], "left_semi")
-    tokens_of = [tuple(r) for r in asked.select("qid", "n_tokens", "token", "q_tf").collect()]
-    apart = {(r["qid"], r["chunk_id"]) for r in pairs.collect()}  # dense_k() rows a question
-    others = keyword_best(tokens_of, apart, chunks)
-    return best_pool(fuse(dense, of_dense.unionByName(others)), chunks)
-
-
-def hybrid_search(questions, chunks, chunk_tokens, query_vectors, chunk_vectors, top_k: int = TOP_K, scorer=lexical_boost) -> DataFrame:
+    shared = best_hits(postings, asked, dense.select("qid", "chunk_id"), POOL)
+    sizes = asked.select("qid", "n_tokens").distinct()
+    sparse = shared.join(sizes, "qid").select("qid", "chunk_id", (F.col("shared") / F.col("n_tokens")).alias("sparse_score"))
+    return best_pool(fuse(dense, sparse), chunks)
+
+
+def hybrid_search(questions, chunks, postings, query_vectors, chunk_vectors, top_k: int = TOP_K, scorer=lexical_boost) -> DataFrame:
     """The whole search: pool, rerank, top_k."""
-    return rerank(hybrid_pool(questions, chunks, chunk_tokens, query_vectors, chunk_vectors, top_k), questions, scorer, top_k)
+    return rerank(hybrid_pool(questions, chunks, postings, query_vectors, chunk_vectors, top_k), questions, scorer, top_k)

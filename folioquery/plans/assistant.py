@@ -11,7 +11,8 @@ from folioquery.functions import text as T
 from folioquery.functions.providers import hashed_embedding, lexical_boost, plain_text_pages
 from folioquery.functions.vectors import normalized
 from folioquery.operators import answering, chunking, conversation, retrieval
-from folioquery.scratch import materialize
+from folioquery.operators.postings import Postings, build_postings, open_postings
+from folioquery.scratch import materialize, remove
 from folioquery.sources import files
 from folioquery.sources.cache import IndexCache
 
@@ -25,6 +26,14 @@ class Index:
     tokens: DataFrame
     page_count: int | None = None
     chunk_count: int | None = None
+    stored: Postings | None = None
+
+    @property
+    def postings(self) -> Postings:
+        """The stored postings; made when they are first asked for, if the index came without."""
+        if self.stored is None:
+            self.stored = build_postings(self.tokens, self.chunks)
+        return self.stored
 
     def persist(self) -> "Index":
         for df in (self.chunks, self.vectors, self.tokens):
@@ -33,10 +42,17 @@ class Index:
 
     def write(self, path: str) -> "Index":
         """The index as Parquet tables below path, read back; for corpora that are asked often."""
+        spark = self.chunks.sparkSession
         for name in ("chunks", "vectors", "tokens"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        spark = self.chunks.sparkSession
-        return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("chunks", "vectors", "tokens")), self.page_count, self.chunk_count)
+        remove(spark, f"{path}/postings")
+        kept = [spark.read.parquet(f"{path}/{name}") for name in ("chunks", "vectors", "tokens")]
+        return Index(*kept, self.page_count, self.chunk_count, build_postings(kept[2], kept[0], f"{path}/postings"))
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> "Index":
+        """An index that write() left below path."""
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("chunks", "vectors", "tokens")), stored=open_postings(spark, f"{path}/postings"))
 
 
 def build_index(pages: DataFrame, embed=hashed_embedding, chunks: Column | None = None) -> Index:
@@ -76,7 +92,7 @@ def ask(messages: DataFrame, index: Index, embed=hashed_embedding, scorer=lexica
     # an identity of its own for each row: messages may repeat a conversation and turn
     questions = materialize(turns.withColumn("qid", F.monotonically_increasing_id()).withColumnRenamed("rewritten", "question"), "questions")
     vectors = questions.select("qid", normalized(embed(F.lower(T.strip("question")))).alias("vector"))
-    results = materialize(retrieval.hybrid_search(questions, index.chunks, index.tokens, vectors, index.vectors, top_k, scorer), "results")
+    results = materialize(retrieval.hybrid_search(questions, index.chunks, index.postings, vectors, index.vectors, top_k, scorer), "results")
     answers = answering.answer(questions, results, load_generator, most_tokens)
     cards = answering.source_cards(results).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "label", "page", "preview"))).alias("sources"))
     return (

@@ -284,6 +284,11 @@ ORACLES = {
     "prefix_json": "SELECT to_json(list(p_name ORDER BY o))::VARCHAR AS words FROM (SELECT p_partkey AS o, p_name FROM part WHERE starts_with(p_name, lower('Small')) ORDER BY p_partkey LIMIT 5)",
     "word_list": f"SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS ordinal, p_name AS word FROM part QUALIFY {strip('p_name')} <> ''",
     "extracted_pages": f"SELECT substring(sha256(text), 1, 32) AS signature, doc_id || '.txt' AS source, 1::INTEGER AS page, {strip('text')} AS text FROM documents WHERE {strip('text')} <> ''",
+    "pdf_pages": f"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents)
+        SELECT doc_id || '.pdf' AS source, page::INTEGER AS page, {strip('text')} AS text FROM lines WHERE {strip('text')} <> ''""",
+    "folder_pages": f"""WITH named AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\n+', chr(10), 'g') AS text, coalesce(source, 'none') || '-' || floor(doc_id / 40)::BIGINT || '.pdf' AS source FROM documents),
+        pages AS (SELECT *, dense_rank() OVER (ORDER BY source) - 1 AS file_no, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page FROM named)
+        SELECT file_no, source, page::INTEGER AS page, {strip('text')} AS text FROM pages WHERE {strip('text')} <> ''""",
     "trie_autocomplete": """WITH words AS (SELECT p_name AS word, min(p_partkey) AS o FROM part WHERE starts_with(p_name, 's') GROUP BY p_name),
         deep AS (SELECT word, d, min(o) OVER (PARTITION BY d, left(word, d)) AS made FROM (SELECT word, o, unnest(range(1, length(word) + 1)) AS d FROM words)),
         keys AS (SELECT word, list(made ORDER BY d) AS k FROM deep GROUP BY word)

@@ -15,10 +15,13 @@ from folioquery.functions import topics as Q
 from folioquery.functions.providers import hashed_embedding, plain_text_pages
 from folioquery.functions.vectors import norm, normalized
 from folioquery.operators import answering, chunking, conversation, prefix, retrieval
+from folioquery.operators.postings import build_postings
 from folioquery.plans.assistant import build_index
 from folioquery.scratch import materialize, new_path
 from folioquery.sources.cache import IndexCache
-from folioquery.sources.files import extract_pages, number_lines, table_pages, usable_pages
+from folioquery.sources.files import extract_pages, number_lines, pdf_files, table_pages, usable_pages
+from folioquery.sources.files import pdf_pages as read_pdf
+from folioquery.sources.folder import read_folder, write_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,10 +51,10 @@ def _vectors(spark, sf_dir) -> DataFrame:
 
 def _pool(spark, sf_dir) -> DataFrame:
     chunks, questions, vectors = _whole_pages(spark, sf_dir), _questions(spark, sf_dir), _vectors(spark, sf_dir)
-    tokens = retrieval.token_table(chunks, "chunk_id", "text")
+    index = build_postings(retrieval.token_table(chunks, "chunk_id", "text"), chunks)
     asked = vectors.withColumnRenamed("vec_id", "qid").join(questions.select("qid"), "qid", "left_semi")
     held = vectors.withColumnRenamed("vec_id", "chunk_id").join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-    return retrieval.hybrid_pool(questions, chunks, tokens, asked, held)
+    return retrieval.hybrid_pool(questions, chunks, index, asked, held)
 
 
 def _ranked(spark, sf_dir) -> DataFrame:
@@ -275,6 +278,22 @@ def extracted_pages(spark, sf_dir):
     return extract_pages(held, plain_text_pages)
 
 
+def pdf_pages(spark, sf_dir):
+    """Documents as PDF files with a page for each line, and back; pages without text leave gaps."""
+    texts = _documents(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source"), F.split("text", "\n", -1).alias("pages"))
+    return extract_pages(pdf_files(texts), read_pdf).select("source", "page", "text")
+
+
+def folder_pages(spark, sf_dir):
+    """Documents written as PDF files of some pages into a folder, read in the folder's order."""
+    named = F.concat(F.coalesce("source", F.lit("none")), F.lit("-"), F.floor(F.col("doc_id") / 40).cast("string"), F.lit(".pdf"))
+    pages = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
+    texts = _documents(spark, sf_dir).groupBy(named.alias("source")).agg(pages.alias("p")).select("source", F.col("p.text").alias("pages"))
+    folder = new_path(spark, "folder")
+    write_files(pdf_files(texts), folder).agg(F.sum("bytes")).first()
+    return read_folder(spark, folder).select("file_no", "source", "page", "text")
+
+
 def trie_autocomplete(spark, sf_dir):
     return prefix.complete_from_tree(_words(spark, sf_dir), "s")
 
@@ -290,7 +309,7 @@ def assistant_flow(spark, sf_dir):
     index = build_index(_pages(spark, sf_dir))
     questions = _questions(spark, sf_dir)
     vectors = questions.select("qid", hashed_embedding(F.lower(T.strip("question"))).alias("vector"))
-    results = materialize(retrieval.hybrid_search(questions, index.chunks, index.tokens, vectors, index.vectors), "results")
+    results = materialize(retrieval.hybrid_search(questions, index.chunks, index.postings, vectors, index.vectors), "results")
     return answering.answer(questions, results)
 
 
@@ -301,6 +320,6 @@ QUERIES = {
         vector_norm, dense_topk, legacy_topk3, hybrid_search, rerank_topk, gate_confidence, source_cards, build_context, prompt,
         answers, topic_extract, topic_state, rewrite_query, recent_history, question_kinds, refusal_norm, doc_name, suggestions,
         signature, prefix_endpoint, trie_autocomplete, dedup_first, assistant_flow, confidence_classes, history_append,
-        history_clear, document_change, until_exit, index_cache, prefix_json, word_list, extracted_pages,
+        history_clear, document_change, until_exit, index_cache, prefix_json, word_list, extracted_pages, pdf_pages, folder_pages,
     )
 }

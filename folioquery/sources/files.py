@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from folioquery.functions import text as T
 from folioquery.functions.providers import PageParser
 from folioquery.scratch import Workspace, running_sums
+from folioquery.sources import pdf
+from folioquery.sources.folder import BATCH_CHARS
 
 
 def scan_folder(spark: SparkSession, folder: str, suffix: str = ".pdf") -> DataFrame:
@@ -43,16 +45,30 @@ def usable_pages(pages: DataFrame) -> DataFrame:
 def extract_pages(files: DataFrame, parser: PageParser) -> DataFrame:
     """(signature, source, page, text) of the usable pages of (source, content, signature)."""
 
+    names = ["signature", "source", "page", "text"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            rows = [(g, s, int(n), t) for g, s, c in zip(p.signature, p.source, p.content) for n, t in parser(bytes(c))]
-            yield pd.DataFrame(rows, columns=["signature", "source", "page", "text"])
+            rows, held = [], 0
+            for g, s, c in zip(p.signature, p.source, p.content):
+                for n, t in parser(bytes(c)):
+                    rows.append((g, s, int(n), t))
+                    held += len(t)
+                    if held >= BATCH_CHARS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     read = files.select("signature", "source", "content").mapInPandas(run, "signature string, source string, page int, text string")
     return usable_pages(read)
 
 
 def pdf_pages(content: bytes) -> Iterator[tuple[int, str]]:
+    """Pages of a PDF; an encrypted or broken file ends the task with its error."""
+    return pdf.read_pages(content)
+
+
+def mupdf_pages(content: bytes) -> Iterator[tuple[int, str]]:
     """Pages of a PDF by PyMuPDF, where that is installed."""
     import fitz
 
@@ -61,6 +77,17 @@ def pdf_pages(content: bytes) -> Iterator[tuple[int, str]]:
             yield n, page.get_text()
 
 
+def pdf_files(texts: DataFrame) -> DataFrame:
+    """(source, content, signature) of a PDF for each row (source, pages: texts)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            yield pd.DataFrame({"source": p.source, "content": [pdf.write_pdf([t or "" for t in pages]) for pages in p.pages]})
+
+    made = texts.select("source", "pages").mapInPandas(run, "source string, content binary")
+    return made.withColumn("signature", T.signature("content"))
+
+
 def table_pages(documents: DataFrame, source: str = "source", page: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of a table as pages."""
     return usable_pages(documents.select(F.col(source).alias("source"), F.col(page).alias("page"), F.col(text).alias("text")))

@@ -11,7 +11,10 @@ from folioquery.functions.providers import chat_completions
 from folioquery.functions.text import REFUSAL_TEXT
 from folioquery.functions.vectors import inner_product, norm, normalized
 from folioquery.operators import answering as A
+from folioquery.operators import postings as P
 from folioquery.operators import retrieval as R
+from folioquery.plans.assistant import Index, ask, build_index
+from folioquery.scratch import materialize
 
 QUESTIONS = [(1, "the the cat"), (2, ""), (3, "zebra!"), (4, "Alpha beta")]
 CHUNKS = [
@@ -85,10 +88,83 @@ def test_pool_is_that_of_all_hits(spark, monkeypatch):
     vectors = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(400)], "id long, vector array<double>")
     asked, held = vectors.filter("id < 9 or id = 20").withColumnRenamed("id", "qid"), vectors.filter("id % 3 = 0").withColumnRenamed("id", "chunk_id")
     tokens = R.token_table(chunks, "chunk_id", "text")
-    shown = lambda: sorted((r["qid"], r["pool_rank"], r["chunk_id"], round(r["score"], 9)) for r in R.hybrid_pool(questions, chunks, tokens, asked, held).collect())
-    by_task = shown()
-    monkeypatch.setattr(R, "BROADCAST_TOKENS", 3)
-    assert by_task == shown() and len({q for q, *_ in by_task}) == 10
+    shown = lambda pool: sorted((r["qid"], r["pool_rank"], r["chunk_id"], round(r["score"], 9)) for r in pool.collect())
+    every = shown(R.best_pool(R.fuse(R.dense_search(held, asked, R.dense_k()), R.keyword_search(questions, tokens)), chunks))
+    assert len({q for q, *_ in every}) == 10
+    for shard, block, questions_at_once in ((1 << 16, 128, 4096), (64, 8, 3), (50, 7, 4096), (1, 1, 4096)):
+        monkeypatch.setattr(P, "QUESTION_BLOCK", questions_at_once)
+        index = P.build_postings(tokens, chunks, shard=shard, block=block, buckets=5)
+        assert shown(R.hybrid_pool(questions, chunks, index, asked, held)) == every
+
+
+def test_blocks_are_passed_over_only_where_no_hit_can_enter(monkeypatch):
+    rng = np.random.default_rng(9)
+    for n, pool in ((400, 3), (400, 20), (30, 20)):
+        for _ in range(40):
+            tfs = rng.integers(0, 3, (12, n)) * (rng.random((12, n)) < rng.random((12, 1)) ** 3)
+            keys = rng.integers(0, n // 2, n)
+            asks, near = rng.integers(1, 3, 12), rng.choice(n, 4, replace=False)
+            cell, counted = P._Cell(16, -(-n // 16), pool), []
+            cell.take(0, {}, [(7, int(p)) for p in near])
+            cell.take(1, {"places": np.arange(n), "keys": keys}, None)
+            for tf, ask in zip(tfs, asks):
+                at = np.flatnonzero(tf)
+                if len(at):
+                    blocks, first = np.unique(at // 16, return_index=True)
+                    row = {"blocks": blocks, "most": np.maximum.reduceat(tf[at], first), "ends": np.append(first[1:], len(at)), "places": at, "tfs": tf[at]}
+                    cell.take(2, row, [(7, int(ask))])
+            count = cell._count
+            monkeypatch.setattr(cell, "_count", lambda own, wanted, shared: (counted.append(int(wanted.sum())), count(own, wanted, shared)))
+            got = {place: shared for _, place, shared in cell.hits()}
+            shared = np.minimum(tfs, asks[:, None]).sum(0)
+            best, seen = [], set()
+            for place in sorted(set(range(n)) - set(near.tolist()), key=lambda p: (-shared[p], p)):
+                if shared[place] and keys[place] not in seen and len(best) < pool:
+                    seen.add(keys[place])
+                    best.append(place)
+            assert got == {int(p): int(shared[p]) for p in {*best, *near.tolist()} if shared[p]}
+            assert sum(counted) <= -(-n // 16)
+
+
+def bytes_read(spark, work):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    total = lambda: store.executorSummary("driver").totalInputBytes()
+    before = total()
+    out = work()
+    return total() - before, out
+
+
+def test_a_search_reads_the_buckets_of_its_tokens(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, "s", i, " ".join(["the", *rng.choice(words, 60)]) if i % 50 else None) for i in range(3000)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, source string, page int, text string")
+    built = P.build_postings(R.token_table(chunks, "chunk_id", "text"), chunks, f"{tmp_path}/postings", buckets=64)
+    index = P.open_postings(spark, f"{tmp_path}/postings")
+    assert (index.shard, index.block, index.buckets) == (built.shard, built.block, built.buckets)
+    none = spark.createDataFrame([], "qid long, chunk_id long")
+
+    def searched(texts):
+        asked = materialize(R._asked(spark.createDataFrame(list(enumerate(texts)), "qid long, question string")), "asked")
+        return lambda: P.best_hits(index, asked, none, 20).count()
+
+    whole, _ = bytes_read(spark, lambda: index.rows.select(*index.rows.columns).foreach(lambda r: None))
+    few, found = bytes_read(spark, searched(["w1 w2", None, "", "?"]))
+    assert found == 20 and few < whole / 5
+    forty, found = bytes_read(spark, searched([f"w{3 * i % 10} and w{i % 4}" for i in range(40)]))
+    assert found >= 40 * 20 and forty < whole / 2
+    stop, found = bytes_read(spark, searched(["the the the"]))
+    assert found == 20 and stop < whole / 5
+    assert P.rows_of(index, spark.createDataFrame([], "token string")).count() == 0
+
+
+def test_an_index_is_written_and_read(spark, tmp_path):
+    pages = spark.createDataFrame([("a.pdf", 1, "Snow falls in winter. " * 20), ("a.pdf", 2, None), ("b.pdf", 1, "Rivers carry water. " * 20)], "source string, page int, text string")
+    kept = build_index(pages).write(f"{tmp_path}/index").write(f"{tmp_path}/copy")
+    read = Index.read(spark, f"{tmp_path}/copy")
+    messages = spark.createDataFrame([(1, 0, "user", "When does snow fall?")], "conv_id long, turn long, role string, text string")
+    first = [r.answer for r in ask(messages, kept).collect()]
+    assert first == [r.answer for r in ask(messages, read).collect()] and len(first) == 1
 
 
 def test_rerank_keeps_order_of_ties(spark, questions, chunks):

@@ -79,7 +79,7 @@ def test_pdf_pages_by_the_installed_parser(monkeypatch):
         return Opened([Page(" one "), Page("\n"), Page("three")])
 
     monkeypatch.setitem(sys.modules, "fitz", types.SimpleNamespace(open=opened))
-    assert list(files.pdf_pages(b"%PDF")) == [(1, " one "), (2, "\n"), (3, "three")]
+    assert list(files.mupdf_pages(b"%PDF")) == [(1, " one "), (2, "\n"), (3, "three")]
 
 
 def test_missing_folder_is_an_error(spark, tmp_path):
