@@ -13,7 +13,8 @@ characters, entropy; placeholders have none); from ``REPORT_FROM`` on it is repo
 Lexing starts from the operators alone. The name is read backwards from its operator, over the blanks
 and the whole name that stand before it, and a declared type forward from its colon up to the next
 one, so that no character is read for more than a few operators: it is linear in the text, and neither
-a name's length nor the blanks around it matter. Whole texts are scanned.
+a name's length nor the blanks around it matter. A bare literal is read up to the operator of the next
+pair, so that `key=value&key=value` and its like are read once too. Whole texts are scanned.
 
 Defined cases: a null text is scanned as the empty text; spans of one kind never overlap, spans of
 different kinds may; equal starts are ordered by kind as listed, then by end; a span found twice is
@@ -65,6 +66,8 @@ _TYPES = frozenset("any bool boolean byte bytes char double final float int inte
 _QUOTED = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)')""")
 _JOIN = re.compile(r"[ \t]*\+")
 _BARE = re.compile(r"""[ \t]*([^\s"'`,;(){}\[\]<>]+)""")
+#: What parts a bare literal from another pair that follows at once.
+_PARTS = "&|#;?"
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*\Z")
 
@@ -118,36 +121,56 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def pairs(text: str):
-    """(names, literal, start, end, is_quoted) of each pair, in order. names: the word before the
-    operator and, of a typed declaration, first the name that is declared (a plain type is none)."""
-    back, n = text[::-1], len(text)
+def _named_operators(text: str) -> list[tuple[int, int, int, list[str], re.Match | None]]:
+    """(start, end, start of the name, names, declared type) of every operator with a name. names: the
+    word before it and, of a typed declaration, first the name that is declared (a plain type is none)."""
+    found, back, n = [], text[::-1], len(text)
     declared: tuple[int, str] | None = None  # where the operator of a typed declaration stands, and its name
     for op in _OPERATOR.finditer(text):
         at = op.start()
-        names = [m.group(1)[::-1]] if (m := _NAME.match(back, n - at)) else []
+        names, begins = [], at
+        if m := _NAME.match(back, n - at):
+            names, begins = [m.group(1)[::-1]], n - m.end(1)
         has_type = None
         if op.group() == ":" and (m := _DECLARED.match(back, n - at)) and (has_type := _TYPE.match(text, op.end())):
             declared = has_type.end(), m.group(1)[::-1]
         elif op.group() == "=" and declared and declared[0] == at:
             names = [declared[1]] + [x for x in names if x.lower() not in _TYPES]
-        if not names:
-            continue
-        quoted = _QUOTED.match(text, op.end())
+        if names:
+            found.append((at, op.end(), begins, names, has_type))
+    return found
+
+
+def pairs(text: str):
+    """(names, literal, start, end, is_quoted) of each pair, in order. A bare literal ends where another
+    pair begins in the same run of characters: before the mark that parts them, or else at the next
+    pair's operator."""
+    operators, n = _named_operators(text), len(text)
+    limit, next_name = n, n  # of the first operator behind with a literal at once, and of its name
+    limits = []
+    for at, end, begins, *_ in reversed(operators):
+        limits.append((limit, next_name))
+        if end < n and not text[end].isspace():
+            limit, next_name = at, begins
+    for (_, end, _, names, has_type), (limit, next_name) in zip(operators, reversed(limits)):
+        quoted = _QUOTED.match(text, end)
         if quoted:
             group = 1 if quoted.group(1) is not None else 2
-            start, end, parts, pos = quoted.start(group), quoted.end(group), [quoted.group(group)], quoted.end()
+            start, stop, parts, pos = quoted.start(group), quoted.end(group), [quoted.group(group)], quoted.end()
             while (plus := _JOIN.match(text, pos)) and (more := _QUOTED.match(text, plus.end())):
                 group = 1 if more.group(1) is not None else 2
                 parts.append(more.group(group))
-                end, pos = more.end(group), more.end()
-            yield names, "".join(parts), start, end, True
-        elif bare := _BARE.match(text, op.end()):
-            value = bare.group(1).rstrip(".:!?")
+                stop, pos = more.end(group), more.end()
+            yield names, "".join(parts), start, stop, True
+        elif bare := _BARE.match(text, end, limit):
+            start, stop = bare.span(1)
+            if stop == limit < n and start < next_name and text[next_name - 1] in _PARTS:
+                stop = next_name - 1
+            value = text[start:stop].rstrip(".:!?")
             if has_type and value.lower() in _TYPES:
                 continue
             if value:
-                yield names, value, bare.start(1), bare.start(1) + len(value), False
+                yield names, value, start, start + len(value), False
 
 
 def lexed_spans(text: str) -> list[Span]:
@@ -199,7 +222,8 @@ def lexed_spans(text: str) -> list[Span]:
         if literal is None:
             continue
         value, start, end = literal
-        score = round(max(map(name_weight, names)) * strength(value), 6)
+        weight = max(map(name_weight, names))
+        score = round(weight * strength(value), 6) if weight else 0.0
         if score >= REPORT_FROM and ((start, end) not in found or score > found[start, end].score):
             found[start, end] = Span("literal", start, end, start, end, score)
     return list(found.values())

@@ -1,6 +1,7 @@
 """Licence scan, secret scan, language identification and quality by compression."""
 
 import hashlib
+import random
 import re
 import time
 import zlib
@@ -180,11 +181,51 @@ def test_lexing_is_linear_in_the_text():
         secrets.scan(text)
         return time.process_time() - began
 
-    for unit in ("'ab' + ", "a: b[", "=", "k = ", ": ", " ", "x:y<", "token ", '="', "- ", "a.", "]", "token = a\n", "a='\\'"):
+    for unit in ("'ab' + ", "a: b[", "=", "k = ", ": ", " ", "x:y<", "token ", '="', "- ", "a.", "]", "token = a\n", "a='\\'", "k=v&", "a1=b2:", "password=..&", "x:a::b|", "token=aB3dE6gH9&", "p=q;", "a:b[::"):
         times = [min(seconds("token = " + unit * (n // len(unit))) for _ in range(2)) for n in (200_000, 800_000)]
         assert times[1] < 0.1 or times[1] < 10 * times[0], (unit, times)
 
 
+def test_a_bare_literal_ends_where_another_pair_begins():
+    cases = {
+        "password=aB3dE6gH&user=bob&color=red": ["aB3dE6gH"],
+        "http://h/p?id=7&token=aB3dE6gH9k#at=1": ["aB3dE6gH9k"],
+        "api_key=A1b2C3d4E5;session_token=Zz9Yy8Xx7Ww|x=1": ["A1b2C3d4E5", "Zz9Yy8Xx7Ww"],
+        "token=YWJjZGVm12= \n": ["YWJjZGVm12="],
+        "token=12:34:ab9Cd8Ef7": ["12:34:ab9Cd8Ef7"],
+        "secret=A1b2C3&D4e5F6": ["A1b2C3&D4e5F6"],
+    }
+    for text, values in cases.items():
+        assert [text[s.start : s.end] for s in secrets.lexed_spans(text)] == values, text
+    text = "see password=aB3dE6gH&user=bob&color=red"
+    assert secrets.mask(text, secrets.scan(text)) == "see password=[SECRET]&user=bob&color=red"
+
+
+def test_bare_literals_equal_a_plain_reading():
+    rng = random.Random(11)
+    scraps = ["token", "a1", "k", "=", ":", ":=", "&", "|", ";", "#", "?", " ", "\n", "\"", "'", "[", "]", ".", "::", "9", "=>", "==", "xY7"]
+    for _ in range(4000):
+        text = "".join(rng.choices(scraps, k=rng.randint(1, 14)))
+        operators = secrets._named_operators(text)
+        want = []
+        for k, (_, end, _, names, has_type) in enumerate(operators):
+            if secrets._QUOTED.match(text, end):
+                continue
+            start = end
+            while start < len(text) and text[start] in " \t":
+                start += 1
+            follow = [o for o in operators[k + 1 :] if o[1] < len(text) and not text[o[1]].isspace()]
+            stop = start
+            while stop < len(text) and not text[stop].isspace() and text[stop] not in "\"'`,;(){}[]<>" and not (follow and stop >= follow[0][0]):
+                stop += 1
+            if follow and stop == follow[0][0] and start < follow[0][2] and text[follow[0][2] - 1] in "&|#;?":
+                stop = follow[0][2] - 1
+            value = text[start:stop].rstrip(".:!?")
+            if value and not (has_type and value.lower() in secrets._TYPES):
+                want.append((names, value, start, start + len(value)))
+        assert [p[:4] for p in secrets.pairs(text) if not p[4]] == want, text
+
+
 def test_secret_query_and_redaction(spark):
     rows = [(1, "pw é password=hunter22 ok", "en", 25), (2, None, None, None), (3, "clean", "en", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
