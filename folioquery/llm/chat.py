@@ -36,7 +36,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from folioquery.llm.bitpack import _ALPHABET
 from folioquery.llm.common import join_checked, map_batches, materialize, table
+from folioquery.llm.pieces import is_plain, split_portions
 
 QUERY = "op13_chat_format"
 ORACLE_SQL = None
@@ -52,9 +54,15 @@ LEARNED = "assistant"
 #: Bytes of texts from which a conversation is cut into parts, and characters encoded in one go.
 PART_BYTES = 4 << 20
 ENCODE_CHARS = 1 << 18
-
-_STRINGS = sorted((*CONTROLS, *RESERVED), key=len, reverse=True)
-_PLAIN = re.compile("|".join(f"({re.escape(s[0])})(\\\\*)({re.escape(s[1:])})" for s in _STRINGS))
+#: Distinct matches whose tokens a worker keeps, and their most characters.
+CACHE_PIECES = 200_000
+LONGEST_PIECE = 1024
+
+_RESTS: dict[str, list[str]] = {}
+for _c in sorted((*CONTROLS, *RESERVED), key=len, reverse=True):
+    _RESTS.setdefault(_c[0], []).append(re.escape(_c[1:]))
+#: A control string with any number of backslashes behind its first character.
+_SLASHED = re.compile("|".join(rf"{re.escape(first)}\\*(?:{'|'.join(rests)})" for first, rests in _RESTS.items()))
 _CONTROL = re.compile("|".join(map(re.escape, sorted(CONTROLS, key=len, reverse=True))))
 _CUT = re.compile(r"(?<=\S)(?=[ \t\r\n])")  # blanks to every library
 _OPENS = {pair[0]: role for role, pair in TURNS.items()}
@@ -62,11 +70,11 @@ _OPENS = {pair[0]: role for role, pair in TURNS.items()}
 
 def escape(text: str) -> str:
     """text without control strings; the same where it has none."""
-    return _PLAIN.sub(lambda m: (g := [x for x in m.groups() if x is not None])[0] + "\\" + g[1] + g[2], text)
+    return _SLASHED.sub(lambda m: m.group()[0] + "\\" + m.group()[1:], text)
 
 
 def unescape(text: str) -> str:
-    return _PLAIN.sub(lambda m: (g := [x for x in m.groups() if x is not None])[0] + g[1][1:] + g[2], text)
+    return _SLASHED.sub(lambda m: m.group()[0] + m.group()[1:].removeprefix("\\"), text)
 
 
 class Rendered(NamedTuple):
@@ -114,17 +122,67 @@ def parse(text: str) -> list[tuple[str, str]]:
     return turns
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    """The tokenizer with the template's control strings as special tokens and offsets of all characters."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import AddedToken, Tokenizer
-    from tokenizers.pre_tokenizers import ByteLevel
+class Coder:
+    """A tokenizer with the template's control strings as special tokens.
+
+    A text of characters whose classes all libraries share is split by the tokenizer's own pattern, and
+    each distinct match is encoded once; what a match gives does not depend on what surrounds it. Any
+    other text goes through the library whole."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import AddedToken, Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.library = Tokenizer.from_file(path)
+        self.library.pre_tokenizer = ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=True)
+        known = self.library.get_vocab(with_added_tokens=False)
+        self.library.add_special_tokens([AddedToken(c, normalized=False, special=True) for c in CONTROLS])
+        byte_of = {c: bytes([b]) for b, c in enumerate(_ALPHABET)}
+        self.bytes_of = {i: b"".join(map(byte_of.__getitem__, t)) for t, i in known.items() if t not in RESERVED}
+        self.bytes_of |= {self.library.token_to_id(c): c.encode() for c in CONTROLS}
+        self.pieces: dict[str, tuple[bytes, bytes, bytes, int]] = {}
+
+    def _piece(self, piece: str) -> tuple[bytes, bytes, bytes, int]:
+        """Ids, first and last characters of a match's tokens, and how many there are."""
+        found = self.library.encode(piece, add_special_tokens=False)
+        spans = np.array(found.offsets, np.uint32).reshape(-1, 2)
+        return np.array(found.ids, np.uint32).tobytes(), spans[:, 0].tobytes(), spans[:, 1].tobytes(), len(found.ids)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token ids of a text and their first and last (exclusive) characters."""
+        if not is_plain(text):
+            found = self.library.encode(text, add_special_tokens=False)
+            spans = np.array(found.offsets, np.int64).reshape(-1, 2)
+            return np.array(found.ids, np.uint32), spans[:, 0], spans[:, 1]
+        pieces, at = [], 0
+        for m in _CONTROL.finditer(text):
+            for portion in split_portions(text[at : m.start()], True):
+                pieces += portion
+            pieces.append(m.group())
+            at = m.end()
+        for portion in split_portions(text[at:], True):
+            pieces += portion
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces = {}
+        known = self.pieces
+        known.update((p, self._piece(p)) for p in set(pieces).difference(known))
+        found = list(map(known.__getitem__, pieces))
+        for p in [p for p in pieces if len(p) > LONGEST_PIECE]:
+            known.pop(p, None)
+        ids, firsts, lasts = (np.frombuffer(b"".join([f[k] for f in found]), np.uint32) for k in range(3))
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+        starts = np.repeat(starts, np.fromiter((f[3] for f in found), np.int64, len(found)))
+        return ids, firsts + starts, lasts + starts
+
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode()
+
 
-    found = Tokenizer.from_file(path)
-    found.pre_tokenizer = ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=True)
-    found.add_special_tokens([AddedToken(c, normalized=False, special=True) for c in CONTROLS])
-    return found
+@lru_cache(maxsize=2)
+def _coder(path: str) -> Coder:
+    return Coder(path)
 
 
 def _cuts(text: str) -> list[int]:
@@ -141,18 +199,12 @@ def _cuts(text: str) -> list[int]:
     return [*cuts, len(text)]
 
 
-def encode(tokenizer, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token ids of text and their first and last (exclusive) characters."""
-    ids, spans = [], []
+def encode(coder: Coder, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token ids of text, portion by portion, and their first and last (exclusive) characters."""
     cuts = _cuts(text)
-    for a, b in zip(cuts, cuts[1:]):
-        found = tokenizer.encode(text[a:b], add_special_tokens=False)
-        ids.append(np.array(found.ids, np.int32))
-        spans.append(np.array(found.offsets, np.int64).reshape(-1, 2) + a)
-    if not ids:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    both = np.concatenate(spans)
-    return np.concatenate(ids), both[:, 0], both[:, 1]
+    found = [(a, coder.encode(text[a:b])) for a, b in zip(cuts, cuts[1:])]
+    ids = np.concatenate([f[0] for _, f in found]).astype(np.int32)
+    return ids, *(np.concatenate([f[k] + a for a, f in found]).astype(np.int64) for k in (1, 2))
 
 
 def token_spans(firsts: np.ndarray, lasts: np.ndarray, starts, ends) -> tuple[np.ndarray, np.ndarray]:
@@ -165,10 +217,6 @@ def token_spans(firsts: np.ndarray, lasts: np.ndarray, starts, ends) -> tuple[np
     return np.where(some, first, 0), np.where(some, np.maximum(first, last), 0)
 
 
-def decode(tokenizer, ids: np.ndarray) -> str:
-    return tokenizer.decode(ids.tolist(), skip_special_tokens=False)
-
-
 _SPAN = pa.struct([("first", pa.int32()), ("last", pa.int32())])
 
 
@@ -214,13 +262,13 @@ _BATCH_CHARS = 1 << 20
 
 def _formatter(path: str, kind: pa.DataType, most: int):
     def run(batches):
-        tokenizer = _tokenizer(path)
+        coder = _coder(path)
         rows, held = [], 0
 
         def batch():
             ids, loss, keys, parts, counts, texts = [], [], [], [], [], []
             for key, part, n, rendered in rows:
-                found, firsts, lasts = encode(tokenizer, rendered.text)
+                found, firsts, lasts = encode(coder, rendered.text)
                 first, last = token_spans(firsts, lasts, rendered.starts, rendered.ends)
                 ids.append(found)
                 loss.append([{"first": a, "last": b} for a, b in zip(first.tolist(), last.tolist()) if b > a])
@@ -259,22 +307,22 @@ def format_conversations(messages: DataFrame, path: str | None = None) -> DataFr
     return whole.unionByName(cut)
 
 
-def read_back(tokenizer, ids: np.ndarray, loss) -> tuple[list[tuple[str, str]], list[str]]:
+def read_back(coder: Coder, ids: np.ndarray, loss) -> tuple[list[tuple[str, str]], list[str]]:
     """The turns that the ids hold, and the texts under the mask."""
-    turns = parse(decode(tokenizer, ids))
-    return turns, [unescape(decode(tokenizer, ids[s["first"] : s["last"]])) for s in loss]
+    turns = parse(coder.decode(ids))
+    return turns, [unescape(coder.decode(ids[s["first"] : s["last"]])) for s in loss]
 
 
 def _reader(path: str):
     """Of each formatted row the turns and learned texts as strings, decoded from its ids."""
 
     def run(batches):
-        tokenizer = _tokenizer(path)
+        coder = _coder(path)
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
                 ids = row.column("input_ids").values.slice(row.column("input_ids").offsets[0].as_py(), len(row.column("input_ids")[0])).to_numpy()
-                turns, learned = read_back(tokenizer, ids, row.column("loss")[0].as_py())
+                turns, learned = read_back(coder, ids, row.column("loss")[0].as_py())
                 said = "".join(f"{role}\n{text}\n" for role, text in turns)
                 values = [[len(turns)], [said], ["".join(learned)], [len(row.column("formatted")[0].as_py())]]
                 yield pa.RecordBatch.from_arrays([row.column("conv_id"), row.column("part"), *map(pa.array, values)], ["conv_id", "part", "n_turns", "said", "learned", "chars"])

@@ -179,8 +179,8 @@ def test_fields_cannot_run_into_each_other(spark):
 
 
 @pytest.fixture(scope="module")
-def tokenizer():
-    return chat._tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+def coder():
+    return chat._coder(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 SCRAPS = [*chat.CONTROLS, *chat.RESERVED, "\\", "[", "<", "\n", " ", "  ", "é", "é", "漢", "🙂", "ok", "[\\INST]", "[\\\\INST]", " ", "\t", "'s", "</", "s>", "\x00", "<s>", "\x1c"]
@@ -190,7 +190,7 @@ def said(rng, most=9):
     return "".join(rng.choices(SCRAPS, k=rng.randint(0, most)))
 
 
-def test_escape_is_reversible_and_leaves_plain_texts(tokenizer):
+def test_escape_is_reversible_and_leaves_plain_texts(coder):
     rng = random.Random(1)
     for _ in range(3000):
         t = said(rng)
@@ -200,26 +200,36 @@ def test_escape_is_reversible_and_leaves_plain_texts(tokenizer):
     assert chat.escape("a [INS T] <b> \\n </ s>") == "a [INS T] <b> \\n </ s>"
 
 
+def test_tokens_and_offsets_are_the_librarys(coder):
+    rng = random.Random(8)
+    for k in range(400):
+        text = chat.render([(rng.choice(["user", "assistant"]), said(rng, 30) if k % 2 else "don't  stop\n\n2nd élan, Straße! " * rng.randint(0, 3)) for _ in range(4)]).text
+        ids, firsts, lasts = coder.encode(text)
+        want = coder.library.encode(text, add_special_tokens=False)
+        assert ids.tolist() == want.ids and list(zip(firsts.tolist(), lasts.tolist())) == want.offsets
+        assert coder.decode(ids) == text
+
+
 @pytest.mark.parametrize("portion", [1 << 18, 3])
-def test_mask_covers_exactly_the_assistants_texts(tokenizer, monkeypatch, portion):
+def test_mask_covers_exactly_the_assistants_texts(coder, monkeypatch, portion):
     monkeypatch.setattr(chat, "ENCODE_CHARS", portion)
     rng = random.Random(2)
     for _ in range(1500):
         turns = [(rng.choice(["user", "assistant", "assistant", "system", None, "", "tool", said(rng, 3)]), said(rng)) for _ in range(rng.randint(0, 6))]
         r = chat.render(turns)
-        ids, firsts, lasts = chat.encode(tokenizer, r.text)
+        ids, firsts, lasts = chat.encode(coder, r.text)
         first, last = chat.token_spans(firsts, lasts, r.starts, r.ends)
         loss = [{"first": a, "last": b} for a, b in zip(first.tolist(), last.tolist()) if b > a]
-        got, learned = chat.read_back(tokenizer, ids, loss)
+        got, learned = chat.read_back(coder, ids, loss)
         assert got == [(role or "", t) for role, t in turns]
         assert learned == [t for role, t in turns if role == "assistant" and t]
         if portion == 3:
             monkeypatch.setattr(chat, "ENCODE_CHARS", 1 << 18)
-            assert ids.tolist() == chat.encode(tokenizer, r.text)[0].tolist()
+            assert ids.tolist() == chat.encode(coder, r.text)[0].tolist()
             monkeypatch.setattr(chat, "ENCODE_CHARS", portion)
 
 
-def test_spans_meet_tokens_as_by_comparing_all(tokenizer):
+def test_spans_meet_tokens_as_by_comparing_all(coder):
     import numpy as np
 
     rng = random.Random(3)
