@@ -32,6 +32,7 @@ columns as they are, whatever their names.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -62,6 +63,10 @@ GROUP_BLOCK = 512
 #: Shingles of a block of a group.
 BLOCK_SHINGLES = 1 << 19
 
+#: Characters from which a text's words are held a portion at a time.
+LONG = 1 << 20
+_BETWEEN = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -74,28 +79,66 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_sets(texts: list[str | None], n: int = NGRAM) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    words = [words_of(t) for t in texts]
+def _word_hashes(words: list[list[str]]) -> np.ndarray:
     digest = {w: xxhash.xxh3_64_intdigest(w) for w in set(chain.from_iterable(words))}
-    every = np.fromiter(map(digest.__getitem__, chain.from_iterable(words)), np.uint64, sum(map(len, words)))
+    return np.fromiter(map(digest.__getitem__, chain.from_iterable(words)), np.uint64, sum(map(len, words)))
+
+
+def _rolled(every: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each window of n words."""
+    most = max(0, len(every) - n + 1)
+    rolled = np.zeros(most, np.uint64)
+    for k in range(n):
+        rolled = (rolled + every[k : k + most]) * _P[0]
+        rolled ^= rolled >> np.uint64(31)
+    return _mixed(rolled)
+
+
+def _short(every: np.ndarray) -> np.ndarray:
+    """The one hash of a text of fewer words than a window."""
+    h = np.uint64(len(every))
+    for x in every:
+        h = (h + x) * _P[2]
+    return _mixed(np.array([h]))
+
+
+def _portions(text: str, most: int):
+    """text in parts of about most characters, cut between words."""
+    at = 0
+    while len(text) - at > most:
+        end = m.start() if (m := _BETWEEN.search(text, at + most)) else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def _long_set(text: str, n: int, most: int) -> np.ndarray:
+    """shingle_sets() of one text, whose words are held a portion at a time."""
+    found, carried = [], np.zeros(0, np.uint64)
+    for portion in _portions(text, most):
+        every = np.concatenate((carried, _word_hashes([words_of(portion)])))
+        found.append(np.unique(_rolled(every, n)))
+        carried = every[max(0, len(every) - n + 1) :]
+    found = np.unique(np.concatenate(found))
+    return found if len(found) or not len(carried) else _short(carried)
+
+
+def shingle_sets(texts: list[str | None], n: int = NGRAM, most: int = LONG) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; of a text of over most characters the words are
+    held a portion at a time."""
+    words = [words_of(t) if t is None or len(t) <= most else [] for t in texts]
     out, at = [], 0
     with np.errstate(over="ignore"):
+        every = _word_hashes(words)
         # windows over all texts at once; those that cross into the next text are left out below
-        most = max(0, len(every) - n + 1)
-        rolled = np.zeros(most, np.uint64)
-        for k in range(n):
-            rolled = (rolled + every[k : k + most]) * _P[0]
-            rolled ^= rolled >> np.uint64(31)
-        rolled = _mixed(rolled)
-        for w in words:
-            if len(w) >= n:
+        rolled = _rolled(every, n)
+        for t, w in zip(texts, words):
+            if t is not None and len(t) > most:
+                out.append(_long_set(t, n, most))
+            elif len(w) >= n:
                 out.append(np.unique(rolled[at : at + len(w) - n + 1]))
             elif w:
-                h = np.uint64(len(w))
-                for x in every[at : at + len(w)]:
-                    h = (h + x) * _P[2]
-                out.append(_mixed(np.array([h])))
+                out.append(_short(every[at : at + len(w)]))
             else:
                 out.append(np.zeros(0, np.uint64))
             at += len(w)

@@ -52,6 +52,16 @@ def test_query_equals_its_oracle(spark, sf_dir, name):
     assert in_order(map(tuple, df.select(*at).collect())) == in_order(found.fetchall())
 
 
+def test_shingles_of_long_texts_come_in_portions():
+    rng = random.Random(6)
+    for k in range(300):
+        text = "".join(rng.choices(["a", "B", "é", " ", "\n", "x1", "-", "漢", "word "], k=rng.choice([0, 1, 5, 40, 400])))
+        (whole,) = J.shingle_sets([text])
+        for most in (1, 7, 100):
+            assert J.shingle_sets(["q w e r t y", text, None], most=most)[1].tolist() == whole.tolist()
+    assert [len(x) for x in J.shingle_sets(["a " * 900 + "b c", "", "a b c d"], most=50)] == [3, 0, 1]
+
+
 # mixing
 
 
