@@ -7,7 +7,8 @@ layer are trained together by stochastic gradient descent in numpy, on the drive
 
 The training sample is bounded: of each language the ``PER_LANG`` documents whose hash of id and text
 is least, fewer where there are so many languages that ``MOST_ROWS`` would be passed, and never more
-than ``MOST_ROWS`` (of more languages than that, those whose documents hash lowest are learned).
+than ``MOST_ROWS`` (of more languages than that, those whose documents hash lowest are learned). Its
+texts together have at most ``MOST_BYTES``: beyond that every language has fewer documents.
 Rows that agree in id and text count once, so frequent ids do not fill or empty a sample. Documents
 of more than ``MAX_TRAIN_CHARS`` characters are only left out of training; prediction always reads
 whole texts.
@@ -49,6 +50,7 @@ DIM = 16
 PER_LANG = 600
 MOST_ROWS = 20_000
 MAX_TRAIN_CHARS = 20_000
+MOST_BYTES = 16 << 20
 EPOCHS = 4
 RATE = 0.5
 #: Share of documents in no learned language that are to be rejected, and of right ones that may be.
@@ -209,7 +211,9 @@ def sample_rows(docs: DataFrame, may_learn, work: Workspace, per_lang: int = PER
     few = join_checked(rows, work.table(limits, "limits"), "lang").filter("drawn <= limit")
     few = work.table(few.groupBy("lang", "drawn").agg(F.min("text").alias("text")), "few")
     place = F.row_number().over(W.partitionBy("lang").orderBy("drawn"))
-    return few.withColumn("place", place).filter(F.col("place") <= each).drop("place").orderBy("drawn", "lang").limit(most)
+    some = few.withColumn("place", place).filter(F.col("place") <= each).orderBy("drawn", "lang").limit(most)
+    size = F.sum(F.octet_length("text")).over(W.orderBy("place", "drawn", "lang"))  # of at most `most` rows
+    return some.withColumn("size", size).filter(F.col("size") <= MOST_BYTES).select("lang", "drawn", "text")
 
 
 def fit(docs: DataFrame, may_learn=None, per_lang: int = PER_LANG) -> LangModel:

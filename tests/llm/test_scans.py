@@ -268,6 +268,17 @@ def test_language_corner_cases(spark):
     assert nothing.labels == [] and [r["lang_pred"] for r in langid.predict(docs, nothing).collect()] == ["und"] * 5
 
 
+def test_language_samples_are_bounded_in_bytes(spark, monkeypatch):
+    rows = [(i, "é" * (50 + i % 7), f"l{i % 5}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "MOST_BYTES", 3000)
+    with Workspace(spark, "t") as work:
+        got = langid.sample_rows(docs, F.col("doc_id").isNotNull(), work, per_lang=25).collect()
+    assert 2500 < sum(len(r.text.encode()) for r in got) <= 3000
+    counts = Counter(r.lang for r in got)
+    assert len(counts) == 5 and max(counts.values()) - min(counts.values()) <= 1
+
+
 def test_language_samples_are_bounded_and_never_empty(spark):
     rows = [(3, f"the and of w{i}", "en") for i in range(3000)] + [(4, "der und die", "de")] * 2000 + [(i, f"und die mit {i}", "de") for i in range(40)]
     rows += [(9, "x" * (langid.MAX_TRAIN_CHARS + 1), "fr"), (10, None, "fr")]
