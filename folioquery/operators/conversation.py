@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from folioquery.functions import text as T
 from folioquery.functions import topics as Q
-from folioquery.scratch import free_names
+from folioquery.scratch import free_names, last_before
 
 # Messages that count as recent, and what ends a conversation.
 RECENT = 4
 EXIT_WORDS = ["exit", "quit"]
 
+#: Turns from which a conversation is cut into ranges.
+LONG_TURNS = 1 << 20
+
 
 def append(messages: DataFrame, more: DataFrame) -> DataFrame:
     return messages.unionByName(more)
@@ -26,8 +29,9 @@ def cleared(messages: DataFrame, conversations: DataFrame) -> DataFrame:
 
 def by_document(messages: DataFrame, document_col: str) -> DataFrame:
     """messages with a conversation of its own for each document: a change of document begins
-    without history and topics."""
-    return messages.withColumn("conv_id", F.concat_ws("\x01", F.col("conv_id").cast("string"), F.col(document_col)))
+    without history and topics. A null id or document is one like others: it stands as U+0002."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x02"))
+    return messages.withColumn("conv_id", F.concat(part("conv_id"), F.lit("\x01"), part(document_col)))
 
 
 def until_exit(messages: DataFrame) -> DataFrame:
@@ -46,11 +50,10 @@ def recent_history(messages: DataFrame, limit: int = RECENT) -> DataFrame:
 
 def topic_state(messages: DataFrame) -> DataFrame:
     """messages with explicit (topics that a user turn names, else null) and topics (those in force
-    before the turn: the latest that an earlier user turn named). A conversation's turns depend on
-    each other, so one conversation is one task's work; it holds one state, not its messages."""
+    before the turn: the latest that an earlier user turn named). A conversation of very many turns is
+    cut into ranges, so it is not one task's work. Equal turns of a conversation are in any order."""
     explicit = F.when(F.col("role") == "user", Q.explicit_topics("text"))
-    earlier = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
-    return messages.withColumn("explicit", explicit).withColumn("topics", F.last("explicit", ignorenulls=True).over(earlier))
+    return last_before(messages.withColumn("explicit", explicit), "conv_id", ["turn"], "explicit", "topics", LONG_TURNS)
 
 
 def rewritten(messages: DataFrame) -> DataFrame:

@@ -143,3 +143,33 @@ def running_sums(rows: DataFrame, order: list, sums: dict[str, str], work: Works
     summed = ranged.withColumns({name: F.sum(c).over(within) - F.col(c) for c, name in sums.items()})
     moved = summed.join(F.broadcast(before), part)  # a row for each range
     return moved.withColumns({name: (F.col(name) + F.col(m)).cast("long") for name, m in zip(sums.values(), moves)}).drop(part, *moves)
+
+
+def last_before(rows: DataFrame, key: str, order: list, column: str, name: str, most: int = 1 << 20) -> DataFrame:
+    """rows with the last value of column that is not null among the rows before of the same key
+    (null is a key too) under name; order: columns, which together tell a key's rows apart.
+
+    Keys of up to most rows are windows. A longer one is cut into ranges of the order: each range finds
+    its own last values, and one row for each range carries them on, as the last of what is there is
+    the last of two neighbours, whichever come first."""
+    by = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    within = F.last(column, ignorenulls=True)
+    count, part, carried = free_names(rows, "key_rows", "range_no", "carried")
+    sized = rows.groupBy(F.col(key).alias("k")).agg(F.count("*").alias(count)).filter(F.col(count) > most)
+    long = materialize(sized.select("k"), "long-keys")
+    if long.isEmpty():
+        return rows.withColumn(name, within.over(by))
+    is_long = rows[key].eqNullSafe(long["k"])
+    short = rows.join(F.broadcast(long), is_long, "left_anti").withColumn(name, within.over(by))  # keys of over most rows are few
+    cut = rows.join(F.broadcast(long), is_long, "left_semi").repartitionByRange(key, *order)
+    ranged = materialize(cut.withColumn(part, F.spark_partition_id()), "ranges")
+    struct = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    ends = ranged.groupBy(part, key).agg(F.max_by(column, F.when(F.col(column).isNotNull(), struct)).alias(carried))
+    through = W.partitionBy(key).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    before = materialize(ends.select(part, key, F.last(carried, ignorenulls=True).over(through).alias(carried)), "carried")
+    own = W.partitionBy(part, key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    found = ranged.withColumn(name, within.over(own)).alias("r")
+    b = before.select(F.col(part).alias("bp"), F.col(key).alias("bk"), carried)
+    joined = found.join(F.broadcast(b), (F.col(f"r.{part}") == F.col("bp")) & F.col(f"r.{key}").eqNullSafe(F.col("bk")))  # a row for each range and long key
+    filled = F.coalesce(F.col(name), F.col(carried)).alias(name)
+    return short.unionByName(joined.select(*[F.col(f"r.{c}") for c in rows.columns], filled))

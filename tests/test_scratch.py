@@ -61,3 +61,29 @@ def test_running_sums(spark):
 def test_free_names(spark):
     df = spark.range(1).withColumns({"A": F.lit(1), "a_": F.lit(1)})
     assert scratch.free_names(df, "a", "b", "b") == ["a__", "b", "b_"]
+
+
+@pytest.mark.parametrize("most", [1 << 20, 60, 0])
+def test_last_value_before_equals_a_window(spark, most):
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 1, 2, None]), i, rng.choice([None, None, None, [], [str(i)]]), "x") for i in range(500)]
+    rows += [(k, 0, None, "lone") for k in range(10, 40)] + [(50, i, None, "none") for i in range(100)] + [(51, i, ["at once"] if i == 0 else None, "one") for i in range(100)]
+    df = spark.createDataFrame(rows, "key long, n long, value array<string>, range_no string").repartition(7)
+    got = scratch.last_before(df, "key", ["n"], "value", "known", most)
+    assert got.columns == ["key", "n", "value", "range_no", "known"]
+    last, want = {}, []
+    for key, n, value, other in sorted(rows, key=lambda r: (r[1], repr(r[0]))):
+        want.append((key, n, value, other, last.get(key)))
+        if value is not None:
+            last[key] = value
+    shown = lambda rs: sorted(map(tuple, rs), key=repr)
+    assert shown(got.collect()) == shown(want)
+    assert scratch.last_before(df.limit(0), "key", ["n"], "value", "known", most).count() == 0
+
+
+def test_a_long_key_is_spread_over_tasks(spark):
+    rows = spark.range(1_000_000).select(F.lit(1).alias("key"), F.col("id").alias("n"), F.when(F.col("id") % 1000 == 7, F.array(F.col("id").cast("string"))).alias("value"))
+    got = scratch.last_before(rows, "key", ["n"], "value", "known", 1000)
+    assert got.select(F.spark_partition_id().alias("p")).groupBy("p").count().filter("count > 50000").count() > 3
+    right = F.when(F.col("n") > 7, F.array((F.floor((F.col("n") - 8) / 1000) * 1000 + 7).cast("long").cast("string")))
+    assert got.filter(~F.col("known").eqNullSafe(right)).count() == 0 and got.count() == 1_000_000

@@ -2,6 +2,7 @@ import pytest
 
 from folioquery.functions import topics as Q
 from folioquery.operators import conversation as C
+from folioquery.plans import queries as plans
 
 CASES = [
     ([], "What is machine learning?", "What is machine learning?"),
@@ -63,6 +64,16 @@ def test_state_and_history(spark):
     assert C.cleared(m, gone).count() == 1
     docs = m.withColumn("doc", m["role"])
     assert C.by_document(docs, "doc").select("conv_id").distinct().count() == 4
+    apart = spark.createDataFrame([(None, "a"), ("a", None), (None, None), ("", ""), ("a", "")], "conv_id string, doc string")
+    assert C.by_document(apart, "doc").select("conv_id").distinct().count() == 5
+
+
+def test_long_conversations_have_the_same_topics(spark, sf_dir, monkeypatch):
+    turns = plans._turns(spark, sf_dir)
+    shown = lambda: sorted((r.conv_id, r.turn, r.topics, r.rewritten) for r in C.rewritten(turns).collect())
+    whole = shown()
+    monkeypatch.setattr(C, "LONG_TURNS", 3)
+    assert shown() == whole and any(t for _, _, t, _ in whole)
 
 
 def test_kinds_of_questions(spark):
