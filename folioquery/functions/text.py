@@ -60,8 +60,7 @@ def sentences(text: Column | str) -> Column:
 
 def pieces_of(sentence: Column, limit: int = MAX_PIECE) -> Column:
     """Consecutive slices of at most limit characters, stripped, without blank ones."""
-    starts = F.sequence(F.lit(0), F.floor((F.length(sentence) - 1) / limit).cast("int"))
-    cut = F.transform(starts, lambda i: F.btrim(F.substring(sentence, i * limit + 1, F.lit(limit))))
+    cut = F.transform(F.regexp_extract_all(sentence, F.lit(f"(?s).{{1,{limit}}}"), F.lit(0)), lambda s: F.btrim(s))
     return F.when(F.length(sentence) <= limit, F.array(sentence)).otherwise(F.filter(cut, lambda s: s != ""))
 
 

@@ -13,13 +13,17 @@ CHUNK_SIZE = 700
 OVERLAP = 120
 MIN_CHUNK = 80
 
+#: Pieces that are folded between two times that the chunks so far are copied.
+FOLD_BLOCK = 512
+
 
 def chunk_texts(text: Column | str, size: int = CHUNK_SIZE, overlap: int = OVERLAP, least: int = MIN_CHUNK) -> Column:
     """The chunks of one page, as an array.
 
     A fold over the page's pieces: a piece joins the current text while the sum of lengths, each
     with one blank, stays within size; else the current text is put out and the next begins with
-    its last overlap characters. Texts shorter than least are not put out.
+    its last overlap characters. Texts shorter than least are not put out. A long page is folded block
+    by block: what is put out is copied once a block, not once a chunk.
     """
 
     def put(done: Column, cur: Column) -> Column:
@@ -41,7 +45,20 @@ def chunk_texts(text: Column | str, size: int = CHUNK_SIZE, overlap: int = OVERL
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
     # a page without pieces has no current text to put out, whatever the least length
     end = lambda s: F.when(s["cur"] == "", s["done"]).otherwise(put(s["done"], s["cur"]))
-    return F.aggregate(T.pieces(text), start, step, end)
+
+    def block(state: Column, pieces: Column) -> Column:
+        folded = F.aggregate(pieces, F.struct(start["done"].alias("done"), state["cur"].alias("cur")), step)
+        return T.let(folded, lambda f: F.struct(F.concat(state["done"], f["done"]).alias("done"), f["cur"].alias("cur")))
+
+    def blocks(pieces: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / FOLD_BLOCK).cast("int"))
+        return F.transform(starts, lambda i: F.slice(pieces, i * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK)))
+
+    def whole(pieces: Column) -> Column:
+        short = F.aggregate(pieces, start, step, end)
+        return F.when(F.size(pieces) <= FOLD_BLOCK, short).otherwise(F.aggregate(blocks(pieces), start, block, end))
+
+    return T.let(T.pieces(text), whole)
 
 
 def window_texts(text: Column | str, size: int = 500, overlap: int = 100, least: int = 50) -> Column:

@@ -267,6 +267,7 @@ ORACLES = {
         SELECT m.* FROM m LEFT JOIN e ON m.conv_id = e.conv_id WHERE e IS NULL OR turn < e""",
     "index_cache": f"""WITH RECURSIVE {CHUNKS} SELECT 'renamed' AS source, count(*) AS chunk_rows, sum(length(text))::BIGINT AS chars,
         (SELECT count(*) FROM documents WHERE {strip('text')} <> '') AS page_count, count(*) AS chunk_count FROM chunks""",
+    "index_versions": f"WITH RECURSIVE {CHUNKS} SELECT coalesce(source, 'none') AS source, count(*) AS chunk_rows, sum(length(text))::BIGINT AS chars, 3::BIGINT AS version, 1::BIGINT AS parts FROM chunks GROUP BY ALL",
     "topic_extract": f"WITH {TURNS} SELECT conv_id, turn, explicit[1] AS first_topic, explicit[2] AS second_topic FROM explicit WHERE role = 'user'",
     "topic_state": f"WITH {TURNS} SELECT conv_id, turn, role, array_to_string(topics, '|') AS topics FROM state",
     "rewrite_query": f"WITH {TURNS} {_rewritten()}",
@@ -293,5 +294,13 @@ ORACLES = {
         deep AS (SELECT word, d, min(o) OVER (PARTITION BY d, left(word, d)) AS made FROM (SELECT word, o, unnest(range(1, length(word) + 1)) AS d FROM words)),
         keys AS (SELECT word, list(made ORDER BY d) AS k FROM deep GROUP BY word)
         SELECT row_number() OVER (ORDER BY k)::INTEGER AS rank, word FROM keys QUALIFY rank <= 3""",
+    "prefix_lookup": """WITH words AS (SELECT p_name AS word, min(p_partkey) AS o FROM part GROUP BY p_name),
+        deep AS (SELECT word, d, min(o) OVER (PARTITION BY d, left(word, d)) AS made FROM (SELECT word, o, unnest(range(1, length(word) + 1)) AS d FROM words)),
+        keys AS (SELECT word, list(made ORDER BY d) AS k FROM deep GROUP BY word),
+        asked AS (SELECT DISTINCT left(p_name, n) AS prefix FROM part, range(1, 5) r(n)),
+        tree AS (SELECT prefix, word, row_number() OVER (PARTITION BY prefix ORDER BY k) AS rank FROM asked JOIN keys ON starts_with(word, prefix)),
+        listed AS (SELECT prefix, p_name AS word, row_number() OVER (PARTITION BY prefix ORDER BY p_partkey) AS rank FROM asked JOIN part ON starts_with(p_name, lower(prefix)))
+        SELECT prefix, coalesce((SELECT string_agg(word, '|' ORDER BY rank) FROM tree t WHERE t.prefix = a.prefix AND rank <= 3), '') AS tree,
+            coalesce((SELECT string_agg(word, '|' ORDER BY rank) FROM listed l WHERE l.prefix = a.prefix AND rank <= 5), '') AS listed FROM asked a""",
     "dedup_first": "SELECT doc_id AS chunk_id FROM documents QUALIFY row_number() OVER (PARTITION BY left(text, 120) ORDER BY n_chars DESC, doc_id) = 1",
 }

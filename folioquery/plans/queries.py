@@ -22,6 +22,7 @@ from folioquery.sources.cache import IndexCache
 from folioquery.sources.files import extract_pages, number_lines, pdf_files, table_pages, usable_pages
 from folioquery.sources.files import pdf_pages as read_pdf
 from folioquery.sources.folder import read_folder, write_files
+from folioquery.sources.versions import VersionedIndex
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -232,6 +233,19 @@ def index_cache(spark, sf_dir):
     return kept.withColumns({"page_count": F.lit(page_count).cast("long"), "chunk_count": F.lit(chunk_count).cast("long")})
 
 
+def index_versions(spark, sf_dir):
+    """Documents as files by source, indexed once and then renamed, one file dropped and taken back."""
+    name = F.coalesce("source", F.lit("none"))
+    pages = _documents(spark, sf_dir).select(T.signature(name).alias("signature"), name.alias("source"), F.col("doc_id").cast("int").alias("page"), "text")
+    store = VersionedIndex(spark, new_path(spark, "versions"))
+    store.commit(pages.withColumn("source", F.concat(F.lit("old-"), F.col("source"))))
+    store.commit(pages.join(F.broadcast(pages.agg(F.min("source").alias("source"))), "source", "left_anti"))
+    version = store.commit(pages)
+    parts = store.manifest().select("part").distinct().count()
+    kept = store.read().chunks.groupBy("source").agg(F.count("*").alias("chunk_rows"), F.sum(F.length("text")).alias("chars"))
+    return kept.withColumns({"version": F.lit(version).cast("long"), "parts": F.lit(parts).cast("long")})
+
+
 def question_kinds(spark, sf_dir):
     user = _table(spark, sf_dir, "conversations").filter("role = 'user'")
     return user.select("conv_id", "turn", Q.has_pronoun("text").alias("has_pronoun"), Q.is_comparison("text").alias("is_comparison"), Q.is_short_question("text").alias("is_short"))
@@ -260,6 +274,14 @@ def prefix_endpoint(spark, sf_dir):
     return found.select(F.row_number().over(W.orderBy("ordinal")).alias("rank"), "word")
 
 
+def prefix_lookup(spark, sf_dir):
+    """Completions of the first one to four letters of every part's name, by one table of prefixes."""
+    words = _words(spark, sf_dir)
+    asked = words.select(F.explode(F.sequence(F.lit(1), F.lit(4))).alias("n"), "word").select(F.left("word", F.col("n")).alias("prefix")).distinct()
+    found = prefix.complete_many(prefix.completion_table(words, 4), asked)
+    return found.select("prefix", F.array_join("tree", "|").alias("tree"), F.array_join("listed", "|").alias("listed"))
+
+
 def prefix_json(spark, sf_dir):
     return prefix.as_json(prefix.complete_from_list(_words(spark, sf_dir), "Small"))
 
@@ -320,6 +342,6 @@ QUERIES = {
         vector_norm, dense_topk, legacy_topk3, hybrid_search, rerank_topk, gate_confidence, source_cards, build_context, prompt,
         answers, topic_extract, topic_state, rewrite_query, recent_history, question_kinds, refusal_norm, doc_name, suggestions,
         signature, prefix_endpoint, trie_autocomplete, dedup_first, assistant_flow, confidence_classes, history_append,
-        history_clear, document_change, until_exit, index_cache, prefix_json, word_list, extracted_pages, pdf_pages, folder_pages,
+        history_clear, document_change, until_exit, index_cache, prefix_json, word_list, extracted_pages, pdf_pages, folder_pages, prefix_lookup, index_versions,
     )
 }

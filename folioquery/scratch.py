@@ -32,19 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def _store_of(spark: SparkSession, path: str) -> tuple:
+def store_of(spark: SparkSession, path: str) -> tuple:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path on whatever store it lies."""
-    store, at = _store_of(spark, path)
+    store, at = store_of(spark, path)
     store.delete(at, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    store, at = _store_of(spark, path)
+    store, at = store_of(spark, path)
     return store.exists(at)
 
 

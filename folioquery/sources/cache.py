@@ -1,6 +1,7 @@
 """Indexes kept by content signature: Parquet tables partitioned by signature.
 
-An entry is complete once its row in the meta table is written, which happens last; a reader that
+An entry is complete once its row in the meta table is written, which happens last; one that is written
+again loses that row first, so a write that fails leaves no entry that looks complete. A reader that
 finds no meta row rebuilds. The key also holds the chunking parameters and the embedder's name, so
 another way of indexing is another entry.
 """
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquery.scratch import exists
+from folioquery.scratch import exists, remove
 
 TABLES = ("chunks", "vectors", "tokens")
 
@@ -34,6 +35,7 @@ class IndexCache:
 
     def write(self, signature: str, page_count: int, chunk_count: int, **tables: DataFrame) -> None:
         """Replace an entry; other entries stay."""
+        remove(self.spark, f"{self._path('meta')}/signature={signature}")
         meta = self.spark.createDataFrame([(page_count, chunk_count)], "page_count long, chunk_count long")
         for name, df in [*tables.items(), ("meta", meta)]:
             (

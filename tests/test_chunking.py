@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -73,3 +74,32 @@ def test_windows(spark):
     text = "".join(chr(97 + i % 26) for i in range(1030))
     got = pages(spark, [text, "short", ""]).select("page", C.window_texts("text").alias("c")).orderBy("page").collect()
     assert [r["c"] for r in got] == [[text[0:500], text[400:900], text[800:1300]], [], []]
+
+
+def test_blocks_of_pieces_give_the_chunks_of_the_fold(spark, monkeypatch):
+    rng = random.Random(4)
+    page = lambda n: "".join(rng.choice(["word ", "a", ". ", "? ", "é", "  ", "\n", "longer words here ", "x" * 310]) for _ in range(n))
+    rows = [(i, page(rng.choice([0, 1, 30, 300, 900]))) for i in range(60)] + [(60, None), (61, " . ")]
+    df = spark.createDataFrame(rows, "page int, text string")
+    for size, overlap, least in ((700, 120, 80), (400, 0, 1), (350, 200, 0), (20, 15, 3)):
+        found = []
+        for block in (1 << 20, 1, 7):
+            monkeypatch.setattr(C, "FOLD_BLOCK", block)
+            found.append(sorted((r.page, r.c or []) for r in df.select("page", C.chunk_texts("text", size, overlap, least).alias("c")).collect()))
+        assert found[0] == found[1] == found[2] and sum(len(c) for _, c in found[0]) > 100
+
+
+def test_one_huge_page_takes_time_like_many_small_ones(spark):
+    sentence = "Rivers carry water to the sea and back again. "
+    small = spark.range(1000).select(F.lit("s").alias("source"), F.col("id").cast("int").alias("page"), F.lit(sentence * 55).alias("text"))
+    huge = lambda text, n: spark.createDataFrame([("s", 1)], "source string, page int").withColumn("text", F.repeat(F.lit(text), n))
+
+    def seconds(pages):
+        began = time.time()
+        size = C.chunk_pages(pages).agg(F.sum(F.length("text"))).first()[0]
+        return (time.time() - began) / size
+
+    seconds(small)
+    usual = seconds(small.coalesce(1))
+    for text in (sentence, sentence.replace(".", ",")):  # many sentences, and one
+        assert (took := seconds(huge(text, 220_000))) < 10 * usual, (usual, took)

@@ -1,3 +1,5 @@
+import random
+
 from folioquery.operators import prefix as P
 
 SHORT = ["apple", "application", "apply", "appetite", "banana"]
@@ -46,3 +48,13 @@ def test_list_order(spark):
     ask = lambda p: [r["word"] for r in P.complete_from_list(words(spark, LONG), p).collect()]
     assert ask("ba") == ["banana", "bat", "battle"] and ask("APP") == ["apple", "application", "apply", "appetite"]
     assert ask("") == LONG[:5] and ask("zzz") == []
+
+
+def test_a_table_of_prefixes_equals_the_walk_of_each(spark):
+    rng = random.Random(3)
+    for values in (SHORT + LONG, ["ab", "a", "abc", "b", "ab", "aa", "Ab", "", "a", "ab", "ab", "ab", "ab"], ["".join(rng.choices("abé", k=rng.randint(0, 6))) for _ in range(120)], []):
+        table = P.completion_table(words(spark, [*values, None]), 3)
+        prefixes = sorted({w[:n] for w in [*values, "zzz", "APP", "Ab"] for n in range(4)})
+        asked = spark.createDataFrame([(p, "x") for p in prefixes], "prefix string, tree_of string")
+        got = {r.prefix: (r.tree, r.listed) for r in P.complete_many(table, asked).collect()}
+        assert got == {p: (walk(values, p)[:3], [w for w in values if w.startswith(p.lower())][:5]) for p in prefixes}
