@@ -74,8 +74,9 @@ def prompts(questions: DataFrame, contexts: DataFrame, system_prompt: str = SYST
     return questions.join(contexts, "qid").select("qid", F.lit(system_prompt).alias("system_prompt"), T.strip(user).alias("user_prompt"))
 
 
-def answer(questions: DataFrame, results: DataFrame, load_generator=None, most_tokens: int = MOST_TOKENS) -> DataFrame:
-    """(qid, answer, confidence) of every question.
+def answer(questions: DataFrame, results: DataFrame, load_generator=None, most_tokens: int = MOST_TOKENS, store=None) -> DataFrame:
+    """(qid, answer, confidence) of every question. store: an AnswerStore, from which prompts that were
+    asked before are answered.
 
     The gate is a filter before the generator, so that a question that is refused costs no call;
     a generator's own refusal leaves the confidence as it is. Without a generator the best chunk's
@@ -87,6 +88,6 @@ def answer(questions: DataFrame, results: DataFrame, load_generator=None, most_t
         given = open_.join(top, "qid").select("qid", providers.extractive_answer("question", "text").alias("answer"))
     else:
         asked = prompts(open_, build_context(results.join(open_.select("qid"), "qid", "left_semi")))
-        given = providers.generated_answers(asked, load_generator, most_tokens)
+        given = providers.generated_answers(asked, load_generator, most_tokens) if store is None else store.complete(asked, load_generator, most_tokens)
     said = F.when(F.col("answered"), T.normalize_refusal("answer")).otherwise(F.lit(T.REFUSAL_TEXT))
     return decided.join(given, "qid", "left").select("qid", said.alias("answer"), "confidence")

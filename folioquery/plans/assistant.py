@@ -82,18 +82,19 @@ def index_upload(spark: SparkSession, name: str, content: bytes, cache: IndexCac
     return Index(**cache.read(signature, name), page_count=known[0], chunk_count=known[1])
 
 
-def ask(messages: DataFrame, index: Index, embed=hashed_embedding, scorer=lexical_boost, load_generator=None, top_k: int = retrieval.TOP_K, most_tokens: int = answering.MOST_TOKENS) -> DataFrame:
+def ask(messages: DataFrame, index: Index, embed=hashed_embedding, scorer=lexical_boost, load_generator=None, top_k: int = retrieval.TOP_K, most_tokens: int = answering.MOST_TOKENS, store=None) -> DataFrame:
     """Answers to every user turn of messages (conv_id, turn, role, text).
 
     (conv_id, turn, question, rewritten, answer, confidence, sources): the rewritten question is
     searched for and answered; sources are given for refusals as well. A conversation ends at a user
-    turn that says exit or quit; nothing after it is answered."""
+    turn that says exit or quit; nothing after it is answered. store: answers of prompts that were asked
+    before."""
     turns = conversation.rewritten(conversation.until_exit(messages)).select("conv_id", "turn", F.col("text").alias("asked"), "rewritten")
     # an identity of its own for each row: messages may repeat a conversation and turn
     questions = materialize(turns.withColumn("qid", F.monotonically_increasing_id()).withColumnRenamed("rewritten", "question"), "questions")
     vectors = questions.select("qid", normalized(embed(F.lower(T.strip("question")))).alias("vector"))
     results = materialize(retrieval.hybrid_search(questions, index.chunks, index.postings, vectors, index.vectors, top_k, scorer), "results")
-    answers = answering.answer(questions, results, load_generator, most_tokens)
+    answers = answering.answer(questions, results, load_generator, most_tokens, store)
     cards = answering.source_cards(results).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "label", "page", "preview"))).alias("sources"))
     return (
         questions.join(answers, "qid").join(cards, "qid", "left")

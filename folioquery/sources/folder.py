@@ -65,7 +65,7 @@ def parser_named(name: str) -> Callable[[bytes], Iterable[tuple[int, str]]]:
     return getattr(importlib.import_module(module), function)
 
 
-def _store(path: str) -> tuple[pafs.FileSystem, str]:
+def store_at(path: str) -> tuple[pafs.FileSystem, str]:
     if "://" in path or path.startswith("file:"):
         return pafs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
     return pafs.LocalFileSystem(), path
@@ -138,7 +138,7 @@ class FolderReader(DataSourceReader):
 
     def files(self) -> list[tuple[int, str, int]]:
         """(number, path, bytes) of the files that are read."""
-        store, folder = _store(self.path)
+        store, folder = store_at(self.path)
         found = (f for f in store.get_file_info(pafs.FileSelector(folder)) if f.is_file and f.base_name.endswith(self.suffix))
         named = enumerate(sorted(found, key=lambda f: f.base_name))
         return [(n, f.path, f.size) for n, f in named if all(_TESTS[kind](f.base_name, value) for kind, value in self.wanted)]
@@ -147,7 +147,7 @@ class FolderReader(DataSourceReader):
         return dealt(self.files(), self.most) or [Files([])]
 
     def _rows(self, partition: Files) -> Iterator[tuple]:
-        store, _ = _store(self.path)
+        store, _ = store_at(self.path)
         parse = parser_named(self.parser)
         for number, path in partition.value:
             source = path.rsplit("/", 1)[-1]
@@ -205,7 +205,7 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        store, at = _store(folder)
+        store, at = store_at(folder)
         store.create_dir(at, recursive=True)
         for b in batches:
             sizes = []
