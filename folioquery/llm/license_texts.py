@@ -89,11 +89,40 @@ BODIES = [
     ("lgpl-2-1-notice", "this library is free software " + _GNU.format("lesser general public license", "2 1"), ["gnu lesser general public license", "either version 2 1 of the license"]),
     ("lgpl-3-notice", "this library is free software " + _GNU.format("lesser general public license", 3), ["gnu lesser general public license", "either version 3 of the license"]),
     ("agpl-3-notice", "this program is free software " + _GNU.format("affero general public license", 3), ["gnu affero general public license", "either version 3 of the license"]),
+    (
+        "gpl-1-full",
+        "the license agreements of most software companies try to keep users at the mercy of those companies by contrast our general public license is intended to guarantee your freedom to share and change free software "
+        "to make sure the software is free for all its users",
+        ["try to keep users at the mercy", "by contrast our general public license"],
+    ),
     (
         "gpl-2-full",
         "the licenses for most software are designed to take away your freedom to share and change it by contrast the gnu general public license is intended to guarantee your freedom to share and change free software "
-        "to make sure the software is free for all its users",
-        ["licenses for most software are designed", "free for all its users"],
+        "to make sure the software is free for all its users this general public license applies to most of the free software foundation s software and to any other program whose authors commit to using it",
+        ["licenses for most software are designed", "the gnu general public license is intended", "this general public license applies to most"],
+    ),
+    (
+        "lgpl-2-full",
+        "the licenses for most software are designed to take away your freedom to share and change it by contrast the gnu general public licenses are intended to guarantee your freedom to share and change free software "
+        "to make sure the software is free for all its users this license the library general public license applies to some specially designated free software foundation software and to any other libraries whose authors decide to use it",
+        ["licenses for most software are designed", "this license the library general public license applies"],
+    ),
+    (
+        "lgpl-2-1-full",
+        "the licenses for most software are designed to take away your freedom to share and change it by contrast the gnu general public licenses are intended to guarantee your freedom to share and change free software "
+        "to make sure the software is free for all its users this license the lesser general public license applies to some specially designated software packages typically libraries of the free software foundation and other authors who decide to use it",
+        ["licenses for most software are designed", "this license the lesser general public license applies"],
+    ),
+    (
+        "lgpl-3-full",
+        "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below",
+        ["incorporates the terms and conditions of version 3", "supplemented by the additional permissions listed below"],
+    ),
+    (
+        "gfdl-1-full",
+        "the purpose of this license is to make a manual textbook or other functional and useful document free in the sense of freedom to assure everyone the effective freedom to copy and redistribute it "
+        "with or without modifying it either commercially or noncommercially secondarily this license preserves for the author and publisher a way to get credit for their work",
+        ["other functional and useful document free", "the author and publisher a way to get credit"],
     ),
     (
         "gpl-3-full",
@@ -111,6 +140,30 @@ BODIES = [
         "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
         ["mozilla public license v 2 0", "not distributed with this file"],
     ),
+    (
+        "mpl-1-1-full",
+        "commercial use means distribution or otherwise making the covered code available to a third party 1 1 contributor means each entity that creates or contributes to the creation of modifications "
+        "1 2 contributor version means the combination of the original code prior modifications used by a contributor and the modifications made by that particular contributor",
+        ["otherwise making the covered code available to a third party", "the combination of the original code prior modifications"],
+    ),
+    (
+        "mpl-2-full",
+        "contributor means each individual or legal entity that creates contributes to the creation of or owns covered software 1 2 contributor version means the combination of the contributions of others if any "
+        "used by a contributor and that particular contributor s contribution",
+        ["contributes to the creation of or owns covered software", "that particular contributor s contribution"],
+    ),
+    (
+        "artistic-1-full",
+        "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control over the development of the package "
+        "while giving the users of the package the right to use and distribute the package in a more or less customary fashion plus the right to make reasonable modifications",
+        ["some semblance of artistic control", "in a more or less customary fashion"],
+    ),
+    (
+        "cc0-1-legal-code",
+        "the laws of most jurisdictions throughout the world automatically confer exclusive copyright and related rights defined below upon the creator and subsequent owner s each and all an owner "
+        "of an original work of authorship and or a database each a work certain owners wish to permanently relinquish those rights to a work",
+        ["automatically confer exclusive copyright and related rights", "wish to permanently relinquish those rights"],
+    ),
     (
         "cc0-1-full",
         "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law including all related and neighboring rights",

@@ -10,7 +10,9 @@ short notices here there are whole texts and version notices in license_texts, a
 takes any further texts as templates.
 
 A phrase is looked up by its single rarest word and verified word by word, so every place of it is
-found. The base labels are phrases of this kind; the further templates add labels of their own.
+found. The base labels are phrases of this kind; the further templates add labels of their own. A text's
+score is the best share of words in place of its verified notices and bodies, and ``MENTION`` where it only
+names a licence.
 
 Words: A-Z are lower-cased, then maximal runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]. A long text is
 scanned in portions that overlap by more than the longest template; matches are told apart by their
@@ -41,6 +43,8 @@ ORACLE_SQL = None
 RARE_WORDS = 8
 AGREE = 0.6
 DRIFT = 6
+#: Score of a text that only names a licence.
+MENTION = 0.5
 #: Bytes of a text whose words are held at a time.
 PORTION = 8 << 20
 
@@ -93,18 +97,18 @@ NOTICES = [
     ),
     (
         "apache-2-text",
-        "you may not use this file except in compliance with the license you may obtain a copy of the license at",
-        ["except in compliance with the license"],
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        ["apache license version 2 0", "except in compliance with the license"],
     ),
     (
         "gpl-text",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-        ["you can redistribute it", "published by the free software foundation"],
+        ["you can redistribute it", "gnu general public license as published by the free software foundation"],
     ),
     (
         "lgpl-text",
         "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
-        ["gnu lesser general public license"],
+        ["this library is free software", "gnu lesser general public license as published"],
     ),
     (
         "mpl-text",
@@ -279,7 +283,7 @@ def scan(text: str | None, index: Index) -> dict:
         "last_word": max((s for s, _ in base), default=None),
         "base_labels": ",".join(sorted({x for _, x in base})),
         "labels": ",".join(sorted({known[k].label for k, _, _ in found})),
-        "score": max((score for _, _, score in found), default=0.0),
+        "score": max((score if not known[k].is_phrase else MENTION for k, _, score in found), default=0.0),
     }
 
 

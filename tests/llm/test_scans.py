@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -91,6 +92,43 @@ def test_every_notice_is_found_and_needs_its_phrases(label, text, keys):
         assert label not in licenses.scan(noise + broken + noise, index)["labels"].split(",")
 
 
+def test_each_body_is_told_from_the_others():
+    index = licenses.Index({}, 1)
+    parts = {"bsd-3-full": {"bsd-text"}, "bsd-2-full": {"bsd-text"}}  # a longer text holds its generic notice
+    for label, text, _ in licenses.BODIES:
+        found = {x for x in licenses.scan(text, index)["labels"].split(",") if x.endswith("-full")}
+        assert found <= {label} | parts.get(label, set()), (label, found)
+
+
+#: Public licence texts as systems carry them, and the bodies and notices that each may be labelled with.
+FILES = {
+    "Apache-2.0": {"apache-2-grant", "apache-2-notice", "apache-2-text"}, "Artistic": {"artistic-1-full"}, "BSD": {"bsd-3-full", "bsd-text"}, "CC0-1.0": {"cc0-1-legal-code"},
+    "GFDL-1.2": {"gfdl-1-full"}, "GFDL-1.3": {"gfdl-1-full"}, "GPL-1": {"gpl-1-full", "gpl-text"}, "GPL-2": {"gpl-2-full", "gpl-2-notice", "gpl-text"},
+    "GPL-3": {"gpl-3-full", "gpl-3-notice", "gpl-text"}, "LGPL-2": {"lgpl-2-full"}, "LGPL-2.1": {"lgpl-2-1-full", "lgpl-2-1-notice", "lgpl-text"}, "LGPL-3": {"lgpl-3-full"},
+    "MPL-1.1": {"mpl-1-1-full"}, "MPL-2.0": {"mpl-2-full", "mpl-2-notice", "mpl-text"},
+}
+
+
+def test_licence_files_are_labelled_as_themselves_alone():
+    folder = Path("/usr/share/common-licenses")
+    texts = {name: (folder / name).read_text(errors="replace") for name in FILES if (folder / name).exists()}
+    if not texts:
+        pytest.skip("this system carries no licence texts")
+    frequency = Counter(w for t in texts.values() for w in set(licenses.words_of(t)))
+    index = licenses.Index(frequency, len(texts))
+    bodies = {label for label, *_ in TEXTS}
+    for name, text in texts.items():
+        found = licenses.scan(text, index)
+        assert bodies & set(found["labels"].split(",")) == FILES[name] and found["score"] > 0.9, name
+
+
+def test_a_mention_scores_less_than_a_text():
+    index = licenses.Index({}, 1)
+    body = next(text for label, text, _ in licenses.BODIES if label == "mit-full")
+    assert licenses.scan("under the MIT license", index)["score"] == licenses.MENTION < licenses.scan(f"x {body}", index)["score"]
+    assert licenses.scan("rivers", index)["score"] == 0
+
+
 def test_score_of_a_changed_notice():
     index = licenses.Index({}, 1)
     label, text, _ = next(t for t in licenses.BODIES if t[0] == "isc-full")
