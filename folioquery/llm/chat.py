@@ -41,7 +41,6 @@ from folioquery.llm.common import join_checked, map_batches, materialize, table
 from folioquery.llm.pieces import is_plain, split_portions
 
 QUERY = "op13_chat_format"
-ORACLE_SQL = None
 
 #: Control strings by role: what opens a turn and what closes it; other roles are named between.
 TURNS = {"user": ("[INST]", "[/INST]"), "assistant": ("[OUT]", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
@@ -388,3 +387,27 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return digests(messages.unionByName(own))
+
+
+def _marks_sql() -> str:
+    """Characters of a turn's control strings and of a role that is written out."""
+    known = " ".join(f"WHEN '{role}' THEN {len(opened) + len(closed)}" for role, (opened, closed) in TURNS.items())
+    return f"CASE role {known} ELSE {sum(map(len, OTHER))} + {_escaped_sql('role')} END"
+
+
+def _escaped_sql(column: str) -> str:
+    """Characters of a text when each control string in it has one backslash more."""
+    return f"length({column}) + len(regexp_extract_all({column}, '{_SLASHED.pattern}'))"
+
+
+#: What the output must read back to, from the messages alone.
+ORACLE_SQL = f"""
+WITH m AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, md5(coalesce(text, '')) AS tie FROM conversations
+  UNION ALL SELECT -1, n, ['user', 'assistant'][n + 1], '</s>[INST] ok [/INST]', '' FROM range(2) r(n))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, tie)) AS turns_sha256,
+  sum(CASE WHEN role = '{LEARNED}' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = '{LEARNED}' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, tie)) AS loss_sha256,
+  sum({_marks_sql()} + {_escaped_sql('text')})::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+"""
