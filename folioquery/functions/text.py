@@ -6,6 +6,8 @@ characters, spelled out, because no engine's ``\\s`` means the same.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -143,4 +145,24 @@ def base_name(path: Column | str) -> Column:
 
 
 def four_places(score: Column | str) -> Column:
-    return F.format_string("%.4f", col(score).cast("double"))
+    """A number to four places, halves of the binary value going to the even digit, as printf() in C and
+    format() in Python have it; the JVM's own formatter rounds the shortest decimal form upwards."""
+
+    def digits(a: Column) -> Column:
+        """Ten-thousands of a in [0, 1024), rounded."""
+        low = F.floor(a * 10000.0).cast("long")
+        half = (low * 2 + 1).cast("double") / 20000.0
+        # where a is the double next to a half, integers tell on which side of the half it lies
+        bits = F.when(a >= 1, F.lit(52)).when(a >= 2.0**-9, F.lit(62)).otherwise(F.lit(72))
+        power = F.element_at(F.array(*[F.lit(Decimal(2**k)).cast("decimal(23,0)") for k in (52, 62, 72)]), F.when(a >= 1, 1).when(a >= 2.0**-9, 2).otherwise(3))
+        scaled = (a * F.pow(F.lit(2.0), bits)).cast("long").cast("decimal(20,0)") * F.lit(20000).cast("decimal(5,0)")
+        exact = (low * 2 + 1).cast("decimal(10,0)") * power
+        at_half = F.when(scaled > exact, low + 1).when(scaled < exact, low).otherwise(low + low % 2)
+        return F.when(a > half, low + 1).when(a < half, low).otherwise(at_half)
+
+    def shown(x: Column) -> Column:
+        sign = F.when(x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
+        text = let(digits(F.abs(x)), lambda n: F.concat(F.floor(n / 10000).cast("string"), F.lit("."), F.lpad((n % 10000).cast("string"), 4, "0")))
+        return F.when(F.abs(x) < 1024, F.concat(sign, text)).when(x.isNotNull(), F.format_string("%.4f", x))
+
+    return let(col(score).cast("double"), shown)

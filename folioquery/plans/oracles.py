@@ -251,6 +251,8 @@ ORACLES = {
     "rerank_topk": f"WITH {RERANKED} SELECT qid, rank, chunk_id, source, page, round(score, 6) AS score, round(rerank_score, 6) AS rerank_score FROM ranked",
     "gate_confidence": f"WITH {DECIDED} SELECT qid, round(best, 6) AS best_score, support, label, should_answer, answered, confidence FROM decided",
     "source_cards": f"WITH {RERANKED} SELECT qid, rank, source AS label, page, {strip('left(text, 240)')} || CASE WHEN length(text) > 240 THEN '…' ELSE '' END AS preview, round(score, 4) AS score, round(rerank_score, 4) AS rerank FROM ranked",
+    "console_lines": f"""WITH {RERANKED} SELECT qid, rank, rank || '. ' || source || ' | Page: ' || page || ' | score ' || printf('%.4f', score::DOUBLE) || ' | dense ' || printf('%.4f', dense_score::DOUBLE)
+        || ' | sparse ' || printf('%.4f', sparse_score::DOUBLE) || ' | rerank ' || printf('%.4f', rerank_score::DOUBLE) AS line FROM ranked""",
     "build_context": f"WITH {RERANKED} SELECT qid, {CONTEXT} AS context FROM ranked GROUP BY qid",
     "prompt": f"""WITH {RERANKED}, c AS (SELECT qid, {CONTEXT} AS context FROM ranked GROUP BY qid)
         SELECT qid, {quoted(SYSTEM_PROMPT)} AS system_prompt, {strip("'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question:' || chr(10) || text || chr(10) || chr(10) || 'Answer:'")} AS user_prompt FROM c JOIN benchmark ON item_id = qid""",
@@ -262,7 +264,7 @@ ORACLES = {
     "history_clear": "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')",
     "document_change": """SELECT conv_id || '|' || CASE WHEN turn // 2 % 2 = 0 THEN 'a.pdf' ELSE 'b.pdf' END AS conv_id, turn, role, text FROM conversations
         QUALIFY row_number() OVER (PARTITION BY conv_id, turn // 2 % 2 ORDER BY turn DESC) <= 2""",
-    "until_exit": """WITH m AS (SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 5 = 0 THEN ' Exit ' ELSE text END AS text FROM conversations),
+    "until_exit": """WITH m AS (SELECT conv_id, turn * 2 AS turn, role, text FROM conversations UNION ALL SELECT DISTINCT conv_id, conv_id % 5 * 2 + 1, 'user', ' Exit ' FROM conversations),
         e AS (SELECT conv_id, min(turn) AS e FROM m WHERE role = 'user' AND lower(trim(text)) IN ('exit', 'quit') GROUP BY conv_id)
         SELECT m.* FROM m LEFT JOIN e ON m.conv_id = e.conv_id WHERE e IS NULL OR turn < e""",
     "index_cache": f"""WITH RECURSIVE {CHUNKS} SELECT 'renamed' AS source, count(*) AS chunk_rows, sum(length(text))::BIGINT AS chars,

@@ -159,6 +159,10 @@ def source_cards(spark, sf_dir):
     return cards.join(ranked.select("qid", "rank", F.round("score", 4).alias("score"), F.round("rerank_score", 4).alias("rerank")), ["qid", "rank"])
 
 
+def console_lines(spark, sf_dir):
+    return answering.console_lines(_ranked(spark, sf_dir))
+
+
 def build_context(spark, sf_dir):
     return answering.build_context(_ranked(spark, sf_dir))
 
@@ -215,9 +219,11 @@ def document_change(spark, sf_dir):
 
 
 def until_exit(spark, sf_dir):
-    """Messages up to the first user turn that leaves; every fifth turn of a user says so."""
-    said = F.when((F.col("conv_id") + F.col("turn")) % 5 == 0, F.lit(" Exit ")).otherwise(F.col("text"))
-    return conversation.until_exit(_table(spark, sf_dir, "conversations").withColumn("text", said))
+    """Messages up to the first user turn that leaves. Turns are counted by twos, and in between every
+    conversation is given one that does."""
+    messages = _table(spark, sf_dir, "conversations").withColumn("turn", F.col("turn") * 2)
+    leaving = messages.select("conv_id").distinct().withColumns({"turn": F.col("conv_id") % 5 * 2 + 1, "role": F.lit("user"), "text": F.lit(" Exit ")})
+    return conversation.until_exit(messages.unionByName(leaving))
 
 
 def index_cache(spark, sf_dir):
@@ -339,7 +345,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clean_text, sentences, pieces, chunks, chunk_stats, window_chunks, blank_filter, tokens_tf, keyword_overlap, lexical_boost,
-        vector_norm, dense_topk, legacy_topk3, hybrid_search, rerank_topk, gate_confidence, source_cards, build_context, prompt,
+        vector_norm, dense_topk, legacy_topk3, hybrid_search, rerank_topk, gate_confidence, source_cards, console_lines, build_context, prompt,
         answers, topic_extract, topic_state, rewrite_query, recent_history, question_kinds, refusal_norm, doc_name, suggestions,
         signature, prefix_endpoint, trie_autocomplete, dedup_first, assistant_flow, confidence_classes, history_append,
         history_clear, document_change, until_exit, index_cache, prefix_json, word_list, extracted_pages, pdf_pages, folder_pages, prefix_lookup, index_versions,

@@ -1,3 +1,5 @@
+import random
+
 from folioquery.functions import text as T
 
 WHITE = [chr(c) for c in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
@@ -47,3 +49,13 @@ def test_signature_and_preview(spark):
     assert apply(spark, ["abc"], T.signature) == [hashlib.sha256(b"abc").hexdigest()[:32]]
     assert apply(spark, ["x" * 241, " y "], T.preview) == ["x" * 240 + "…", "y"]
     assert apply(spark, [0.5], T.four_places, "double") == ["0.5000"]
+
+
+def test_four_places_are_those_of_the_language(spark):
+    rng = random.Random(5)
+    values = [k / n for n in (32, 160, 2000, 20000, 10000, 3) for k in range(0, 4 * n, max(1, n // 150))] + [rng.uniform(-3, 3) for _ in range(500)]
+    values += [(2 * rng.randint(0, 30000) + 1) / 20000 for _ in range(2000)] + [0.0, -0.0, -1e-9, 0.00005, 0.000049999, 1e-300, 999.99995, 1023.99995, -0.03125]
+    values += [v * (1 + e) for v in values[:400] for e in (2**-52, -(2**-52))]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(T.four_places("v")).collect()] == [f"{v:.4f}" for v in values]
+    assert spark.createDataFrame([(None,)], "v double").select(T.four_places("v")).first()[0] is None
