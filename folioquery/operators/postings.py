@@ -100,10 +100,12 @@ def build_postings(chunk_tokens: DataFrame, chunks: DataFrame, path: str | None
     spark = chunks.sparkSession
     path = path or new_path(spark, "postings")
     found = F.array_sort(F.collect_list(F.struct("place", "tf")))
-    gathered = _places(chunk_tokens.withColumn("tf", F.col("tf").cast("int")), shard).groupBy("token", "shard").agg(found.alias("found"))
-    rows = gathered.select(_bucket(F.col("token"), buckets).alias("bucket"), "token", "shard", "found").mapInArrow(_with_bounds(block), _ROWS)
-    order = ["bucket", "token", "shard"]  # by ranges, so that a token of many shards is not one task's
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/rows")
+    # dealt by bucket and some neighbouring shards, so that a frequent token is many tasks' and a file holds a few shards
+    near = F.floor(F.col("shard") / buckets).alias("near")
+    placed = _places(chunk_tokens.withColumn("tf", F.col("tf").cast("int")), shard).select(_bucket(F.col("token"), buckets).alias("bucket"), near, "token", "shard", "place", "tf")
+    gathered = placed.repartition("bucket", "near").groupBy("bucket", "near", "token", "shard").agg(found.alias("found"))
+    rows = gathered.select("bucket", "token", "shard", "found").mapInArrow(_with_bounds(block), _ROWS)
+    rows.sortWithinPartitions("bucket", "token", "shard").write.partitionBy("bucket").parquet(f"{path}/rows")
     named = _places(chunks.select("chunk_id", hit_key().alias("key")), shard)
     keys = named.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("k"))
     keys.select("shard", F.col("k.place").alias("places"), F.col("k.key").alias("keys")).write.parquet(f"{path}/keys")
