@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 WHITESPACE = (
     r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+# The same for Java alone, which looks single letters up in a table: without the blank, and the wide ones.
+_NARROW = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f"
+_WIDE = r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SPACE = rf"[{_NARROW}\x20[\x{{85}}-\x{{3000}}&&[{_WIDE}]]]"
+#: Runs that cleaning replaces by a blank; a blank by itself is none of them.
+_UNCLEAN = rf"[\x{{80}}-\x{{10ffff}}&&[^{_WIDE}]]+|(?: {_SPACE}|[{_NARROW}[\x{{85}}-\x{{3000}}&&[{_WIDE}]]]){_SPACE}*"
 #: What counts as part of a word for word boundaries.
 WORD = r"[\p{L}\p{N}_]"
 
@@ -50,8 +56,8 @@ def collapse(text: Column | str) -> Column:
 
 def clean_text(text: Column | str) -> Column:
     """White space runs become one blank, then runs of non-ASCII characters one blank each; blanks
-    that meet this way stay."""
-    return F.btrim(F.regexp_replace(collapse(text), r"[^\x00-\x7F]+", " "))
+    that meet this way stay. One pass does both, as no run of one kind reaches into one of the other."""
+    return F.btrim(F.regexp_replace(col(text), _UNCLEAN, " "))
 
 
 def sentences(text: Column | str) -> Column:

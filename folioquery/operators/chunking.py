@@ -64,11 +64,10 @@ def chunk_texts(text: Column | str, size: int = CHUNK_SIZE, overlap: int = OVERL
 def window_texts(text: Column | str, size: int = 500, overlap: int = 100, least: int = 50) -> Column:
     """Plain windows of size characters over the cleaned text, as an array; without those whose
     stripped text is shorter than least."""
-    clean, step = T.clean_text(text), size - overlap
-    starts = F.sequence(F.lit(0), F.floor((F.length(clean) - 1) / step).cast("int"))
-    cut = F.transform(starts, lambda i: F.substring(clean, i * step + 1, F.lit(size)))
+    # one pass: a match takes the characters up to the next window, its group looks ahead to the window's end
+    cut = F.regexp_extract_all(T.clean_text(text), F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{size - overlap}}}"), F.lit(1))
     kept = F.filter(cut, lambda s: F.length(F.btrim(s)) >= least)
-    return F.when(F.length(clean) > 0, kept).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(kept, F.array().cast("array<string>"))
 
 
 def chunk_pages(pages: DataFrame, chunks: Column | None = None) -> DataFrame:

@@ -76,6 +76,15 @@ def test_windows(spark):
     assert [r["c"] for r in got] == [[text[0:500], text[400:900], text[800:1300]], [], []]
 
 
+def test_windows_of_a_huge_page_take_one_pass(spark):
+    text = "".join(f"w{i} " for i in range(200_000)).strip()
+    start = time.time()
+    ((cut,),) = pages(spark, [text]).select(C.window_texts("text")).collect()
+    assert time.time() - start < 20
+    want = [text[i : i + 500] for i in range(0, len(text), 400)]
+    assert cut == [w for w in want if len(w.strip(" ")) >= 50]
+
+
 def test_blocks_of_pieces_give_the_chunks_of_the_fold(spark, monkeypatch):
     rng = random.Random(4)
     page = lambda n: "".join(rng.choice(["word ", "a", ". ", "? ", "é", "  ", "\n", "longer words here ", "x" * 310]) for _ in range(n))

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from folioquery.functions import text as T
 
 WHITE = [chr(c) for c in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
@@ -59,3 +61,12 @@ def test_four_places_are_those_of_the_language(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert [r[0] for r in df.select(T.four_places("v")).collect()] == [f"{v:.4f}" for v in values]
     assert spark.createDataFrame([(None,)], "v double").select(T.four_places("v")).first()[0] is None
+
+
+def test_cleaning_in_one_pass_is_that_of_two(spark):
+    rng = random.Random(7)
+    letters = ["a", ".", " ", "  ", "\t", "\n", "\x0b", "\x1c", "\x1f", "\x7f", "\x84", "\x85", "\xa0", "é", "\u1680", "\u180e", "\u2000", "\u200a", "\u200b", "\u2028", "\u202f", "\u205f", "\u3000", "\u3001", "😀"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)] + [None, ""]
+    two = F.btrim(F.regexp_replace(T.collapse("t"), r"[^\x00-\x7F]+", " "))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.clean_text("t").alias("one"), two.alias("two")).collect()
+    assert [r for r in rows if r["one"] != r["two"]] == []
