@@ -6,6 +6,7 @@ is replaced silently.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import time
@@ -13,7 +14,10 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +42,17 @@ def hashed_embedding(text: Column | str, dim: int = 64) -> Column:
     """Counts of a text's tokens by hash bucket, normalised: an embedding without a model."""
     from folioquery.functions.vectors import normalized
 
-    tokens = T.tokens(text)
-    bucket = F.transform(tokens, lambda t: F.conv(F.left(F.md5(t.cast("binary")), F.lit(8)), 16, 10).cast("long") % dim)
-    places = F.sequence(F.lit(0), F.lit(dim - 1))
-    counts = T.let(bucket, lambda b: F.transform(places, lambda i: (F.size(b) - F.size(F.array_remove(b, i.cast("long")))).cast("double")))
-    return T.let(counts, normalized)
+    @F.arrow_udf("array<double>")
+    def counts(tokens: pa.Array) -> pa.Array:
+        words = tokens.flatten().dictionary_encode()
+        digests = (hashlib.md5(w.encode()).hexdigest() for w in words.dictionary.to_pylist())
+        bucket = np.array([int(d[:8], 16) % dim for d in digests], np.int64)[words.indices.to_numpy(zero_copy_only=False)]
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        found = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * dim + bucket, minlength=len(sizes) * dim).astype(np.float64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * dim), pa.array(found), mask=tokens.is_null())
+
+    # a text that is not there has a vector without values
+    return T.let(F.coalesce(counts(T.tokens(text)), F.array_repeat(F.lit(None).cast("double"), dim)), normalized)
 
 
 def model_embedding(load: Callable[[], EncodeBatch]):

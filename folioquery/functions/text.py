@@ -47,7 +47,7 @@ def strip(text: Column | str) -> Column:
 
 
 def is_blank(text: Column | str) -> Column:
-    return F.coalesce(strip(text) == "", F.lit(True))
+    return F.coalesce(~col(text).rlike(rf"[^{WHITESPACE[1:]}"), F.lit(True))
 
 
 def collapse(text: Column | str) -> Column:
@@ -79,8 +79,9 @@ def pieces(text: Column | str, limit: int = MAX_PIECE) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Lower-case ASCII alphanumeric words between Unicode word boundaries."""
-    runs = F.regexp_extract_all(F.lower(col(text)), F.lit(f"{WORD}+"), F.lit(0))
-    return F.filter(runs, lambda w: w.rlike("^[a-z0-9]+$"))
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"  # of a lower-case text, and single, so that Java looks them up
+    word = rf"[{letters}_[\x{{80}}-\x{{10ffff}}&&[\p{{L}}\p{{N}}]]]"
+    return F.regexp_extract_all(F.lower(col(text)), F.lit(rf"(?=[{letters}])(?<!{word})[{letters}]++(?!{word})"), F.lit(0))
 
 
 def normalize(text: Column | str) -> Column:

@@ -7,11 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquery.scratch import Workspace, free_names, join_checked, materialize, new_path, running_sums  # noqa: F401
-
-#: Bytes of a batch that goes to a Python worker.
-BATCH_BYTES = 4 << 20
-
+from folioquery.scratch import BATCH_BYTES, Workspace, free_names, join_checked, map_batches, materialize, new_path, running_sums  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,16 +27,6 @@ def text_slices(batches, column: str = "text", most: int = 1 << 20):
             start = stop
 
 
-def map_batches(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema) with batches of at most BATCH_BYTES, a longer row alone. The size
-    is a setting of the session and read when the plan runs, so it is lowered there and stays."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = conf.get(name).rstrip("b")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
-        conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
-
-
 def id_fold(doc_id: Column | str, folds: int) -> Column:
     """crc32(doc_id as text) mod folds; null for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -15,6 +15,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from folioquery.functions import text as T
 from folioquery.functions.providers import lexical_boost
 from folioquery.operators.postings import Postings, best_hits
-from folioquery.scratch import join_checked, materialize
+from folioquery.scratch import join_checked, map_batches, materialize
 
 # Weights and sizes of the hybrid search.
 DENSE_WEIGHT, SPARSE_WEIGHT = 0.75, 0.25
@@ -138,6 +140,23 @@ def token_table(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return words.groupBy(id_col, "token").agg(F.count("*").cast("int").alias("tf"))
 
 
+def row_tokens(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """token_table() where each id is one row's: counted row by row, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("t")
+            words = lists.flatten().dictionary_encode()
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            many = max(1, len(words.dictionary))
+            pairs, tfs = np.unique(np.repeat(np.arange(len(sizes)), sizes) * many + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            columns = [b.column(id_col).take(pa.array(pairs // many)), words.dictionary.take(pa.array(pairs % many)), pa.array(tfs, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "token", "tf"])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return map_batches(rows.select(id_col, T.tokens(text_col).alias("t")), run, f"{id_col} {kind}, token string, tf int")
+
+
 def _asked(questions: DataFrame) -> DataFrame:
     """(qid, n_tokens, token, q_tf) of the questions' tokens."""
     asked = questions.select("qid", T.tokens("question").alias("t")).withColumn("n_tokens", F.size("t"))

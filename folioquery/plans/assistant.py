@@ -12,7 +12,7 @@ from folioquery.functions.providers import hashed_embedding, lexical_boost, plai
 from folioquery.functions.vectors import normalized
 from folioquery.operators import answering, chunking, conversation, retrieval
 from folioquery.operators.postings import Postings, build_postings, open_postings
-from folioquery.scratch import materialize, remove
+from folioquery.scratch import materialize, remove, small_batches
 from folioquery.sources import files
 from folioquery.sources.cache import IndexCache
 
@@ -60,8 +60,9 @@ def build_index(pages: DataFrame, embed=hashed_embedding, chunks: Column | None
     made from the table of chunks, which lasts as long as the driver; Index.write() keeps them for
     good."""
     numbered = chunking.numbered_chunks(pages, chunks)
+    small_batches(pages.sparkSession)
     vectors = numbered.select("chunk_id", normalized(embed("text")).alias("vector"))
-    return Index(numbered, vectors, retrieval.token_table(numbered, "chunk_id", "text"))
+    return Index(numbered, vectors, retrieval.row_tokens(numbered, "chunk_id", "text"))
 
 
 def index_folder(spark: SparkSession, folder: str, suffix: str = ".pdf", parser=files.pdf_pages, **how) -> Index:

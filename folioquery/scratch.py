@@ -13,6 +13,8 @@ from pyspark.sql.types import BinaryType, NumericType, StringType, StructType
 
 #: Measured bytes up to which the narrow side of a join is broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
 
 _own_dirs: dict[str, str] = {}
 _used: set[tuple[str, str]] = set()
@@ -116,6 +118,21 @@ def join_checked(wide: DataFrame, narrow: DataFrame, on, how: str = "inner", lim
     return wide.join(narrow.hint("merge"), on, how)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches for Python workers of at most BATCH_BYTES, a longer row alone. The size is a setting of
+    the session and read when a plan runs, so it is lowered there and stays."""
+    conf, name = spark.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in small_batches()."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """names, changed where df has columns that are called so."""
     taken = {c.lower() for c in df.columns}

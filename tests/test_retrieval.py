@@ -167,6 +167,14 @@ def test_an_index_is_written_and_read(spark, tmp_path):
     assert first == [r.answer for r in ask(messages, read).collect()] and len(first) == 1
 
 
+def test_tokens_counted_by_row_are_those_of_the_table(spark):
+    rows = spark.createDataFrame([(1, "a b a É caf\u00e9x _b b_c 12"), (2, None), (3, ""), (4, "B b ab1 \u212a")], "chunk_id long, text string")
+    own = R.row_tokens(rows, "chunk_id", "text")
+    assert sorted(own.collect()) == sorted(R.token_table(rows, "chunk_id", "text").collect())
+    assert own.schema["chunk_id"].dataType == rows.schema["chunk_id"].dataType
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rerank_keeps_order_of_ties(spark, questions, chunks):
     scored = spark.createDataFrame([(1, c, 0.5, 0.0, 0.0) for c in (10, 12, 13, 14)], "qid long, chunk_id long, score double, dense_score double, sparse_score double")
     got = R.rerank(R.best_pool(scored, chunks), questions, top_k=3).orderBy("rank").collect()
