@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioquery.functions import text as T
 from folioquery.functions.providers import PageParser
-from folioquery.scratch import Workspace, running_sums
+from folioquery.scratch import Workspace, running_sums, small_batches
 from folioquery.sources import pdf
 from folioquery.sources.folder import BATCH_CHARS
 
@@ -59,6 +59,7 @@ def extract_pages(files: DataFrame, parser: PageParser) -> DataFrame:
                         rows, held = [], 0
             yield pd.DataFrame(rows, columns=names)
 
+    small_batches(files.sparkSession)
     read = files.select("signature", "source", "content").mapInPandas(run, "signature string, source string, page int, text string")
     return usable_pages(read)
 
@@ -84,6 +85,7 @@ def pdf_files(texts: DataFrame) -> DataFrame:
         for p in batches:
             yield pd.DataFrame({"source": p.source, "content": [pdf.write_pdf([t or "" for t in pages]) for pages in p.pages]})
 
+    small_batches(texts.sparkSession)
     made = texts.select("source", "pages").mapInPandas(run, "source string, content binary")
     return made.withColumn("signature", T.signature("content"))
 

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringContains, StringEndsWith, StringStartsWith
 from pyspark.sql.types import StructType
 
+from folioquery.scratch import map_batches
 from folioquery.sources.pdf import PdfError, read_pages
 
 SCHEMA = "file_no long, source string, page int, text string, signature string, error string"
@@ -218,4 +219,4 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
                 sizes.append(len(content.as_buffer()))
             yield pa.RecordBatch.from_arrays([b.column("source"), pa.array(sizes, pa.int64())], ["source", "bytes"])
 
-    return files.select("source", "content").mapInArrow(run, "source string, bytes long")
+    return map_batches(files.select("source", "content"), run, "source string, bytes long")

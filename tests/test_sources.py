@@ -8,6 +8,7 @@ from pyspark.sql.utils import AnalysisException
 from folioquery.functions.providers import plain_text_pages
 from folioquery.operators.answering import console_lines
 from folioquery.plans import assistant
+from folioquery.scratch import BATCH_BYTES
 from folioquery.sources import files
 from folioquery.sources.cache import IndexCache
 
@@ -90,3 +91,11 @@ def test_missing_folder_is_an_error(spark, tmp_path):
 def test_console_view(spark):
     shown = spark.createDataFrame([(1, 1, "s", 3, 0.5, 0.25, 0.123456, 0.65)], "qid long, rank int, source string, page int, score double, dense_score double, sparse_score double, rerank_score double")
     assert console_lines(shown).first()["line"] == "1. s | Page: 3 | score 0.5000 | dense 0.2500 | sparse 0.1235 | rerank 0.6500"
+
+
+def test_files_reach_the_parser_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    rows = spark.createDataFrame([("a", ["x"])], "source string, pages array<string>")
+    assert files.extract_pages(files.pdf_files(rows), files.pdf_pages).count() == 1
+    assert int(spark.conf.get(name)) <= BATCH_BYTES
