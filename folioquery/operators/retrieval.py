@@ -163,14 +163,23 @@ def _asked(questions: DataFrame) -> DataFrame:
     return asked.select("qid", "n_tokens", F.explode("t").alias("token")).groupBy("qid", "n_tokens", "token").agg(F.count("*").cast("int").alias("q_tf"))
 
 
+def only_asked(chunk_tokens: DataFrame, questions: DataFrame) -> DataFrame:
+    """The rows of chunk_tokens whose token some question has, which is all that a search for these questions
+    reads; where the tokens are broadcast, others are left out before anything is counted or shuffled."""
+    tokens = materialize(_asked(questions).select("token").distinct(), "asked-tokens")
+    return join_checked(chunk_tokens, tokens, "token", "left_semi").select(*chunk_tokens.columns)
+
+
 def keyword_search(questions: DataFrame, chunk_tokens: DataFrame) -> DataFrame:
     """(qid, chunk_id, sparse_score) of all pairs that share a token: the size of the multiset
     intersection by the number of the question's tokens.
 
-    Question tokens are broadcast while their measured bytes allow it; each task then sums what its
-    own token rows share before anything is shuffled. The k best alone come from stored postings.
+    Chunks' rows of tokens that no question has are left out first, and the others of a chunk are brought to
+    one task, so that pairs are summed where they arise and none is shuffled while the question tokens'
+    measured bytes let them be broadcast. The k best alone come from stored postings.
     """
-    shared = join_checked(chunk_tokens, materialize(_asked(questions), "asked"), "token").groupBy("qid", "chunk_id", "n_tokens").agg(F.sum(F.least("tf", "q_tf")).alias("shared"))
+    own = only_asked(chunk_tokens, questions).repartition("chunk_id")
+    shared = join_checked(own, materialize(_asked(questions), "asked"), "token").groupBy("qid", "chunk_id", "n_tokens").agg(F.sum(F.least("tf", "q_tf")).alias("shared"))
     return shared.select("qid", "chunk_id", (F.col("shared") / F.col("n_tokens")).alias("sparse_score"))
 
 

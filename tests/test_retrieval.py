@@ -175,6 +175,22 @@ def test_tokens_counted_by_row_are_those_of_the_table(spark):
     assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
 
 
+def test_tokens_that_no_question_has_are_not_shuffled(spark, chunks):
+    tokens = R.token_table(chunks, "chunk_id", "text")
+    word = tokens.agg({"token": "min"}).first()[0]
+    questions = spark.createDataFrame([(1, f"nowhere {word}"), (2, None)], "qid long, question string")
+    kept = R.only_asked(tokens, questions)
+    assert sorted(kept.collect()) == sorted(r for r in tokens.collect() if r["token"] == word)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [chunk_id") < plan.index("Join LeftSemi")  # a plan is printed from its end
+
+
+def test_no_pair_of_the_keyword_search_is_shuffled(spark, questions, chunks):
+    found = R.keyword_search(questions, R.token_table(chunks, "chunk_id", "text"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(qid" not in plan
+
+
 def test_rerank_keeps_order_of_ties(spark, questions, chunks):
     scored = spark.createDataFrame([(1, c, 0.5, 0.0, 0.0) for c in (10, 12, 13, 14)], "qid long, chunk_id long, score double, dense_score double, sparse_score double")
     got = R.rerank(R.best_pool(scored, chunks), questions, top_k=3).orderBy("rank").collect()
