@@ -84,6 +84,14 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(col(text)), F.lit(rf"(?=[{letters}])(?<!{word})[{letters}]++(?!{word})"), F.lit(0))
 
 
+def word_bytes(text: Column | str) -> Column:
+    """The bytes of a text in lower case, every letter or digit beyond ASCII as one _: what tokens() finds
+    in the text are then the runs of letters, digits and _ that hold no _."""
+    t = col(text)
+    marked = F.regexp_replace(F.lower(t), r"[\x{80}-\x{10ffff}&&[\p{L}\p{N}]]", "_")
+    return F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(marked).cast("binary")
+
+
 def normalize(text: Column | str) -> Column:
     return collapse(F.lower(strip(text)))
 

@@ -9,6 +9,7 @@ which hits of the same source, page and first characters are told apart.
     build_postings(chunk_tokens, chunks, path)      write an index
     open_postings(spark, path)                      read it
     best_hits(postings, asked, near, pool)          the pool best chunks of each question
+    scan_hits(chunks, asked, near, pool)            the same without an index, for questions asked once
 
 A search reads only the buckets of its questions' tokens and of those only the rows of such tokens. What
 it reads is brought together by shard, with the questions in blocks, so neither chunks' texts nor pairs of
@@ -16,6 +17,10 @@ questions and chunks are moved, and no question is sent to the driver. Within a
 are bounded by the frequencies they could share with it; the blocks of the highest bounds are counted
 first, and of the others only those that could still bring a hit among the pool best.
 
+A scan reads every chunk where it lies: a task makes the postings of some thousand chunks, of the asked
+tokens alone, in memory, searches them as a shard and gives out their hits, so that neither tokens nor
+postings are shuffled or written. The questions' tokens are sent to the tasks, so they have to be few.
+
 Defined cases: texts and questions that are null, blank or without a token have no postings and no hits;
 stop words are tokens like any other; equal counts go by chunk id; a chunk id stands for one chunk.
 """
@@ -27,11 +32,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from folioquery.scratch import BROADCAST_BYTES, measured_bytes, new_path
+from folioquery.functions import text as T
+from folioquery.scratch import BROADCAST_BYTES, map_batches, measured_bytes, new_path
 
 #: Chunk ids of a shard and of a block, and folders of an index.
 SHARD = 1 << 16
@@ -41,6 +49,9 @@ BUCKETS = 64
 QUESTION_BLOCK = 4096
 #: Blocks of a shard that are counted before the others are held against the pool.
 FIRST_BLOCKS = 4
+#: Chunks and their pairs with asked tokens that a scan searches together; a batch of rows goes beyond.
+SCAN_ROWS = 1 << 16
+SCAN_PAIRS = 1 << 21
 
 _ROWS = "bucket int, token string, shard long, blocks array<int>, most array<int>, ends array<int>, places array<int>, tfs array<int>"
 _KEYS = "shard long, places array<int>, keys array<long>"
@@ -67,6 +78,12 @@ def _places(rows: DataFrame, shard: int) -> DataFrame:
     return rows.withColumn("place", (F.col("chunk_id") - F.col("shard") * shard).cast("int"))
 
 
+def _bounds(places: np.ndarray, tfs: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of postings in order of place: the blocks that have any, their largest frequencies, where they end."""
+    of, first = np.unique(places // block, return_index=True)
+    return of, np.maximum.reduceat(tfs, first), np.append(first[1:], len(places))
+
+
 def _with_bounds(block: int):
     """Postings as arrays of (place, tf) -> arrays of their own, with the blocks' maxima and ends."""
 
@@ -77,10 +94,8 @@ def _with_bounds(block: int):
             places, tfs = (values.field(i).to_numpy() for i in (0, 1))
             blocks, most, ends = [], [], []
             for start, stop in zip(offsets[:-1], offsets[1:]):
-                of, first = np.unique(places[start:stop] // block, return_index=True)
-                blocks.append(of.astype(np.int32))
-                most.append(np.maximum.reduceat(tfs[start:stop], first).astype(np.int32))
-                ends.append(np.append(first[1:], stop - start).astype(np.int32))
+                for column, own in zip((blocks, most, ends), _bounds(places[start:stop], tfs[start:stop], block)):
+                    column.append(own.astype(np.int32))
             made = [pa.array(x, pa.list_(pa.int32())) for x in (blocks, most, ends)]
             own = [pa.ListArray.from_arrays(lists.offsets, values.field(i)) for i in (0, 1)]
             columns = [b.column("bucket"), b.column("token"), b.column("shard"), *made, *own]
@@ -260,3 +275,97 @@ def best_hits(postings: Postings, asked: DataFrame, near: DataFrame, pool: int)
     repeats, with its near chunks (qid, chunk_id) and, of each shard, with the pool best others that
     differ in source, page and first characters. asked has to be materialised."""
     return _cells(postings, asked, near).mapInArrow(_searcher(postings, pool), "qid long, chunk_id long, shared long")
+
+
+_LETTERS = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789_", np.uint8))
+
+
+def word_runs(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The row and the run of every run of letters, digits and _ in the texts (T.word_bytes), in order."""
+    texts = pc.fill_null(texts, b"").cast(pa.binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    word = _LETTERS[data]
+    begins, closes = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    closes[:-1] &= ~word[1:]
+    cuts = ends[1:-1]  # a run ends with its row, whatever comes next
+    cuts = cuts[(cuts > 0) & (cuts < len(data))]
+    begins[cuts], closes[cuts - 1] = word[cuts], word[cuts - 1]
+    starts, stops = np.flatnonzero(begins), np.flatnonzero(closes) + 1
+    offsets = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int32)
+    runs = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[word]))
+    return np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, ends))), runs.dictionary_encode()
+
+
+def _scanner(asked: list, pool: int, block: int = BLOCK):
+    wanted = sorted({token for _, token, _ in asked})
+    number = {token: i for i, token in enumerate(wanted)}
+
+    def search(rows: list, pairs: list, near: list) -> Iterator[pa.RecordBatch]:
+        """The hits of rows [(ids, keys)], pairs [(row, token, tf)] and near [(row, qid)]."""
+        ids, keys = (np.concatenate(x) for x in zip(*rows))
+        row, token, tf = (np.concatenate(x) for x in zip(*pairs))
+        order = np.argsort(ids, kind="stable")  # places are in order of id, as equal counts go by it
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        ids, keys = ids[order], keys[order]
+        by = np.argsort(token * len(ids) + place[row], kind="stable")
+        token, places, tfs = token[by], place[row[by]], tf[by]
+        cell = _Cell(block, -(-len(ids) // block), pool)
+        cell.places, cell.keys = np.arange(len(ids)), keys
+        found, first = np.unique(token, return_index=True)
+        for start, stop in zip(first, [*first[1:], len(token)]):
+            of, most, ends = _bounds(places[start:stop], tfs[start:stop], block)
+            cell.rows.append((of, most, np.diff(ends, prepend=0), places[start:stop], tfs[start:stop]))
+        at = {int(t): i for i, t in enumerate(found)}
+        for qid, word, n in asked:
+            if (i := at.get(number[word])) is not None:
+                cell.of.setdefault(qid, []).append((i, n))
+        for r, qid in near:
+            cell.near.setdefault(qid, []).append(int(place[r]))
+        hits = list(cell.hits())
+        if hits:
+            qids, at, shared = (np.array(x, np.int64) for x in zip(*hits))
+            is_near = [p in cell.near.get(q, ()) for q, p, _ in hits]
+            yield pa.RecordBatch.from_arrays([pa.array(qids), pa.array(ids[at]), pa.array(shared), pa.array(keys[at]), pa.array(is_near, pa.bool_())], ["qid", "chunk_id", "shared", "key", "near"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, pairs, near, n_rows, n_pairs = [], [], [], 0, 0
+        known_words = pa.array(wanted, pa.string())
+        for b in batches:
+            if not b.num_rows:
+                continue
+            owner, words = word_runs(b.column("words"))
+            known = pc.fill_null(pc.index_in(words.dictionary, value_set=known_words), -1).to_numpy(zero_copy_only=False)
+            token = known[words.indices.to_numpy(zero_copy_only=False)].astype(np.int64)
+            kept = token >= 0
+            own, tfs = np.unique(owner[kept] * len(wanted) + token[kept], return_counts=True)
+            lists = b.column("near")
+            near += zip((pc.list_parent_indices(lists).to_numpy(zero_copy_only=False) + n_rows).tolist(), lists.flatten().to_pylist())
+            rows.append([b.column(c).to_numpy(zero_copy_only=False) for c in ("chunk_id", "key")])
+            pairs.append((own // max(1, len(wanted)) + n_rows, own % max(1, len(wanted)), tfs))
+            n_rows, n_pairs = n_rows + b.num_rows, n_pairs + len(own)
+            if n_rows >= SCAN_ROWS or n_pairs >= SCAN_PAIRS:
+                yield from search(rows, pairs, near)
+                rows, pairs, near, n_rows, n_pairs = [], [], [], 0, 0
+        if n_rows:
+            yield from search(rows, pairs, near)
+
+    return run
+
+
+def scan_hits(chunks: DataFrame, asked: DataFrame, near: DataFrame, pool: int) -> DataFrame:
+    """best_hits() of chunks (chunk_id, source, page, text) without an index, brought down to the pool best
+    of all chunks. near is broadcast and asked sent to the tasks: both have to be materialised and small."""
+    words = [(r["qid"], r["token"], r["q_tf"]) for r in asked.filter("qid IS NOT NULL").select("qid", "token", "q_tf").collect()]
+    at = near.groupBy("chunk_id").agg(F.collect_list(F.col("qid").cast("long")).alias("near"))
+    named = chunks.filter("chunk_id IS NOT NULL").select(F.col("chunk_id").cast("long"), hit_key().alias("key"), T.word_bytes("text").alias("words"))
+    read = named.join(F.broadcast(at), "chunk_id", "left").select("chunk_id", "key", "words", "near")
+    found = map_batches(read, _scanner(words, pool), "qid long, chunk_id long, shared long, key long, near boolean")
+    # near hits all stay, of the others the pool best that differ in key
+    first = F.row_number().over(W.partitionBy("qid", "near", "key").orderBy(F.desc("shared"), "chunk_id"))
+    best = F.row_number().over(W.partitionBy("qid", "near").orderBy(F.desc("shared"), "chunk_id"))
+    named = found.repartition("qid").withColumn("n", first).filter("near OR n = 1").withColumn("n", best)
+    return named.filter(F.col("near") | (F.col("n") <= pool)).select("qid", "chunk_id", "shared")

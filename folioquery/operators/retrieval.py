@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from folioquery.functions import text as T
 from folioquery.functions.providers import lexical_boost
-from folioquery.operators.postings import Postings, best_hits
-from folioquery.scratch import join_checked, map_batches, materialize
+from folioquery.operators.postings import Postings, best_hits, build_postings, scan_hits
+from folioquery.scratch import BROADCAST_BYTES, join_checked, map_batches, materialize, measured_bytes
 
 # Weights and sizes of the hybrid search.
 DENSE_WEIGHT, SPARSE_WEIGHT = 0.75, 0.25
@@ -37,6 +37,8 @@ LEGACY_TOP_K = 3
 #: Questions whose vectors are sent to the executors at a time; more are handled in blocks.
 QUESTION_BLOCK = 4096
 SHARD_VECTORS = 65_536
+#: Measured bytes of the questions' tokens up to which questions that are asked once are answered by a scan.
+SCAN_BYTES = 4 << 20
 
 
 def dense_k(top_k: int = TOP_K) -> int:
@@ -217,14 +219,21 @@ def rerank(pool: DataFrame, questions: DataFrame, scorer: Callable[..., Column]
     )
 
 
-def hybrid_pool(questions: DataFrame, chunks: DataFrame, postings: Postings, query_vectors: DataFrame, chunk_vectors: DataFrame, top_k: int = TOP_K) -> DataFrame:
+def hybrid_pool(questions: DataFrame, chunks: DataFrame, postings: Postings | None, query_vectors: DataFrame, chunk_vectors: DataFrame, top_k: int = TOP_K) -> DataFrame:
     """The pool that rerank() takes: dense candidates and keyword hits, fused.
 
     One search of the stored postings gives the keyword scores of the dense candidates and, of all
-    other hits, those that can enter the pool."""
+    other hits, those that can enter the pool. Without postings, for questions that are asked once, one scan
+    of the chunks gives the same; where the questions are too many to send to every task, the postings of
+    their tokens are built on the way."""
     dense = materialize(dense_search(chunk_vectors, query_vectors, dense_k(top_k)), "dense")
     asked = materialize(_asked(questions), "asked")
-    shared = best_hits(postings, asked, dense.select("qid", "chunk_id"), POOL)
+    near = dense.select("qid", "chunk_id")
+    if postings is None and measured_bytes(asked) <= SCAN_BYTES and measured_bytes(near) <= BROADCAST_BYTES:
+        shared = scan_hits(chunks, asked, near, POOL)
+    else:
+        postings = postings or build_postings(only_asked(token_table(chunks, "chunk_id", "text"), questions), chunks)
+        shared = best_hits(postings, asked, near, POOL)
     sizes = asked.select("qid", "n_tokens").distinct()
     sparse = shared.join(sizes, "qid").select("qid", "chunk_id", (F.col("shared") / F.col("n_tokens")).alias("sparse_score"))
     return best_pool(fuse(dense, sparse), chunks)

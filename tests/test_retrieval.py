@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from folioquery.functions import text as T
 from folioquery.functions.providers import chat_completions
 from folioquery.functions.text import REFUSAL_TEXT
 from folioquery.functions.vectors import inner_product, norm, normalized
@@ -262,3 +263,47 @@ def test_answers_of_a_chat_service(monkeypatch):
 def test_confidence_class(spark):
     df = spark.createDataFrame([("High",), ("other",), (None,)], "l string")
     assert [r[0] for r in df.select(A.confidence_class("l")).collect()] == ["conf-high", "conf-low", "conf-low"]
+
+
+def test_words_of_bytes_are_the_tokens(spark):
+    texts = ["a b a É caféx _b b_c 12", None, "", "B b ab1 K", "end", "start", "xİy z", "é", "a b c \U0001d7d9 d\U0001d7d9", "_", "tab\tNEW\nline-1", "ΣΣ s"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    got = rows.select("i", T.word_bytes("text").alias("w"), T.tokens("text").alias("t")).toArrow()
+    for table in (got, got.slice(2, 7)):
+        owner, words = P.word_runs(table["w"].combine_chunks())
+        found = [[] for _ in range(len(table))]
+        for i, word in zip(owner.tolist(), words.to_pylist()):
+            if "_" not in word:
+                found[i].append(word)
+        assert found == [t or [] for t in table["t"].to_pylist()]
+    assert [len(x) for x in P.word_runs(got["w"].combine_chunks().slice(0, 0))] == [0, 0]
+
+
+def test_a_scan_finds_the_pool_of_all_hits_and_shuffles_no_token(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["the", "cat", "sat", "alpha", "beta", "gamma", "river", "sea"]
+    text = lambda n: " ".join(rng.choice(words, n))
+    rows = [(i, f"s{i % 2}", i % 5, text(5) if i % 4 else "the same words the" if i % 8 else None) for i in range(400)]
+    chunks = spark.createDataFrame([*rows, (None, "s0", 1, "the cat")], "chunk_id long, source string, page int, text string").repartition(6)
+    questions = spark.createDataFrame([(q, text(6)) for q in range(9)] + [(20, ""), (21, "nothing shared"), (22, None)], "qid long, question string")
+    vectors = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(400)], "id long, vector array<double>")
+    asked, held = vectors.filter("id < 9 or id = 20").withColumnRenamed("id", "qid"), vectors.filter("id % 3 = 0").withColumnRenamed("id", "chunk_id")
+    shown = lambda pool: sorted((r["qid"], r["pool_rank"], r["chunk_id"], round(r["score"], 9)) for r in pool.collect())
+    tokens = R.token_table(chunks.filter("chunk_id IS NOT NULL"), "chunk_id", "text")
+    every = shown(R.best_pool(R.fuse(R.dense_search(held, asked, R.dense_k()), R.keyword_search(questions, tokens)), chunks))
+    built = []
+    monkeypatch.setattr(R, "build_postings", lambda *a: built.append(1) or P.build_postings(*a))
+    for at_once, pairs in ((1 << 16, 1 << 21), (7, 1 << 21), (1 << 16, 20)):
+        monkeypatch.setattr(P, "SCAN_ROWS", at_once)
+        monkeypatch.setattr(P, "SCAN_PAIRS", pairs)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+        try:
+            assert shown(R.hybrid_pool(questions, chunks, None, asked, held)) == every
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert not built
+    near = materialize(R.dense_search(held, asked, 3).select("qid", "chunk_id"), "near")
+    plan = P.scan_hits(chunks, materialize(R._asked(questions), "asked"), near, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "token" not in plan and "Generate" not in plan
+    monkeypatch.setattr(R, "SCAN_BYTES", 0)
+    assert shown(R.hybrid_pool(questions, chunks.filter("chunk_id IS NOT NULL"), None, asked, held)) == every and built
