@@ -202,10 +202,15 @@ def keep_first(scored: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def best_pool(scored: DataFrame, chunks: DataFrame, pool: int = POOL) -> DataFrame:
-    """The pool best chunks of each question after keep_first, with their texts and pool_rank."""
+    """The pool best chunks of each question after keep_first, with their texts and pool_rank.
+
+    scored and the pool are kept, so that by their measured bytes they are broadcast to the chunks, whose
+    texts are then not shuffled."""
+    scored = materialize(scored, "scored")
     by = W.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "chunk_id")
-    ranked = keep_first(scored, chunks).withColumn("pool_rank", F.row_number().over(by)).filter(F.col("pool_rank") <= pool)
-    return ranked.join(chunks.select("chunk_id", "text"), "chunk_id")
+    first = keep_first(F.broadcast(scored) if measured_bytes(scored) <= BROADCAST_BYTES else scored, chunks)
+    ranked = materialize(first.withColumn("pool_rank", F.row_number().over(by)).filter(F.col("pool_rank") <= pool), "pool")
+    return join_checked(chunks.select("chunk_id", "text"), ranked, "chunk_id").select(*ranked.columns, "text")
 
 
 def rerank(pool: DataFrame, questions: DataFrame, scorer: Callable[..., Column] = lexical_boost, top_k: int = TOP_K) -> DataFrame:

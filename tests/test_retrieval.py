@@ -307,3 +307,18 @@ def test_a_scan_finds_the_pool_of_all_hits_and_shuffles_no_token(spark, monkeypa
     assert "token" not in plan and "Generate" not in plan
     monkeypatch.setattr(R, "SCAN_BYTES", 0)
     assert shown(R.hybrid_pool(questions, chunks.filter("chunk_id IS NOT NULL"), None, asked, held)) == every and built
+
+
+def test_texts_are_not_shuffled_for_a_small_pool(spark, chunks):
+    scored = spark.createDataFrame([(1, 10, 0.6), (1, 11, 0.6), (2, 14, 0.1)], "qid long, chunk_id long, score double")
+    kept = materialize(chunks, "chunks")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pool = R.best_pool(scored, kept)
+        rows = sorted((r["qid"], r["pool_rank"], r["chunk_id"], r["text"]) for r in pool.collect())
+        plan = pool._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows == [(1, 1, 10, "the cat sat"), (2, 1, 14, "beta alpha alpha")]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
